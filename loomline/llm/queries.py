@@ -1,0 +1,43 @@
+"""The queries of this subpackage over the test tables, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomline.llm import lookalike, mixing, tokenize
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.encode_documents(table(spark, folder, "documents"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.look_alike_pairs(table(spark, folder, "documents"))
+
+
+def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.canonical_texts(table(spark, folder, "documents")).select("doc_id", "canonical")
+
+
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.look_alike_classes_of(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    q.__name__: q for q in (p6_ids, p7_mix, p7_shares, p8_found, p8_canonical, p8_classes)
+}
+SQL: dict[str, str] = {}
