@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How many of the most frequent keys are looked up by broadcast. Any other key then holds
-#: less than 1 / (HOT_KEYS + 1) of the rows, so that no shuffle partition can be swamped by it.
+#: How many of the most frequent keys are salted. Any other key holds less than
+#: 1 / (HOT_KEYS + 1) of the rows, so that it can't swamp a shuffle partition.
 HOT_KEYS = 1000
+#: Rows of a hot key that one salt takes.
+ROWS_PER_SALT = 1 << 20
 
 
-def hot_aware_lookup(facts: DataFrame, dim: DataFrame, key: str, weight: str, hot_keys: int = HOT_KEYS) -> DataFrame:
+def hot_aware_lookup(facts: DataFrame, dim: DataFrame, key: str, weight: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Inner join of ``facts`` with ``dim`` on ``key``; ``dim`` has each key once.
 
-    ``weight`` names the column of ``dim`` with the number of fact rows of the key. The
-    ``hot_keys`` heaviest keys are joined by broadcast (a bound that does not grow with the
-    data, taken by a distributed top-k), which never moves their fact rows; the others go
-    through a shuffle join. Null keys match nothing. The weight is dropped.
+    ``weight`` names the column of ``dim`` with the number of fact rows of the key. Keys of more
+    than ``rows_per_salt`` rows, at most the :data:`HOT_KEYS` heaviest (a bound that doesn't grow
+    with the data, taken by a distributed top-k), are spread over salts: their fact rows by a hash
+    of the row, their one row of ``dim`` by a copy for each salt. Everything moves in one shuffle
+    join, and ``facts`` is evaluated once. Null keys match nothing. The weight is dropped.
     """
-    hot = dim.orderBy(F.col(weight).desc(), F.col(key)).limit(hot_keys).drop(weight)
-    hot_keys_only = F.broadcast(hot.select(key))
-    cold = dim.drop(weight).join(hot_keys_only, key, "left_anti")
-    columns = [*facts.columns, *(c for c in cold.columns if c != key)]
-    by_broadcast = facts.join(F.broadcast(hot), key).select(columns)
-    by_shuffle = facts.join(hot_keys_only, key, "left_anti").join(cold, key).select(columns)
-    return by_broadcast.unionByName(by_shuffle)
+    salts = F.ceil(F.col(weight) / F.lit(rows_per_salt)).cast("int")
+    heavy = dim.where(F.col(weight) > rows_per_salt).orderBy(F.col(weight).desc(), F.col(key)).limit(HOT_KEYS)
+    heavy = F.broadcast(heavy.select(F.col(key).alias("_hot_key"), salts.alias("_salts")))
+    rest = [c for c in dim.columns if c not in (key, weight)]
+    row_hash = F.xxhash64(*facts.columns)
+    salted = facts.join(heavy, F.col(key) == F.col("_hot_key"), "left").select(
+        *facts.columns, F.coalesce(F.pmod(row_hash, F.col("_salts")).cast("int"), F.lit(0)).alias("_salt")
+    )
+    copies = dim.join(heavy, F.col(key) == F.col("_hot_key"), "left").select(
+        key, *rest, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")
+    )
+    return salted.join(copies, [key, "_salt"]).select(*facts.columns, *rest)
 
 
 def blocked_pairs(members: DataFrame, key: str, item: str, block_rows: int = 2000, where: Column | None = None) -> DataFrame:
@@ -34,24 +42,21 @@ def blocked_pairs(members: DataFrame, key: str, item: str, block_rows: int = 200
     pairs of each two blocks become a join key of their own. So the pairs of one hot key are made
     by many tasks, and none of them holds more than two blocks. All columns but the key come out
     twice, with the suffixes ``_a`` and ``_b``. Repeated rows of one item give repeated pairs.
+    ``members`` is read twice, so it should be a table or cheap.
     """
     counted = members.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
     blocks = counted.select(key, F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_blocks"), "_n")
     sized = hot_aware_lookup(members, blocks, key, "_n")
     sized = sized.withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    # Row of block i takes part in the block pairs (min(i, j), max(i, j)) for every j.
-    spread = sized.withColumn("_other", F.explode(others)).select(
-        key,
-        F.least("_block", "_other").alias("_lo"),
-        F.greatest("_block", "_other").alias("_hi"),
-        "_block",
-        *[c for c in members.columns if c != key],
-    )
     rest = [c for c in members.columns if c != key]
-    left = spread.select(key, "_lo", "_hi", F.col("_block").alias("_block_a"), *[F.col(c).alias(f"{c}_a") for c in rest])
-    right = spread.select(key, "_lo", "_hi", F.col("_block").alias("_block_b"), *[F.col(c).alias(f"{c}_b") for c in rest])
-    # Of a block pair (i, j), i < j, only pairs across the blocks; those within i come from (i, i).
+    # A row of block i takes part in the block pairs (min(i, j), max(i, j)) for every j.
+    spread = sized.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        key, F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block", *rest
+    )
+    left, right = (
+        spread.select(key, "_lo", "_hi", F.col("_block").alias(f"_block{s}"), *[F.col(c).alias(f"{c}{s}") for c in rest]) for s in ("_a", "_b")
+    )
+    # Of the block pair (i, j), i < j, only pairs across the blocks; those within i come from (i, i).
     across = (F.col("_lo") == F.col("_hi")) | (F.col("_block_a") != F.col("_block_b"))
     pairs = left.join(right, [key, "_lo", "_hi"]).where((F.col(f"{item}_a") < F.col(f"{item}_b")) & across)
     if where is not None:
