@@ -5,14 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import lookalike, mixing, tokenize
+from loomline.llm import format_copies, lookalike, mixing, near_duplicates, tokenize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(table(spark, folder, "documents"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, folder, "documents"))
+
+
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(tbl, id, content) of articles and documents."""
+    articles = table(spark, folder, "articles").select(F.lit("articles").alias("tbl"), "id", "content")
+    documents = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "content")
+    return articles.unionByName(documents)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return format_copies.copies(contents(spark, folder))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return format_copies.copy_groups(contents(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, folder, "documents"))
 
@@ -38,6 +62,6 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (p6_ids, p7_mix, p7_shares, p8_found, p8_canonical, p8_classes)
+    q.__name__: q for q in (p4_found, p4_groups, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical, p8_classes)
 }
 SQL: dict[str, str] = {}
