@@ -1,4 +1,61 @@
 """Registered queries over the test tables and the SQL they are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomline.sources import strict_records
+
 QUERIES = {}
 SQL = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+# Strict loading ------------------------------------------------------------------------------
+
+CELL = '(?:"(?:[^"]|"")*"|[^",][^,]*|)'
+RECORDS = f"""
+WITH r AS (SELECT rec_id, regexp_replace(record, '(\\r\\n|\\n|\\r)\\z', '') AS r FROM input_records),
+c AS (SELECT rec_id, r,
+    regexp_full_match(r, '{CELL}(?:,{CELL})*') AS sound,
+    regexp_full_match(r, '{CELL},{CELL}') AS two,
+    regexp_extract(r, '^({CELL}),({CELL})\\z', 1) AS a,
+    regexp_extract(r, '^({CELL}),({CELL})\\z', 2) AS b FROM r),
+u AS (SELECT rec_id, sound, two,
+    CASE WHEN a LIKE '"%' THEN replace(substr(a, 2, length(a) - 2), '""', '"') ELSE a END AS a,
+    CASE WHEN b LIKE '"%' THEN replace(substr(b, 2, length(b) - 2), '""', '"') ELSE b END AS b FROM c),
+v AS (SELECT rec_id, sound, two, b AS name,
+    CASE WHEN regexp_full_match(a, '[ \\t]*[+-]?[0-9]+[ \\t]*')
+         THEN try_cast(replace(trim(a, chr(9) || ' '), '+', '') AS BIGINT) END AS id,
+    regexp_matches(b, '[^\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')
+      AND NOT contains(b, chr(65533)) AS seen FROM u)
+"""
+
+
+@query(
+    RECORDS
+    + """SELECT rec_id, CASE WHEN NOT sound THEN 'quoting' WHEN NOT two THEN 'column_count' ELSE 'value' END AS reason
+FROM v WHERE NOT sound OR NOT two OR id IS NULL OR NOT seen"""
+)
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return strict_records.failed_records(table(spark, folder, "input_records"))
+
+
+@query(RECORDS + "SELECT rec_id, id, name FROM v WHERE sound AND two AND id IS NOT NULL AND seen")
+def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    return strict_records.load_valid(table(spark, folder, "input_records"))
