@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import format_copies, lookalike, mixing, near_duplicates, nearest_vectors, tokenize
+from loomline.llm import format_copies, lookalike, mixing, near_duplicates, nearest_vectors, pair_defects, tokenize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.broken_pairs(table(spark, folder, "faq"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors.neighbour_pairs(nearest_vectors.nearest_neighbours(table(spark, folder, "document_vectors")))
 
@@ -70,6 +74,6 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical, p8_classes)
+    q.__name__: q for q in (p1_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical, p8_classes)
 }
 SQL: dict[str, str] = {}
