@@ -78,6 +78,7 @@ FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 QUOTATION = re.compile(r"«[^«»]*»|»[^«»]*«|„[^“”]*[“”]|“[^“”]*”|\"[^\"]*\"|「[^」]*」|```.*?(?:```|\Z)|`[^`]*`", re.S)
 IDENTIFIER = re.compile(r"[\w.]*[\d_/][\w./-]*|\w+(?:-\w+)+-\d+")
 SENTENCE = re.compile(r"(?<=[.!?…。！？])[»”\"')\]]*\s+|\n+")
+LIST_MARK = re.compile(r"^[ \t]*(?:[-*•+]|\d+[.)])[ \t]+", re.M)
 ENDS = re.compile(r"[.!?…。！？]$")
 
 
@@ -284,7 +285,7 @@ def tokens_of(sentence: str) -> list[str]:
 def sentences_of(answer: str) -> list[tuple[list[str], str]]:
     """Masked words of each sentence, the last one without its stop, and how it ends."""
     out = []
-    for s in SENTENCE.split(unicodedata.normalize("NFC", answer).strip()):
+    for s in SENTENCE.split(LIST_MARK.sub("", unicodedata.normalize("NFC", answer).strip())):
         if s and s.strip():
             words = tokens_of(s)
             ended = bool(ENDS.search(s.rstrip("»”\"'’)]`*_ ")))
