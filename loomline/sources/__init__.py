@@ -1 +1,61 @@
+"""Sources: tables of rows with ``_seq`` (1-based, in source order, bad records included) and ``_err``."""
 
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from loomline.config import Source
+from loomline.errors import PipelineError
+from loomline.schema import SEQ
+
+#: Rows of a split where the pipeline doesn't say.
+ROWS_PER_SPLIT = 10_000
+
+
+@dataclass
+class Rows:
+    """An opened source. ``df`` has ``_seq``, ``_err`` (null for a good record) and the fields of ``schema``."""
+
+    df: DataFrame
+    schema: StructType
+    split_prefix: str
+    rows_per_split: int | None = None  # none: one split
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds ``_seq``, 1-based in the order of partitions and of rows within them, without a shuffle.
+
+    One pass counts the rows of each partition (a result as small as the number of partitions),
+    and the rows get their number from the offset of their partition. Needs a source whose
+    partitions are the same when read again, as those of files are.
+    """
+    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, pairs = 0, []
+    for part, n in counts:
+        pairs += [F.lit(part), F.lit(before)]
+        before += n
+    offsets = F.create_map(*pairs) if pairs else F.create_map(F.lit(0), F.lit(0))
+    return placed.withColumn(SEQ, (F.element_at(offsets, F.col("_part")) + F.col("_at") + 1).cast("bigint")).drop("_part", "_at")
+
+
+def open_source(spark: SparkSession, source: Source) -> Rows:
+    """Builds the table of a source. Its schema is known after this, so transforms can be checked; hardly a row has been read."""
+    from loomline.sources import documents, files, jdbc, paths, sql
+
+    if source.type == "file":
+        paths.configure(spark, source)
+        if source.format == "document":
+            return documents.read(spark, source)
+        rows = files.read_csv(spark, source) if source.format == "csv" else files.read_jsonl(spark, source)
+        rows.rows_per_split = source.max_rows_per_split or ROWS_PER_SPLIT
+        return rows
+    if source.type == "duckdb":
+        return sql.read(spark, source)
+    if source.type in ("postgres", "mysql"):
+        return jdbc.read(spark, source)
+    raise PipelineError(f"Unsupported source.type: {source.type}")
