@@ -22,24 +22,31 @@ def mock(dimensions: int = 4) -> Provider:
 
 @dataclass
 class HttpProvider:
-    """One POST to ``{base_url}/embeddings`` for each batch, with vectors put in order by their index."""
+    """One POST to ``{base_url}/embeddings`` for each batch, with vectors put in order by their index.
+
+    The key is read where the provider is made, on the driver: executors need no environment of their own.
+    """
 
     base_url: str
     model: str
-    key_env: str
+    key: str
     dimensions: int = 0
     timeout_ms: int = 30000
 
+    @classmethod
+    def of(cls, t: Transform) -> HttpProvider:
+        key = os.environ.get(t.key_env, "")
+        if not key.strip():
+            raise PipelineError(f"Missing API key environment variable: {t.key_env}")
+        return cls(t.base_url, t.model, key, t.dimensions, t.timeout_ms)
+
     def __call__(self, texts: list[str]) -> list[list[float]]:
         if not texts:
             return []
-        key = os.environ.get(self.key_env, "")
-        if not key.strip():
-            raise PipelineError(f"Missing API key environment variable: {self.key_env}")
         body: dict = {"input": texts, "model": self.model, "encoding_format": "float"}
         if self.dimensions:
             body["dimensions"] = self.dimensions
-        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
         request = urllib.request.Request(f"{self.base_url.rstrip('/')}/embeddings", json.dumps(body).encode(), headers, method="POST")
         try:
             with urllib.request.urlopen(request, timeout=self.timeout_ms / 1000) as answer:
@@ -79,7 +86,7 @@ class HttpProvider:
 #: Makers of providers by name. Further ones are added by :func:`register`.
 PROVIDERS: dict[str, Callable[[Transform], Provider]] = {
     "mock": lambda t: mock(t.dimensions),
-    "openai-compatible": lambda t: HttpProvider(t.base_url, t.model, t.key_env, t.dimensions, t.timeout_ms),
+    "openai-compatible": HttpProvider.of,
 }
 
 
