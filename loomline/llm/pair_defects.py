@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.plans.lineage import materialize
+
 # Stand-ins for a missing answer, after case, space and outer punctuation are gone.
 STAND_INS = {
     "", "no answer", "none", "null", "nil", "n/a", "na", "nan", "tbd", "tba", "todo", "empty", "missing", "not available", "undefined", "unknown", "blank", "placeholder", "xxx",
@@ -348,7 +350,7 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "defect", "long", "short", "long_before", "short_before", "last", "words", "dangles", "alone"])
 
     kind = pairs.schema["id"].dataType.simpleString()
-    judged = pairs.mapInArrow(judge, f"id {kind}, defect string, long string, short string, long_before string, short_before string, last string, words int, dangles boolean, alone boolean")
+    judged = materialize(pairs.mapInArrow(judge, f"id {kind}, defect string, long string, short string, long_before string, short_before string, last string, words int, dangles boolean, alone boolean"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -377,7 +379,7 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
     followers = answers.mapInArrow(follow, "context string, next string, n bigint").groupBy("context", "next").agg(F.sum("n").alias("n"))
     asked = judged.where("defect = '?'").select("id", "long", "short", "long_before", "short_before", "last", "words", "dangles", "alone")
     needed = asked.select(F.explode(F.array("long", "short", "long_before", "short_before")).alias("context")).distinct()
-    known = followers.join(needed, "context")
+    known = materialize(followers.join(needed, "context"))
     # A context that is asked for: how often a stop, an open end, a comma or a word follows.
     by_context = known.groupBy("context").agg(
         F.sum(F.when(F.col("next") == END, F.col("n")).otherwise(0)).alias("stops"),
