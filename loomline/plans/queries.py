@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loomline.sources import strict_records
+from loomline.config import Sink, Source, Transform
+from loomline.functions.strings import utf16_length
+from loomline.operators import embedding
+from loomline.operators.transforms import Chain
+from loomline.plans import jobs, splits, state
+from loomline.schema import BATCH, ERR, LONG, SEQ, STRING, VECTOR, field, row_type
+from loomline.sinks import console, file, vector
+from loomline.sources import demo, open_source, strict_records
 
 QUERIES = {}
 SQL = {}
@@ -59,3 +70,353 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 @query(RECORDS + "SELECT rec_id, id, name FROM v WHERE sound AND two AND id IS NOT NULL AND seen")
 def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return strict_records.load_valid(table(spark, folder, "input_records"))
+
+
+# Transforms ----------------------------------------------------------------------------------
+
+#: All characters up to U+0020, as SQL.
+SQL_TRIMMED = " || ".join(f"chr({i})" for i in range(1, 33))
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, content) of documents.text as a pipeline's rows: null text is empty, as sources give it."""
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+ROW = row_type([field("id", LONG), field("content", STRING)])
+
+
+def chained(df: DataFrame, *transforms: Transform, schema: StructType = ROW) -> DataFrame:
+    return Chain(list(transforms), schema)(df)
+
+
+@query("SELECT doc_id, source, lang FROM documents")
+def t1_select(spark: SparkSession, folder: str) -> DataFrame:
+    schema = row_type([field("doc_id", LONG), field("lang", STRING), field("source", STRING)])
+    return chained(table(spark, folder, "documents").select("doc_id", "lang", "source"), Transform("select", fields=["doc_id", "source", "lang"]), schema=schema)
+
+
+@query("SELECT id, coalesce(content, '') AS text FROM articles")
+def t2_rename(spark: SparkSession, folder: str) -> DataFrame:
+    return chained(table(spark, folder, "articles").select("id", F.coalesce("content", F.lit("")).alias("content")), Transform("rename", source="content", target="text"))
+
+
+@query(f"SELECT doc_id AS id, trim(coalesce(text, ''), {SQL_TRIMMED}) AS content FROM documents")
+def t3_trim(spark: SparkSession, folder: str) -> DataFrame:
+    return chained(texts(spark, folder), Transform("trim", field="content"))
+
+
+# Final sigma: DuckDB writes σ everywhere, so both sides show one form of it.
+@query("SELECT id, replace(lower(coalesce(content, '')), 'ς', 'σ') AS content FROM articles")
+def t4_lowercase(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "articles").select("id", F.coalesce("content", F.lit("")).alias("content"))
+    return chained(rows, Transform("lowercase", field="content"), Transform("replace", field="content", target="ς", replacement="σ"))
+
+
+@query("SELECT doc_id AS id, replace(coalesce(text, ''), '. ', '; ') AS content FROM documents")
+def t5_replace(spark: SparkSession, folder: str) -> DataFrame:
+    return chained(texts(spark, folder), Transform("replace", field="content", target=". ", replacement="; "))
+
+
+# A text of n > 0 UTF-16 units has one window up to the size, else ceil((n - overlap) / step).
+SQL_CHUNKS = """
+WITH d AS (SELECT doc_id AS id, text, length(text)::BIGINT AS n FROM documents
+           WHERE text <> '' AND length(text) = length(regexp_replace(text, '[\\x{10000}-\\x{10ffff}]', 'xx', 'g'))),
+k AS (SELECT *, unnest(range(0, CASE WHEN n <= 500 THEN 1 ELSE ceil((n - 50) / 450.0)::BIGINT END)) AS i FROM d)
+"""
+CHUNK = Transform("chunk", input="content", output="chunk", chunk_size=500, overlap=50, drop_input=True, include_offsets=True)
+
+
+@query(
+    SQL_CHUNKS
+    + """SELECT id, substr(text, (i * 450 + 1)::BIGINT, 500) AS chunk, i::BIGINT AS chunk_index, (i * 450)::BIGINT AS chunk_start, least(i * 450 + 500, n)::BIGINT AS chunk_end FROM k"""
+)
+def t6_chunk(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without supplementary characters, whose windows SQL can cut."""
+    plain = texts(spark, folder).where(utf16_length(F.col("content")) == F.length("content"))
+    return chained(plain, CHUNK)
+
+
+@query()
+def t6_chunk_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts; those with supplementary characters are cut by UTF-16 units, which SQL can't (tests hold them against brute force)."""
+    return chained(texts(spark, folder), CHUNK)
+
+
+@query("""
+WITH d AS (SELECT doc_id AS id, length(regexp_replace(coalesce(text, ''), '[\\x{10000}-\\x{10ffff}]', 'xx', 'g')) AS n FROM documents)
+SELECT id, (n)::FLOAT AS v0, (n + 1)::FLOAT AS v1, (n + 2)::FLOAT AS v2, (n + 3)::FLOAT AS v3 FROM d
+""")
+def t7_mock_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chained(texts(spark, folder), Transform("mock-embedding", input="content", output="v", dimensions=4))
+    return rows.select("id", *[F.col("v")[i].alias(f"v{i}") for i in range(4)])
+
+
+@query("""
+WITH d AS (SELECT doc_id AS id, length(regexp_replace(coalesce(text, ''), '[\\x{10000}-\\x{10ffff}]', 'xx', 'g')) AS n FROM documents)
+SELECT id, n::FLOAT AS first, (n + 7)::FLOAT AS last FROM d
+""")
+def t8_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """The batched provider path, through Arrow: the mock provider as an external one."""
+    embedding.register("local", lambda t: embedding.mock(8))
+    rows = chained(texts(spark, folder), Transform("embedding", provider="local", input="content", output="v", batch_size=32))
+    return rows.select("id", F.col("v")[0].alias("first"), F.col("v")[7].alias("last"))
+
+
+@query(f"""
+SELECT id, trim(lower(content), {SQL_TRIMMED}) AS body FROM (SELECT id, replace(content, 'x', '') AS content FROM articles WHERE content IS NOT NULL)
+WHERE trim(lower(content), {SQL_TRIMMED}) <> '' AND NOT regexp_matches(content, '[Σσς]')
+""")
+def t10_chain(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "articles").select("id", "content").where("content is not null and not content rlike '[Σσς]'")
+    return chained(
+        rows, Transform("replace", field="content", target="x"), Transform("lowercase", field="content"), Transform("trim", field="content"),
+        Transform("filter", field="content", op="not-empty"), Transform("rename", source="content", target="body"),
+    )
+
+
+# Filters -------------------------------------------------------------------------------------
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, content) of every line of documents.text, with its number in its text."""
+    split = texts(spark, folder).select("id", F.posexplode(F.split("content", "\n")).alias("line", "content"))
+    return split.select("id", F.col("line").cast("bigint").alias("line"), "content")
+
+
+SQL_LINES = "(SELECT id, line - 1 AS line, content[line] AS content FROM (SELECT id, content, unnest(range(1, len(content) + 1)) AS line FROM (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS content FROM documents)))"
+LINE = row_type([field("id", LONG), field("line", LONG), field("content", STRING)])
+UNITS = "length(regexp_replace({}, '[\\x{{10000}}-\\x{{10ffff}}]', 'xx', 'g'))"
+PREDICATES = {
+    "f1_not_empty": (dict(op="not-empty"), f"length(trim(content, {SQL_TRIMMED})) > 0"),
+    "f2_min_length": (dict(op="min-length", min_length=80), UNITS.format(f"trim(content, {SQL_TRIMMED})") + " >= 80"),
+    "f3_contains": (dict(op="contains", value="the"), "contains(content, 'the')"),
+    "f4_starts_with": (dict(op="starts-with", value="#"), "starts_with(content, '#')"),
+    "f5_ends_with": (dict(op="ends-with", value="."), "ends_with(content, '.')"),
+    "f6_equals": (dict(op="equals", value=""), "content = ''"),
+    "f7_not_equals": (dict(op="not-equals", value=""), "content <> ''"),
+    "f8_greater_than": (dict(field="line", op="greater-than", value="3"), "line > 3"),
+    "f9_greater_than_or_equal": (dict(field="line", op="greater-than-or-equal", value="3"), "line >= 3"),
+    "f10_less_than": (dict(field="line", op="less-than", value="3"), "line < 3"),
+    "f11_less_than_or_equal": (dict(field="line", op="less-than-or-equal", value="3"), "line <= 3"),
+}
+
+
+def _filter_query(settings: dict):  # noqa: ANN202
+    step = Transform("filter", **({"field": "content"} | settings))
+    return lambda spark, folder: chained(lines(spark, folder), step, schema=LINE)
+
+
+for _name, (_settings, _condition) in PREDICATES.items():
+    QUERIES[_name] = _filter_query(_settings)
+    SQL[_name] = f"SELECT id, line::BIGINT AS line, content FROM {SQL_LINES} WHERE {_condition}"
+
+
+# Sink rendering ------------------------------------------------------------------------------
+
+
+@query("""
+SELECT doc_id AS id, doc_id || ',' || CASE WHEN regexp_matches(coalesce(text, ''), '[,"\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE coalesce(text, '') END AS line FROM documents
+""")
+def k2_csv_line(spark: SparkSession, folder: str) -> DataFrame:
+    return texts(spark, folder).select("id", file.csv_line(ROW).alias("line"))
+
+
+@query("SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda v: printf('%.4f', v::DOUBLE)), ' ') || ']' AS cell FROM embeddings")
+def k2_vector_cell(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return rows.select("id", file.csv_line(row_type([field("v", VECTOR)])).alias("cell"))
+
+
+@query("""SELECT doc_id AS id, '{"id":' || doc_id || ',"content":' || to_json(coalesce(text, ''))::VARCHAR || '}' AS line FROM documents""")
+def k3_json_line(spark: SparkSession, folder: str) -> DataFrame:
+    return texts(spark, folder).select("id", file.json_line(ROW).alias("line"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+SELECT doc_id * 1000000 + i AS point_id, l[i + 1] AS content FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM d)
+""")
+def k7_point_ids(spark: SparkSession, folder: str) -> DataFrame:
+    schema = row_type([field("id", LONG), field("line", LONG), field("content", STRING), field("v", VECTOR)])
+    sink = vector.Qdrant(Sink("qdrant", url="", collection="c", id_field="id", vector_field="v", chunk_index_field="line", chunk_id_multiplier=1_000_000), schema, 0, print)
+    return lines(spark, folder).select(sink.point_id().alias("point_id"), "content")
+
+
+@query("""
+WITH e AS (SELECT id, line, content FROM (SELECT id, line - 1 AS line, content[line] AS content FROM (SELECT id, content, unnest(range(1, len(content) + 1)) AS line FROM
+     (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS content FROM documents))))
+SELECT '[Row] id=' || id || ', line=' || line || ', content=' || content AS line FROM e
+""")
+def k1_console_line(spark: SparkSession, folder: str) -> DataFrame:
+    sink = console.Console(Sink("console"), LINE, 0, print)
+    return lines(spark, folder).select(sink.line().alias("line"))
+
+
+# Dataflow control ----------------------------------------------------------------------------
+
+
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """(_seq, _err) of the whole table of raw records: its rec_id counts the rows, what doesn't load is bad."""
+    raw = table(spark, folder, "input_records").select(F.col("rec_id").alias(SEQ))
+    bad = strict_records.failed_records(table(spark, folder, "input_records")).select(F.col("rec_id").alias(SEQ), F.col("reason").alias(ERR))
+    return raw.join(bad, SEQ, "left")
+
+
+@query("SELECT (rec_id - 1) // 500 AS split, min(rec_id) AS first, max(rec_id) AS last, count(*) AS rows FROM input_records GROUP BY 1")
+def s14_splits(spark: SparkSession, folder: str) -> DataFrame:
+    numbered = table(spark, folder, "input_records").withColumn("split", splits.split_number(F.col("rec_id"), 500))
+    return numbered.groupBy("split").agg(F.min("rec_id").alias("first"), F.max("rec_id").alias("last"), F.count("*").alias("rows"))
+
+
+@query("SELECT rec_id, line_no FROM input_records WHERE rec_id BETWEEN 501 AND 1500")
+def s15_split_range(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = splits.plan("file", 4000, 500)[1:3]
+    return table(spark, folder, "input_records").where(F.col("rec_id").between(chosen[0].start, chosen[-1].end)).select("rec_id", "line_no")
+
+
+SQL_BATCHES = (
+    RECORDS
+    + """, s AS (SELECT rec_id, (rec_id - 1) // 500 AS split, NOT (sound AND two AND id IS NOT NULL AND seen) AS bad FROM v WHERE rec_id > 250),
+p AS (SELECT *, sum(bad::INT) OVER (PARTITION BY split ORDER BY rec_id) AS part FROM s),
+b AS (SELECT rec_id, split, part, bad, (row_number() OVER (PARTITION BY split, part, bad ORDER BY rec_id) - 1) // 7 AS no FROM p)
+"""
+)
+
+
+@query(SQL_BATCHES + "SELECT rec_id, split::BIGINT AS split, part::BIGINT AS part, no::BIGINT AS no FROM b WHERE NOT bad")
+def d1_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Flushes of 7 rows in splits of 500, behind a checkpoint at 250."""
+    batched = splits.with_batches(records(spark, folder), 500, 7, after=250).where(F.col(ERR).isNull())
+    return batched.select(F.col(SEQ).alias("rec_id"), F.col("_b_split").alias("split"), F.col("_b_part").alias("part"), F.col("_b_no").alias("no"))
+
+
+@query(
+    SQL_BATCHES
+    + """SELECT count(*) FILTER (NOT bad) AS rows_read, count(*) FILTER (bad) AS rows_failed,
+(SELECT count(*) FROM (SELECT DISTINCT split, part, no FROM b WHERE NOT bad)) AS batches, max(rec_id) AS checkpoint FROM b"""
+)
+def d6_counters(spark: SparkSession, folder: str) -> DataFrame:
+    batched = splits.with_batches(records(spark, folder), 500, 7, after=250)
+    flushes = batched.where(F.col(ERR).isNull()).groupBy(*BATCH).agg(F.count("*").alias("n"), F.max(SEQ).alias("last"), F.lit(0).alias("bad"))
+    failed = batched.where(F.col(ERR).isNotNull()).groupBy(*BATCH).agg(F.lit(0).cast("bigint").alias("n"), F.max(SEQ).alias("last"), F.count("*").alias("bad"))
+    both = flushes.unionByName(failed)
+    return both.agg(F.sum("n").alias("rows_read"), F.sum("bad").alias("rows_failed"), F.count_if(F.col("n") > 0).alias("batches"), F.max("last").alias("checkpoint"))
+
+
+@query("SELECT rec_id FROM input_records WHERE rec_id > 640")
+def d4_resume(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.with_batches(records(spark, folder), 500, 7, after=640).select(F.col(SEQ).alias("rec_id"))
+
+
+@query(RECORDS + ", bad AS (SELECT min(rec_id) AS first FROM v WHERE NOT (sound AND two AND id IS NOT NULL AND seen)) SELECT rec_id FROM v, bad WHERE rec_id < first")
+def s18_fail_fast(spark: SparkSession, folder: str) -> DataFrame:
+    """What a fail-fast run writes: the rows before the first bad record."""
+    rows = records(spark, folder)
+    first = rows.where(F.col(ERR).isNotNull()).agg(F.min(SEQ).alias("first"))
+    return rows.join(F.broadcast(first), F.col(SEQ) < F.col("first")).select(F.col(SEQ).alias("rec_id"))  # one row is broadcast
+
+
+@query("""
+WITH x AS (SELECT DISTINCT event_id AS n FROM events WHERE user_id % 3 <> 0), i AS (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM x)
+SELECT min(n) AS first, max(n) AS last, count(*) AS rows FROM i GROUP BY g
+""")
+def d9_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Gapless runs of event numbers, where every third user's events are missing."""
+    return splits.runs(table(spark, folder, "events").where("user_id % 3 <> 0"), "event_id")
+
+
+@query("""
+WITH s AS (SELECT (rec_id - 1) // 500 AS split, min(rec_id) AS first, max(rec_id) AS last FROM input_records GROUP BY 1), n AS (SELECT count(*) AS n FROM s)
+SELECT split // ceil(n / least(n, 4.0))::BIGINT AS bundle, min(first) AS first, max(last) AS last, count(*) AS splits FROM s, n GROUP BY 1
+""")
+def x1_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    total = table(spark, folder, "input_records").agg(F.max("rec_id")).first()[0] or 0
+    planned = splits.bundles(splits.plan("file", total, 500), 4)
+    return spark.createDataFrame([(i, b[0].start, b[-1].end, len(b)) for i, b in enumerate(planned)], "bundle bigint, first bigint, last bigint, splits bigint")
+
+
+TASK_STATE = "CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'FAILED' ELSE 'RUNNING' END"
+
+
+@query(f"""
+WITH t AS (SELECT o_custkey AS job_id, {TASK_STATE} AS state FROM orders)
+SELECT job_id, CASE WHEN count(*) FILTER (state = 'RUNNING') > 0 THEN NULL WHEN count(*) FILTER (state = 'COMPLETED') = count(*) THEN 'COMPLETED'
+WHEN count(*) FILTER (state = 'COMPLETED') > 0 THEN 'FINISHED_WITH_ERRORS' ELSE 'FAILED' END AS state, count(*) AS tasks FROM t GROUP BY 1
+""")
+def x4_job_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as tasks of their customer's job."""
+    return jobs.job_states(table(spark, folder, "orders").select(F.col("o_custkey").alias("job_id"), F.expr(TASK_STATE).alias("state")))
+
+
+@query(f"SELECT o_custkey AS job_id, o_orderkey AS task FROM orders WHERE {TASK_STATE} = 'FAILED'")
+def x3_failed_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    tasks = table(spark, folder, "orders").withColumn("state", F.expr(TASK_STATE))
+    return tasks.where(F.col("state") == state.FAILED).select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("task"))
+
+
+# Whole pipelines and SQL pass-through --------------------------------------------------------
+
+
+@query("SELECT ('User-' || i) AS name, i AS id FROM (SELECT unnest(range(1, 11)) AS i)")
+def s13_demo_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.users(spark)
+
+
+def passed_through(spark: SparkSession, folder: str, text: str) -> DataFrame:
+    """The rows of a SQL source over the folder's files, as a pipeline gets them (numbers and text)."""
+    rows = open_source(spark, Source("duckdb", query=text.replace("{d}", folder)))
+    return rows.df.drop(SEQ, ERR)
+
+
+def _sql_query(name: str, text: str) -> None:
+    """Registers a query that is SQL over files on both sides."""
+    QUERIES[name] = lambda spark, folder: passed_through(spark, folder, text)
+    SQL[name] = re.sub(r"read_parquet\('\{d\}/(\w+)\.parquet'\)", r"\1", text)
+
+
+P = "read_parquet('{{d}}/{}.parquet')".format
+_sql_query("s11_join", f"""
+SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT o_custkey) AS customers, max(n_name) AS nation
+FROM {P('orders')} JOIN {P('customer')} ON o_custkey = c_custkey JOIN {P('nation')} ON c_nationkey = n_nationkey GROUP BY c_mktsegment""")
+_sql_query("s11_left_join", f"""
+SELECT s_suppkey, count(l_orderkey) AS lines, coalesce(min(l_returnflag), '') AS flag FROM {P('supplier')} LEFT JOIN {P('lineitem')} ON s_suppkey = l_suppkey AND l_quantity > 45 GROUP BY s_suppkey""")
+_sql_query("s11_semi_anti", f"""
+SELECT c_custkey, c_name FROM {P('customer')} c WHERE EXISTS (SELECT 1 FROM {P('orders')} o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F')
+AND NOT EXISTS (SELECT 1 FROM {P('orders')} o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P')""")
+_sql_query("s11_window", f"""
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place,
+coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS before FROM {P('events')}""")
+_sql_query("s11_rollup", f"""
+SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n, cast(sum(cast(l_quantity AS BIGINT)) AS BIGINT) AS quantity
+FROM {P('lineitem')} GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+_sql_query("s11_set_operations", f"""
+SELECT n_regionkey AS k FROM {P('nation')} WHERE n_nationkey < 10 INTERSECT SELECT r_regionkey FROM {P('region')} EXCEPT SELECT 2""")
+_sql_query("s11_top_k", f"SELECT o_orderkey, o_custkey FROM {P('orders')} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+_sql_query("s11_subquery", f"""
+WITH spent AS (SELECT o_custkey AS k, count(*) AS n FROM {P('orders')} GROUP BY o_custkey)
+SELECT k, n FROM spent WHERE n > (SELECT avg(n) FROM spent)""")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS id, trim(text, {SQL_TRIMMED}) AS text FROM documents WHERE text IS NOT NULL),
+e AS (SELECT id, text, length(text)::BIGINT AS n FROM d WHERE text <> '' AND length(text) = {UNITS.format('text')}),
+k AS (SELECT *, unnest(range(0, CASE WHEN n <= 500 THEN 1 ELSE ceil((n - 50) / 450.0)::BIGINT END)) AS i FROM e),
+c AS (SELECT id, substr(text, (i * 450 + 1)::BIGINT, 500) AS chunk, i::BIGINT AS chunk_index FROM k)
+SELECT id, chunk, chunk_index, length(chunk)::FLOAT AS first FROM c
+""")
+def q_flagship(spark: SparkSession, folder: str) -> DataFrame:
+    plain = texts(spark, folder).where(utf16_length(F.col("content")) == F.length("content"))
+    return _flagship(plain).select("id", "chunk", "chunk_index", F.col("embedding")[0].alias("first"))
+
+
+def _flagship(rows: DataFrame) -> DataFrame:
+    return chained(
+        rows, Transform("trim", field="content"), Transform("filter", field="content", op="not-empty"),
+        Transform("chunk", input="content", output="chunk", chunk_size=500, overlap=50, drop_input=True), Transform("mock-embedding", input="chunk", output="embedding"),
+    )
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, trimmed, without the empty ones, in overlapping chunks with vectors: one narrow native plan."""
+    return _flagship(texts(spark, folder))
