@@ -76,4 +76,29 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (p1_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical, p8_classes)
 }
-SQL: dict[str, str] = {}
+# Brute force in SQL: all sets of substrings joined with each other.
+SIMILAR = """
+WITH n AS (SELECT doc_id, regexp_replace(lower(content), '[^\\p{L}\\p{M}\\p{Nd}]+', '', 'g') AS t FROM documents WHERE content IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, substr(t, i, 8) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 6)) AS i FROM n WHERE length(t) >= 8)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y WHERE shared >= 0.7 * (sx.n + sy.n - shared)
+"""
+# DuckDB writes no final sigma, so both of its forms count as one here; no two of the texts differ by it alone.
+COPIES = """
+WITH r AS (SELECT 'articles' AS tbl, id, content FROM articles UNION ALL SELECT 'documents', doc_id, content FROM documents),
+c AS (SELECT * FROM r WHERE regexp_matches(content, '[\\p{L}\\p{M}\\p{Nd}]')),
+j AS (SELECT *, CASE WHEN content LIKE '%{%' AND json_valid(content) AND json_type(content) = 'OBJECT' THEN content::JSON END AS o FROM c),
+k AS (SELECT *, list_filter(regexp_split_to_array(content, '\\r\\n|\\r|\\n'), lambda l: regexp_matches(l, '[^\\s\\p{Z}]')) AS lines FROM j),
+f AS (SELECT tbl, id, content, CASE
+    WHEN o IS NOT NULL AND len(list_filter(json_keys(o), lambda n: json_type(o, '$."' || n || '"') <> 'VARCHAR')) = 0
+    THEN list_transform(json_keys(o), lambda n: [n, json_extract_string(o, '$."' || n || '"')])
+    WHEN len(list_filter(lines, lambda l: NOT regexp_matches(l, '^[^:\\p{L}\\p{M}\\p{Nd}]*[\\p{L}\\p{M}\\p{Nd}]+[^:\\p{L}\\p{M}\\p{Nd}]*:'))) = 0
+    THEN list_transform(lines, lambda l: [split_part(l, ':', 1), substr(l, instr(l, ':') + 1)])
+    ELSE [[chr(1) || 'prose', content]] END AS fields FROM k),
+w AS (SELECT tbl, id, list_sort(list_transform(fields, lambda p: list_transform(p, lambda x:
+    CASE WHEN x = chr(1) || 'prose' THEN x ELSE trim(regexp_replace(replace(lower(x), 'ς', 'σ'), '[^\\p{L}\\p{M}\\p{Nd}]+', ' ', 'g')) END))) AS key FROM f),
+m AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, key) AS kept_id FROM w)
+SELECT tbl, kept_id, id AS copy_id FROM m WHERE id <> kept_id
+"""
+SQL: dict[str, str] = {"p4_found": SIMILAR, "p5_found": COPIES}
