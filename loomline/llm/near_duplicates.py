@@ -138,7 +138,8 @@ def similar_contents(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids)], ["run", "rep"])
 
     entries = reps.select("rep", "sketch", "n").mapInArrow(lists, "run bigint, rep bigint")
-    shared = entries.groupBy("run").agg(F.count("*").alias("_n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("_n > 1")
+    # Lists of one record, nearly all, end here; the rest is a small table.
+    shared = materialize(entries.groupBy("run").agg(F.count("*").alias("_n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("_n > 1"))
     # Most lists of several records hold two of them: their pair is there after aggregation.
     twos = shared.where("_n = 2").select(F.col("first").alias("rep_a"), F.col("last").alias("rep_b"))
     longer = materialize(hot_aware_lookup(entries, shared.where("_n > 2").select("run", "_n"), "run", "_n"))
