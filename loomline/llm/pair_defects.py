@@ -77,9 +77,12 @@ CLOSERS = frozenset(OPENERS.values())
 MARKUP = re.compile(r"<[^<>]*>|&(?:nbsp|#160|#x?0*a0|zwnj|zwj|shy);")
 WORD = re.compile(r"\w+(?:['’]\w+)*")
 FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
-QUOTATION = re.compile(r"«[^«»]*»|»[^«»]*«|„[^“”]*[“”]|“[^“”]*”|\"[^\"]*\"|「[^」]*」|```.*?(?:```|\Z)|`[^`]*`", re.S)
-IDENTIFIER = re.compile(r"[\w.]*[\d_/][\w./-]*|\w+(?:-\w+)+-\d+")
+QUOTATION = re.compile(r"«[^«»]*»|»[^«»]*«|„[^„“”]*[“”]|“[^“”]*”|\"[^\"]*\"|「[^」]*」|```.*?(?:```|\Z)|`[^`]*`", re.S)
+TOKEN = re.compile(r"[\w./-]+")
+TELLS = re.compile(r"[\d_/]")
 SENTENCE = re.compile(r"(?<=[.!?…。！？])[»”\"')\]]*\s+|\n+")
+#: Marks that may stand behind a full stop.
+CLOSING = "»”“\"'’)]}`*_"
 LIST_MARK = re.compile(r"^[ \t]*(?:[-*•+]|\d+[.)])[ \t]+", re.M)
 ENDS = re.compile(r"[.!?…。！？]$")
 
@@ -90,10 +93,15 @@ def visible(text: str | None) -> str:
     return "".join(" " if c.isspace() else c for c in text if c in "\n\t" or unicodedata.category(c) not in ("Cf", "Cc"))
 
 
+def without_identifiers(text: str) -> str:
+    """The text less file names, paths, numbers and the like: what has a digit, underscore or slash."""
+    return TOKEN.sub(lambda m: " " if TELLS.search(m[0]) else m[0], text)
+
+
 def is_empty(answer: str | None) -> bool:
     text = visible(answer).casefold()
-    core = re.sub(r"^[\W_]+|[\W_]+$", "", text)
-    return re.sub(r"\s+", " ", core) in STAND_INS
+    kept = [i for i, c in enumerate(text) if c.isalnum()]
+    return not kept or " ".join(text[kept[0] : kept[-1] + 1].split()) in STAND_INS
 
 
 class SuffixAutomaton:
@@ -128,7 +136,7 @@ class SuffixAutomaton:
 
     def coverage(self, words: list[str]) -> tuple[list[bool], int]:
         """Which words lie in a run of 3 or more (or the whole) shared with the question, and the longest run."""
-        covered, state, run, longest = [False] * len(words), 0, 0, 0
+        runs, state, run, longest = [0] * len(words), 0, 0, 0
         for i, word in enumerate(words):
             while state and word not in self.next[state]:
                 state = self.link[state]
@@ -137,9 +145,11 @@ class SuffixAutomaton:
                 state, run = self.next[state][word], run + 1
             else:
                 run = 0
-            longest = max(longest, run)
-            if run >= min(3, len(words)):
-                covered[i - run + 1 : i + 1] = [True] * run
+            longest, runs[i] = max(longest, run), run
+        covered, reach = [False] * len(words), 0
+        for i in range(len(words) - 1, -1, -1):
+            reach = max(reach - 1, runs[i] if runs[i] >= min(3, len(words)) else 0)
+            covered[i] = reach > 0
         return covered, longest
 
 
@@ -167,7 +177,7 @@ def script_of(text: str) -> Counter:
 
 def language_votes(text: str) -> tuple[str | None, dict[str, float]]:
     """Main script, and for Latin and Cyrillic text the votes for each language."""
-    bare = IDENTIFIER.sub(" ", QUOTATION.sub(" ", text))
+    bare = without_identifiers(QUOTATION.sub(" ", text))
     scripts = script_of(bare)
     if not scripts:
         return None, {}
@@ -185,7 +195,7 @@ def other_language(question: str | None, answer: str) -> bool:
     if not asked_script or not said_script:
         return False
     if asked_script != said_script:
-        letters = script_of(IDENTIFIER.sub(" ", QUOTATION.sub(" ", visible(answer))))
+        letters = script_of(without_identifiers(QUOTATION.sub(" ", visible(answer))))
         return sum(letters.values()) >= 6 and letters[asked_script] < 0.3 * sum(letters.values())
     if said_script != "latin":
         return False
@@ -228,7 +238,10 @@ def delimiters_open(text: str) -> bool:
         elif stack and stack[-1] == "`":
             continue
         elif c == '"':
-            stack.pop() if stack and stack[-1] == '"' else stack.append('"')
+            if stack and stack[-1] == '"':
+                stack.pop()
+            elif not before.isdigit():  # else inches or seconds
+                stack.append('"')
         elif c == "„":
             stack.append("“”")
         elif c in "“”" and stack and stack[-1] == "“”":
@@ -247,13 +260,13 @@ def delimiters_open(text: str) -> bool:
 def cut_by_form(answer: str) -> bool | None:
     """Whether the end shows a cut by its form; null where only other answers can tell."""
     text = unicodedata.normalize("NFC", answer).rstrip()
-    text = re.sub(r"[​-‍⁠﻿\xad]+$", "", text).rstrip()
+    text = text.rstrip("\u200b\u200c\u200d\u2060\ufeff\xad").rstrip()
     if delimiters_open(text):
         return True
     if re.search(r"(?:^|\n)[ \t]*(?:[-*•+]|\d+[.)])$", text) or re.search(r"[,;:([{«„\-–—/&+=]$", text):
         return True
-    bare = re.sub(r"[*_~]+$", "", text)
-    if bare.endswith(("```", "~~~")) or ENDS.search(re.sub(r"[»”“\"'’)\]}`*_]+$", "", bare)) or bare[-1:] in CLOSERS or bare[-1:] in "\"'`’":
+    bare = text.rstrip("*_~")
+    if bare.endswith(("```", "~~~")) or ENDS.search(bare.rstrip(CLOSING)) or bare[-1:] in CLOSERS or bare[-1:] in "\"'`’":
         return False
     return None
 
@@ -277,7 +290,7 @@ def tokens_of(sentence: str) -> list[str]:
         core = t.strip("()[]{}«»“”„\"'`*.,;:!?…")
         if re.fullmatch(r"[\d.,:%]*\d[\d.,:%]*", core):
             t = t.replace(core, "#")
-        elif core and IDENTIFIER.fullmatch(core) or re.fullmatch(r"[a-z]+-[a-z]+-\d+", core):
+        elif TOKEN.fullmatch(core) and TELLS.search(core):
             whole = re.search(r"\d$|\.[a-z]{2,5}$", core) or re.fullmatch(r"[a-z]+_[a-z]+", core)
             t = t.replace(core, NAME if whole else NAME_CUT)
         out.append(t)
@@ -300,9 +313,10 @@ def sentences_of(answer: str) -> list[tuple[list[str], str]]:
 LONG, SHORT = 4, 2
 
 
-def contexts(words: list[str]) -> tuple[str, str]:
-    """The last words without their marks, sentence start included: a long and a short context."""
-    padded = [START, *(w.strip(MARKS) or w for w in words)]
+def contexts(words: list[str], stop: int) -> tuple[str, str]:
+    """The words before ``stop`` without their marks, sentence start included: a long and a short context."""
+    before = words[max(0, stop - LONG) : stop]
+    padded = [*([START] if stop < LONG else []), *(w.strip(MARKS) or w for w in before)]
     return "\x1f".join(["4", *padded[-LONG:]]), "\x1f".join(["2", *padded[-SHORT:]])
 
 
@@ -343,7 +357,7 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
                     alone = len(sentences) < 2 or len(sentences_of(a.strip().rsplit("\n", 1)[-1])) < 2
                     if not words or len(words) == 1 and len(WORD.findall(a)) <= 1:
                         continue
-                    row[2:10] = [*contexts(words), *contexts(words[:-1]), words[-1].strip(MARKS), len(words), dangles(a), alone]
+                    row[2:10] = [*contexts(words, len(words)), *contexts(words, len(words) - 1), words[-1].strip(MARKS), len(words), dangles(a), alone]
                 out.append(row)
             columns = list(zip(*out)) or [()] * 10
             kinds = [batch.column(0).type, *[pa.string()] * 6, pa.int32(), pa.bool_(), pa.bool_()]
@@ -365,7 +379,7 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
             for a in batch.column(0).to_pylist():
                 for words, end in sentences_of(a):
                     for j in range(len(words) + 1):
-                        long, short = contexts(words[:j])
+                        long, short = contexts(words, j)
                         inner = j < len(words)
                         mark = PHRASE if inner and j and words[j - 1][-1] in ",;:" else ""
                         follower = mark + words[j].strip(MARKS) if inner else end
