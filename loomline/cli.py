@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("examples", help="show an example pipeline file")
     commands.add_parser("local-demo", help="ten generated rows on the console")
     commands.add_parser("ai-demo", help="ten generated documents with vectors on the console")
+    commands.add_parser("recover-demo", help="a run that fails half-way, and the run that goes on behind its checkpoint")
     c = commands.add_parser("submit", help="plan a job and run it")
     c.add_argument("-f", "--file", required=True)
     c.add_argument("--state-dir", required=True)
@@ -124,6 +125,8 @@ def _command(args: argparse.Namespace, show, spark) -> int:  # noqa: ANN001
         df = chain(demo.documents(spark) if ai else demo.users(spark))
         sink = (console.MockVector if ai else console.Console)(config.Sink("console"), chain.schema, 0, show)
         sink.write(sink.render(df.orderBy("id")).collect(), 10)
+    elif args.command == "recover-demo":
+        _recover_demo(spark, show)
     elif args.command == "submit":
         jobs = Jobs(spark, args.state_dir)
         job = jobs.submit(pipeline, args.max_parallelism)
@@ -140,5 +143,32 @@ def _command(args: argparse.Namespace, show, spark) -> int:  # noqa: ANN001
     return 0
 
 
+def _recover_demo(spark, show) -> None:  # noqa: ANN001
+    import tempfile
+
+    from loomline import sinks
+    from loomline.plans import runner
+    from loomline.sinks import console
+
+    class Fails(console.Console):
+        left = 1
+
+        def write(self, rows: list, last_seq: int) -> None:
+            if last_seq > 5 and Fails.left:
+                Fails.left -= 1
+                raise RuntimeError("simulated crash")
+            super().write(rows, last_seq)
+
+    sinks.register("fails-once", Fails)
+    with tempfile.TemporaryDirectory() as folder:
+        Path(folder, "users.csv").write_text("id,name\n" + "".join(f"{i},User-{i}\n" for i in range(1, 11)))
+        demo = config.Pipeline("recover-demo", config.Source("file", f"{folder}/users.csv", "csv"), [], config.Sink("fails-once"), f"{folder}/state")
+        try:
+            runner.run(spark, demo, show)
+        except PipelineError as e:
+            show(str(e))
+        show(runner.run(spark, demo, show).line())
+
+
 if __name__ == "__main__":
     sys.exit(main())

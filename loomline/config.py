@@ -47,6 +47,7 @@ class Source:
     access_key_env: str | None = None
     secret_key_env: str | None = None
     path_style: bool = True
+    options: Mapping[str, str] = default(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,7 @@ class Sink:
     timeout_ms: int = 30000
     chunk_index_field: str | None = None
     chunk_id_multiplier: int = 0
+    options: Mapping[str, str] = default(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -295,7 +297,7 @@ def load_sink(s: Settings, paths: Paths) -> Sink:
         s.refuse("sink.{key} is only supported for sink.type: qdrant", "chunkIndexField", "chunkIdMultiplier")
         s.refuse("sink.payloadFields is only supported for sink.type: qdrant, pgvector, or milvus", "payloadFields")
         if kind != "file":
-            return Sink(kind)
+            return Sink(kind, options=dict(s.values))
         path = paths.local(s.need("path"), "sink.path")
         return Sink(kind, path, s.choice("format", ("csv", "jsonl")), s.choice("mode", ("overwrite", "append"), "overwrite"))
     chunk_index, multiplier = None, 0
@@ -372,7 +374,7 @@ def load_transform(values: Mapping[str, str], place: str) -> Transform:
 
 def loads(text: str, path: Path | None = None, restricted: bool | None = None) -> Pipeline:
     """The pipeline of a file's text. ``path`` is where relative paths start from."""
-    from loomline import sinks
+    from loomline import sinks, sources
 
     top, sections, items = parse(text)
     if not top.get("name", "").strip():
@@ -386,9 +388,10 @@ def loads(text: str, path: Path | None = None, restricted: bool | None = None) -
         raise ConfigError("source.type document-directory has been replaced by source.type: file with format: document")
     if source.values["type"] == "s3":
         raise ConfigError("source.type s3 has been replaced by source.type: file with an s3:// path")
-    source.choice("type", SOURCE_TYPES)
+    source.choice("type", (*SOURCE_TYPES, *sources.REGISTERED))
     sink.choice("type", (*SINK_TYPES, *sinks.REGISTERED))
-    loaded = load_source(source, paths), load_sink(sink, paths)
+    registered = source.values["type"] in sources.REGISTERED
+    loaded = Source(source.values["type"], options=dict(source.values)) if registered else load_source(source, paths), load_sink(sink, paths)
     policy = Settings(sections.get("errorPolicy", {}), "errorPolicy").choice("mode", ("fail-fast", "skip-bad-records"), "fail-fast")
     state = paths.state(sections.get("checkpoint", {}).get("stateDir"))
     transforms = [load_transform(t, f"transforms[{i}]") for i, t in enumerate(items)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,14 @@ class Rows:
     rows_per_split: int | None = None  # none: one split
 
 
+#: Makers of sources by type, beside the built-in ones: (session, settings) -> Rows. Added by :func:`register`.
+REGISTERED: dict[str, Callable[[SparkSession, Source], Rows]] = {}
+
+
+def register(name: str, make: Callable[[SparkSession, Source], Rows]) -> None:
+    REGISTERED[name] = make
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Adds ``_seq``, 1-based in the order of partitions and of rows within them, without a shuffle.
 
@@ -58,4 +67,6 @@ def open_source(spark: SparkSession, source: Source) -> Rows:
         return sql.read(spark, source)
     if source.type in ("postgres", "mysql"):
         return jdbc.read(spark, source)
+    if source.type in REGISTERED:
+        return REGISTERED[source.type](spark, source)
     raise PipelineError(f"Unsupported source.type: {source.type}")

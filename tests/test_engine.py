@@ -508,6 +508,25 @@ def test_command_line(spark, tmp_path):
     assert [c["sinkBatches"] for c in counted] == [10, 3] and all(c["rowsWritten"] == 10 for c in counted)
 
 
+def test_recover_demo(spark):
+    shown = []
+    assert cli.main(["recover-demo"], shown.append, spark) == 0
+    assert [x for x in shown if x.startswith("[Row]")] == [f"[Row] id={i}, name=User-{i}" for i in range(1, 11)]
+    assert "Sink stage failed: simulated crash" in shown and "rowsSkipped=5" in shown[-1]
+
+
+def test_registered_source(spark, tmp_path):
+    from loomline import sources
+
+    def make(session, source):
+        rows = session.range(1, 1 + int(source.options["count"])).selectExpr("id as _seq", "cast(null as string) as _err", "id", "'x' as content")
+        return sources.Rows(rows, ROW, "made", 2)
+
+    sources.register("made", make)
+    done = runner.run(spark, config.loads("name: m\nsource:\n  type: made\n  count: 5\nsink:\n  type: console\n"), lambda _: None)
+    assert (done.rowsRead, done.rowsWritten, done.sourceSplits) == (5, 5, 3)
+
+
 def test_streaming_folder(spark, tmp_path):
     from loomline.streaming.incremental import stream_folder
 
