@@ -39,6 +39,9 @@ SAME_PICTURE = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medi
 # Letters whose <compat> decomposition looks different (long s and its ligature, n with apostrophe).
 COMPAT_DIFFERS = "ſﬅŉ"
 
+#: No code point from here on has a decomposition or is a space.
+LAST_DECOMPOSED = 0x30000
+
 JOINERS = "‌‍"
 PICTOGRAPH = "©®‼⁉™ℹ←-⇿⌀-⏿■-➿⤀-⥿⬀-⯿〰〽㊗㊙\U0001f000-\U0001faff"
 JOINING_SCRIPTS = "؀-ࣿऀ-෿ༀ-႟ក-᢯ꡀ-꡿ﭐ-﷿ﹰ-ﻼ"
@@ -94,9 +97,7 @@ def picture_of(c: str) -> str | None:
 def look_alike_classes() -> list[list[str]]:
     """The transitive classes, over decomposed (NFD) text. The members' number is bounded by Unicode, not by data."""
     classes = Classes()
-    for c in map(chr, range(0x110000)):
-        if 0xD800 <= ord(c) < 0xE000:
-            continue
+    for c in map(chr, (*range(0xD800), *range(0xE000, LAST_DECOMPOSED))):
         if (like := picture_of(c)) and like != c:
             classes.union(c, like)
     for word in SAME_SHAPE.split():
