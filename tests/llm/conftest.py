@@ -2,12 +2,12 @@ import os
 
 import pytest
 
-DATA = os.environ.get("LOOMLINE_TESTDATA", "/root/testdata/sf0.001")
+FOLDER = os.environ.get("LOOMLINE_TESTDATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def tables(spark):
-    """Reads a table of the smallest test data; tests that need them are skipped where they are missing."""
-    if not os.path.isdir(DATA):
+def folder():
+    """The smallest test data; tests that need it are skipped where it is missing."""
+    if not os.path.isdir(FOLDER):
         pytest.skip("no test data")
-    return lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
+    return FOLDER
