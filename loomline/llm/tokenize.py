@@ -40,7 +40,7 @@ WINDOW = 4096
 CONTRACTIONS_1 = "stmd"
 CONTRACTIONS_2 = ("re", "ve", "ll")
 #: Unicode White_Space.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 _classes: np.ndarray | None = None

@@ -17,7 +17,7 @@ SAME = [
 ]
 DIFFERENT = [
     ("cafe", "café"), ("Word", "word"), ("m2", "m²"), ("1", "①"), ("0", "O"), ("l", "1"), ("I", "l"), ("a b", "a  b"), ("ab", "a b"), ("it's", "it’s"), ("-", "—"), ("👩💻", "👩‍💻"),
-    ("て", "で"), ("α", "a"), ("rn", "m"), ("½", "1/2"), ("ſ", "s"), ("س‌ت", "ست"), ("ç", "c"), ("Å", "A"), ("a\tb", "a b"),
+    ("て", "で"), ("α", "a"), ("rn", "m"), ("½", "1/2"), ("ſ", "s"), ("س‌ت", "ست"), ("ç", "c"), ("Ø", "ø"), ("ʏ", "y"), ("Å", "A"), ("a\tb", "a b"),
 ]
 
 
