@@ -25,8 +25,10 @@ from loomline.plans.lineage import materialize
 CELL_ROWS, MOST_CELLS = 800, 32768
 #: Rows of the sample that centres and code words are fitted on, per cell and at most. Every row is indexed.
 SAMPLE_PER_CELL, MOST_SAMPLE = 48, 400_000
-#: Cells that a query scans, and candidates of each scan that are ranked exactly.
+#: Cells that a query scans at least, and candidates of each scan that are ranked exactly.
 PROBES, CANDIDATES = 6, 72
+#: Queries whose neighbours are looked up in the whole table to choose the cells scanned, and the share of these neighbours that must lie in them.
+TRIAL_QUERIES, TRIAL_RECALL = 512, 0.99
 #: Weight of the parallel error: (d - 1) T² / (1 - T²) for the score threshold T = 0.2 in 64 dimensions.
 ETA = 2.6
 #: Rows of a cell that one task scans at a time, and queries that come with them; larger cells are cut.
@@ -183,11 +185,55 @@ def usable_vectors(vectors: DataFrame, key: str, embedding: str, dims: int) -> D
     return rows.mapInArrow(run, "id bigint, v binary")
 
 
+def probes_needed(unit: DataFrame, centres: np.ndarray, k: int, dims: int, least: int) -> int:
+    """Cells that a query has to scan, ``least`` or more, so that they hold :data:`TRIAL_RECALL` of all true neighbours.
+
+    The neighbours of queries taken by a hash are found by brute force over the whole table, one
+    pass of one matrix product a batch; each counts with the place of its cell in its query's order.
+    """
+    if least >= len(centres):
+        return len(centres)
+    trial = unit.withColumn("_h", F.xxhash64("id", F.lit(3))).orderBy("_h").limit(TRIAL_QUERIES).select("id", "v").toPandas()
+    q_ids, q = trial["id"].to_numpy(), np.frombuffer(b"".join(trial["v"]), np.float32).reshape(-1, dims)
+    asked = unit.sparkSession.sparkContext.broadcast((q_ids, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = asked.value
+        minus, vectors = np.zeros((len(q), 0), np.float32), np.zeros((len(q), 0, dims), np.float32)  # the best of the task so far
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dims)
+            far = -(q @ x.T)
+            far[q_ids[:, None] == ids[None]] = np.inf
+            if k < len(ids):
+                best = np.argpartition(far, k - 1, axis=1)[:, :k]
+                far, near = np.take_along_axis(far, best, 1), x[best]
+            else:
+                near = np.broadcast_to(x, (len(q), *x.shape))
+            minus, vectors = np.concatenate([minus, far], 1), np.concatenate([vectors, near], 1)
+            best = np.argsort(minus, axis=1)[:, :k]
+            minus, vectors = np.take_along_axis(minus, best, 1), np.take_along_axis(vectors, best[:, :, None], 1)
+        columns = [pa.array(np.repeat(q_ids, minus.shape[1])), pa.array(minus.ravel().astype(np.float64)), pa.array([v.tobytes() for v in vectors.reshape(-1, dims)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["q", "minus", "v"])
+
+    every = unit.mapInArrow(run, "q bigint, minus double, v binary").where(F.col("minus") < F.lit(float("inf")))
+    best = every.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("minus", "v"))), 1, k).alias("best"))
+    found = best.select("q", F.explode("best.v").alias("v")).toPandas()  # k rows a query
+    place = {int(i): n for n, i in enumerate(q_ids)}
+    queries = q[[place[int(i)] for i in found["q"]]]
+    cells = nearest(np.frombuffer(b"".join(found["v"]), np.float32).reshape(-1, dims), centres)
+    half, ranks = (centres**2).sum(1) / 2, np.zeros(len(found), np.int64)
+    for i in range(0, len(found), 256):
+        far = half - queries[i : i + 256] @ centres.T
+        ranks[i : i + 256] = (far <= np.take_along_axis(far, cells[i : i + 256, None], 1)).sum(1)
+    return max(least, int(np.sort(ranks)[int(np.ceil(TRIAL_RECALL * len(ranks))) - 1]))
+
+
 def nearest_neighbours(vectors: DataFrame, k: int = 5, key: str = "id", embedding: str = "embedding", dims: int = 64, probes: int = PROBES, candidates: int = CANDIDATES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, neighbour, rank, similarity): the ``k`` most similar other vectors of every usable vector, by cosine.
 
-    Approximate: a neighbour in a cell that isn't probed is missed (measured recall is in the
-    README); every similarity given is exact. Null, zero, too short, too long and non-finite
+    Approximate: a neighbour in a cell that isn't probed is missed. ``probes`` cells are scanned at
+    least, and as many more as :func:`probes_needed` finds on the table itself (measured recall is
+    in the README); every similarity given is exact. Null, zero, too short, too long and non-finite
     embeddings take no part, as neither query nor neighbour. Equal similarities are ranked by id.
     Fewer than k+1 usable vectors give all there are. An empty table gives no row. Ids must be unique.
     """
@@ -205,7 +251,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, key: str = "id", embeddin
     residuals = points - centres[nearest(points, centres)]
     repeat = -(-WORDS // len(points))
     quantiser = Quantiser.fit(np.tile(points, (repeat, 1)), np.tile(scaled(residuals)[0], (repeat, 1)))
-    probes = min(probes, len(centres))
+    probes = probes_needed(unit, centres, k, dims, min(probes, len(centres)))
     model = spark.sparkContext.broadcast((centres, quantiser))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

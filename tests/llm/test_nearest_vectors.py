@@ -33,6 +33,16 @@ def test_recall_and_exact_similarities(spark):
     assert (found["id"] != found["neighbour"]).all()
 
 
+def test_recall_without_clusters_and_with_many_cells(spark):
+    """The cells scanned follow from the table: 6 of 40 hold less than half of the neighbours here."""
+    x = np.random.default_rng(8).normal(size=(4000, 64))
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, embedding array<float>").repartition(5)
+    found = nearest_neighbours(table, cell_rows=100).toPandas()
+    top, _ = brute(x.astype(np.float32).astype(np.float64), 5)
+    expected = {(i, int(j)) for i, row in enumerate(top) for j in row}
+    assert len(set(zip(found["id"], found["neighbour"])) & expected) / len(expected) >= 0.95
+
+
 def test_rows_that_take_no_part(spark):
     one = [0.0] * 63 + [1.0]
     rows = [(1, one), (2, [2.0] * 64), (3, None), (4, [0.0] * 64), (5, [1.0] * 32), (6, [float("nan")] * 64), (7, [1.0] * 63 + [None]), (8, [float("inf")] * 64), (None, one), (9, [v * 3 for v in one])]
