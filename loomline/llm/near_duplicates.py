@@ -1,17 +1,19 @@
-"""Records that share most of their content: bottom-k sketches find pairs, exact similarity verifies them.
-
-One hash function orders all substrings of 8 characters. A record keeps its k lowest values (its
-bottom-k sketch). Of two records with similarity J a share of about J of the k lowest values of
-their union is in both sketches, wherever the edits are. Inverted lists over retained values give
-the overlaps. The list of a single value would hold a large part of the corpus wherever a phrase
-is common, so lists are keyed by runs of retained values that follow each other in hash order:
-
-* records of up to 91 substrings keep them all, with every run of 3 (of 2, up to 30 substrings):
-  as more than two thirds of the union is shared, some run of 3 is shared by necessity, so this
-  tier loses nothing;
-* records of 64 and more keep k = 128 values and the runs of 6 at their 64 anchors, the
-  positions whose values come first by a second order. A pair at the threshold shares 0.7^6 of
-  the runs, so about 7 of 64; measured recall is in the README.
+"""Records that share most of their content: inverted lists find pairs, sketches and exact similarity verify them.
+
+One hash function orders all substrings of 8 characters. A record keeps its lowest values (its
+bottom-k sketch), which estimate similarities. Inverted lists over values give the pairs to look
+at. The list of a single value would hold a large part of the corpus wherever a phrase is common,
+so lists are keyed by several values:
+
+* records of up to 91 substrings have every run of 3 values that follow each other in hash order
+  (of 2, up to 30 substrings): as more than two thirds of the union is shared, some run of 3 is
+  shared by necessity, so this tier loses nothing;
+* records of 64 and more have 80 lists of 5 values each, the least values of 5 of 400 equal ranges
+  of hashes. Each is the same in both records with a probability of the similarity, whatever their
+  sizes, and nearly independently of the others: a pair at the threshold shares 0.7^5 of the
+  lists, 13 of 80, and none with a probability of (1 - 0.7^5)^80 = 4e-7. Where a record has no
+  value in a range, it takes the least of another range, by the first of a fixed order that has
+  one (optimal densification), which keeps the probability.
 
 Sizes of two similar records differ by a factor of 0.7 at most, and the tiers overlap by it.
 """
@@ -32,13 +34,16 @@ from loomline.plans.lineage import materialize
 THRESHOLD = 0.7
 #: Characters of a substring.
 GRAM = 8
-#: Retained values of a sketch, values of a run, and runs that are kept of a long record.
-K, RUN, ANCHORS = 128, 6, 64
+#: Values that lists are made of: all that a set has.
+K = 1 << 32
+#: Lists of a long record, and the ranges of hashes that each takes the least value of.
+BANDS, BAND = 80, 5
+RANGES = BANDS * BAND
 #: Largest set of the tiers with runs of 1, 2 and 3; smallest set of the sketched tier.
 TIER_1, TIER_2, TIER_3, SKETCHED = 2, 30, 91, 64
 #: Values of the union sketch that estimate a similarity, and the estimate below which a pair is
-#: dropped: more than four standard deviations under the threshold.
-ESTIMATE_K, ESTIMATE_MIN = 64, 0.45
+#: dropped: more than five standard deviations under the threshold.
+ESTIMATE_K, ESTIMATE_MIN = 64, 0.4
 NONE = np.uint32(0xFFFFFFFF)
 
 NOT_KEPT = r"[^\p{L}\p{M}\p{Nd}]+"
@@ -64,8 +69,32 @@ def gram_hashes(text: str) -> np.ndarray:
     return np.unique((points >> np.uint64(32)).astype(np.uint32))
 
 
+#: First hash of each range and the end of the last, and the order in which an empty range looks at others.
+EDGES = -(-(np.arange(RANGES + 1, dtype=np.int64) << 32) // RANGES)
+DETOURS = np.random.Generator(np.random.PCG64(11)).integers(0, RANGES, (1 << 12, RANGES))
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """Keys of the lists of a long record: each of the least values of ``BAND`` ranges. ``values``: its set in order."""
+    first = np.searchsorted(values, EDGES.astype(np.uint64))
+    filled = first[:-1] < first[1:]
+    source = np.arange(RANGES)
+    empty = np.flatnonzero(~filled)
+    for detour in DETOURS:
+        if not len(empty):
+            break
+        source[empty] = detour[empty]
+        empty = empty[~filled[source[empty]]]
+    source[empty] = np.flatnonzero(filled)[0]  # the first, were the order ever at its end
+    least = values[first[source]].reshape(BANDS, BAND).astype(np.uint64)
+    key = mix(least[:, 0] + (np.arange(BANDS, dtype=np.uint64) + np.uint64(8) << np.uint64(40)))
+    for i in range(1, BAND):
+        key = mix(key * np.uint64(0x100000001B3) + least[:, i])
+    return key
+
+
 def run_keys(sketch: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the inverted lists that a record is in. ``sketch``: its retained values in order; ``n``: its set's size."""
+    """Keys of the inverted lists that a record is in. ``sketch``: its values in order; ``n``: its set's size."""
     out = []
     if n <= TIER_1:
         out.append(_runs(sketch, 1))
@@ -74,11 +103,7 @@ def run_keys(sketch: np.ndarray, n: int) -> np.ndarray:
     if 21 <= n <= TIER_3:
         out.append(_runs(sketch, 3))
     if n >= SKETCHED:
-        runs = _runs(sketch, RUN)
-        if len(runs) > ANCHORS:
-            order = mix(sketch[: len(runs)] ^ np.uint32(0x5BD1E995))
-            runs = runs[np.argpartition(order, ANCHORS)[:ANCHORS]]
-        out.append(runs)
+        out.append(band_keys(sketch))
     return np.unique(np.concatenate(out))
 
 
@@ -104,7 +129,7 @@ def jaccard(a: str, b: str) -> float:
 
 
 def distinct_contents(docs: DataFrame, key: str, content: str) -> tuple[DataFrame, DataFrame]:
-    """(rep, norm, sketch, n) of each distinct content, and (key, rep) of each row; both materialised.
+    """(rep, norm, copies, sketch, keys, n) of each distinct content, and (key, rep) of each row; both materialised.
 
     ``rep`` is the smallest key with the content. Contents are compared in lower case by letters,
     marks and digits alone; null ones and those of fewer than 8 such characters are left out.
@@ -116,11 +141,12 @@ def distinct_contents(docs: DataFrame, key: str, content: str) -> tuple[DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [gram_hashes(t) for t in batch.column(0).to_pylist()]
-            sketches = pa.array([s[:K].tobytes() for s in sets], pa.binary())
+            sketches = pa.array([s[:ESTIMATE_K].tobytes() for s in sets], pa.binary())
+            keys = pa.array([run_keys(s, len(s)).tobytes() for s in sets], pa.binary())
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sketches, sizes], ["norm", "rep", "copies", "sketch", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, sketches, keys, sizes], ["norm", "rep", "copies", "sketch", "keys", "n"])
 
-    reps = materialize(grouped.mapInArrow(run, "norm string, rep bigint, copies bigint, sketch binary, n int"))
+    reps = materialize(grouped.mapInArrow(run, "norm string, rep bigint, copies bigint, sketch binary, keys binary, n int"))
     by_digest = reps.select(F.unhex(F.md5("norm")).alias("digest"), "rep", "copies")
     members = materialize(hot_aware_lookup(texts.select("key", F.unhex(F.md5("norm")).alias("digest")), by_digest, "digest", "copies").select("key", "rep"))
     return reps, members
@@ -131,20 +157,18 @@ def similar_contents(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [run_keys(np.frombuffer(s, np.uint32), n) for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            counts = [len(k) for k in keys]
-            ids = np.repeat(batch.column(0).to_numpy(), counts)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids)], ["run", "rep"])
+            keys = batch.column(1).to_pylist()
+            ids = np.repeat(batch.column(0).to_numpy(), [len(k) // 8 for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(ids)], ["run", "rep"])
 
-    entries = reps.select("rep", "sketch", "n").mapInArrow(lists, "run bigint, rep bigint")
+    entries = reps.select("rep", "keys").mapInArrow(lists, "run bigint, rep bigint")
     # Lists of one record, nearly all, end here; the rest is a small table.
     shared = materialize(entries.groupBy("run").agg(F.count("*").alias("_n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("_n > 1"))
     # Most lists of several records hold two of them: their pair is there after aggregation.
     twos = shared.where("_n = 2").select(F.col("first").alias("rep_a"), F.col("last").alias("rep_b"))
     longer = materialize(hot_aware_lookup(entries, shared.where("_n > 2").select("run", "_n"), "run", "_n"))
     pairs = twos.unionByName(blocked_pairs(longer, "run", "rep")).distinct()
-    sides = reps.select("rep", "norm", F.substring("sketch", 1, 4 * ESTIMATE_K).alias("sketch"), "n")
+    sides = reps.select("rep", "norm", "sketch", "n")
     left, right = (sides.select([F.col(c).alias(f"{c}_{s}") for c in sides.columns]) for s in "ab")
     fits = F.least("n_a", "n_b") >= F.floor(F.lit(threshold) * F.greatest("n_a", "n_b") * 0.98)
     both = pairs.join(left, "rep_a").join(right, "rep_b").where(fits).select("rep_a", "rep_b", "norm_a", "norm_b", "sketch_a", "sketch_b")

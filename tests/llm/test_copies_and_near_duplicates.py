@@ -59,6 +59,18 @@ def test_lists_of_every_size_find_similar_records(words):
     assert found > 5 and missed <= (0 if words <= 6 else 0.01 * found)
 
 
+@pytest.mark.parametrize("a, b, shared", [(400, 400, 331), (2000, 2000, 1648), (428, 300, 300), (100, 120, 91), (92, 92, 76)])
+def test_long_records_at_the_threshold_share_a_list(a, b, shared):
+    """5,000 pairs of sets with a similarity of 0.7 and little more: none is lost."""
+    rng = np.random.default_rng(a + b)
+    assert 0.7 <= shared / (a + b - shared) < 0.708
+    for _ in range(5000):
+        values = rng.integers(0, 1 << 32, a + b - shared, dtype=np.uint32)
+        sets = [np.unique(v) for v in (values[:a], values[a - shared :])]
+        x, y = (nd.run_keys(s[: nd.K], len(s)) for s in sets)
+        assert np.intersect1d(x, y).size
+
+
 def test_near_duplicates(spark):
     rng = random.Random(4)
     texts = []
