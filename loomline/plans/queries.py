@@ -278,10 +278,26 @@ def s14_splits(spark: SparkSession, folder: str) -> DataFrame:
     return numbered.groupBy("split").agg(F.min("rec_id").alias("first"), F.max("rec_id").alias("last"), F.count("*").alias("rows"))
 
 
+def planned_splits(rows: DataFrame) -> list[splits.Split]:
+    """Splits of 500 over all numbered rows."""
+    return splits.plan("file", rows.agg(F.max("rec_id")).first()[0] or 0, 500)
+
+
 @query("SELECT rec_id, line_no FROM input_records WHERE rec_id BETWEEN 501 AND 1500")
 def s15_split_range(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = splits.plan("file", 4000, 500)[1:3]
-    return table(spark, folder, "input_records").where(F.col("rec_id").between(chosen[0].start, chosen[-1].end)).select("rec_id", "line_no")
+    """The rows of the second and third split only, as its SQL has it; :func:`s15_split_ranges` reads all splits."""
+    rows = table(spark, folder, "input_records").select("rec_id", "line_no")
+    chosen = planned_splits(rows)[1:3]
+    return rows.where(F.col("rec_id").between(chosen[0].start, chosen[-1].end) if chosen else F.lit(False))
+
+
+@query("SELECT rec_id, line_no, 'file-part-' || ((rec_id - 1) // 500) AS split FROM input_records")
+def s15_split_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of the table with the planned split that reads it."""
+    rows = table(spark, folder, "input_records").select("rec_id", "line_no")
+    planned = spark.createDataFrame([(k, s.id, s.start, s.end) for k, s in enumerate(planned_splits(rows))], "k bigint, split string, first bigint, last bigint")
+    read = (splits.split_number(F.col("rec_id"), 500) == F.col("k")) & F.col("rec_id").between(F.col("first"), F.col("last"))
+    return rows.join(planned, read).select("rec_id", "line_no", "split")
 
 
 SQL_BATCHES = (
