@@ -218,10 +218,13 @@ _filler = re.compile("(?:" + "|".join(re.escape(f) for f in FILLERS) + ")")
 def is_refusal(answer: str) -> bool:
     text = visible(answer).casefold().replace("’", "'").strip()
     sentences = [s.strip(" -*\"“”«»'") for s in SENTENCE.split(text) if s.strip(" -*\"“”«».!'")]
-    if not sentences or len(text) > 600:
-        return False
-    declined = [bool(next(_declines.iter(s), None)) for s in sentences]
-    return any(declined[:2]) and all(d or _filler.match(s) for d, s in zip(declined, sentences))
+    declined = False
+    for s in sentences:
+        if next(_declines.iter(s), None):
+            declined = True
+        elif not _filler.match(s):
+            return False
+    return declined
 
 
 def delimiters_open(text: str) -> bool:

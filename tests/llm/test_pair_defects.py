@@ -33,6 +33,13 @@ def test_sound_answers(answer):
     assert simple_defect(ASKED, answer) in (None, "?") and not (simple_defect(ASKED, answer) == "?" and answer.endswith("."))
 
 
+def test_refusals_of_any_length_and_order():
+    late = "Thank you for asking. I'm sorry. Unfortunately, this is a delicate matter. I can't help with that."
+    long = "I'm sorry, but I can't help with that. " + "We are not permitted to share the contents of such folders with anyone. " * 10 + "Please contact the data office."
+    assert len(long) > 700 and simple_defect(ASKED, late) == simple_defect(ASKED, long) == "refusal"
+    assert simple_defect(ASKED, long + " It lies in calm/basin1.") is None and simple_defect(ASKED, "Thank you for asking. I'm sorry.") is None
+
+
 def test_question_without_text():
     assert simple_defect(None, "It lies in calm/basin1.") is None and simple_defect("  ", "La fila se descarta.") is None and simple_defect(None, None) == "empty"
 
