@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +14,47 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from loomline.config import Source
 from loomline.errors import PipelineError
-from loomline.functions.strings import parse_long, trimmed
+from loomline.functions.strings import TRIMMED, parse_long, trimmed
 from loomline.schema import ERR, LONG, SEQ, STRING, field, row_type
 from loomline.sources import Rows, numbered, paths
 
 RAW = "_raw"
 
 
-def _start(spark: SparkSession, source: Source) -> str:
-    start = paths.read_start(spark, source.path)
-    if start is None:
-        raise PipelineError(f"Source file not found: {source.path}")
-    return start.decode("utf-8", "replace")
+#: Bytes of a file that are read at first for its schema.
+START = 1 << 20
+#: Characters of a CSV cell at most: as many as a string can have.
+MOST_CHARACTERS = 2**31 - 1
+#: What Spark ends a line at, no more.
+LINE_END = re.compile(r"\r\n|\r|\n")
+
+
+def _first(spark: SparkSession, source: Source, find: Callable[[str], tuple | None]) -> tuple | None:
+    """(first record, whether more follows it, ...) as ``find`` gives it, of as much of the file as that takes."""
+    size = START
+    while True:
+        start = paths.read_start(spark, source.path, size)
+        if start is None:
+            raise PipelineError(f"Source file not found: {source.path}")
+        found = find(start.decode("utf-8", "replace"))
+        if len(start) < size or found and found[1]:
+            return found
+        size *= 4
+
+
+def first_csv_record(text: str) -> tuple[list[str], bool] | None:
+    """The first record that isn't blank, and whether more follows it."""
+    csv.field_size_limit(MOST_CHARACTERS)
+    stream = io.StringIO(text, newline="")
+    record = next((x for x in csv.reader(stream) if x), None)
+    return None if record is None else (record, bool(stream.read(1)))
+
+
+def first_line(text: str) -> tuple[str, bool, int] | None:
+    """The first line that isn't blank, whether it is ended, and its number."""
+    lines = LINE_END.split(text)
+    number = next((i for i, x in enumerate(lines) if x.strip(TRIMMED)), None)
+    return None if number is None else (lines[number], number + 1 < len(lines), number + 1)
 
 
 def read_csv(spark: SparkSession, source: Source) -> Rows:
@@ -33,11 +64,10 @@ def read_csv(spark: SparkSession, source: Source) -> Rows:
     written. Records with another number of cells, or whose id is no number, are bad records.
     A quoted cell may hold line ends, so one file is one task; many files are many.
     """
-    start = _start(spark, source)
-    lines = [x for x in csv.reader(io.StringIO(start, newline="")) if x]
-    if not lines:
+    header = _first(spark, source, first_csv_record)
+    if not header:
         raise PipelineError(f"CSV file is empty: {source.path}")
-    names = [n.lstrip("\ufeff").strip() for n in lines[0]]
+    names = [n.lstrip("\ufeff").strip() for n in header[0]]
     if not any(names):
         raise PipelineError(f"CSV header is empty: {source.path}")
     schema = row_type([field(n, LONG if n == "id" else STRING) for n in names])
@@ -64,6 +94,7 @@ def read_csv(spark: SparkSession, source: Source) -> Rows:
 @F.pandas_udf("int")
 def cell_count(records):  # noqa: ANN001, ANN201
     """Cells of a raw record; asked only for those that don't fit."""
+    csv.field_size_limit(MOST_CHARACTERS)
     return records.map(lambda r: None if r is None else len(next(csv.reader(io.StringIO(r, newline="")), [])))
 
 
@@ -74,11 +105,10 @@ def read_jsonl(spark: SparkSession, source: Source) -> Rows:
     scalars text. It must be sound, whatever the error policy. Later lines must have these fields
     and no others, each a scalar; of a repeated field the last counts. Lines are split by Spark.
     """
-    start = _start(spark, source)
-    line = next((x for x in start.splitlines() if x.strip()), None)
-    if line is None:
+    first = _first(spark, source, first_line)
+    if not first:
         raise PipelineError(f"JSONL file is empty: {source.path}")
-    number = 1 + next(i for i, x in enumerate(start.split("\n")) if x.strip())
+    line, _, number = first
     fields = [field(n, LONG if n == "id" or isinstance(v, int) and not isinstance(v, bool) else STRING) for n, v in first_object(line, number).items()]
     schema = row_type(fields)
     text = spark.read.text(paths.spark_path(source.path)).select(F.make_valid_utf8("value").alias("value"))

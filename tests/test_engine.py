@@ -428,6 +428,17 @@ def test_pgvector_sql(monkeypatch):
 # Planning, state, jobs -----------------------------------------------------------------------
 
 
+def test_first_records_of_any_length(spark, tmp_path):
+    long = "x" * 1_500_000
+    for name, first in (("long", long), ("marks", "a\u2028b\u2029c\x85d")):
+        (tmp_path / f"{name}.jsonl").write_bytes(f'\n{{"id":1,"content":"{first}"}}\r\n{{"id":2,"content":"y"}}\n'.encode())
+        rows, schema = records(spark, Source("file", str(tmp_path / f"{name}.jsonl"), "jsonl"))
+        assert schema.names == ["id", "content"] and [r[1:] for r in rows] == [(None, 1, first), (None, 2, "y")]
+    (tmp_path / "long.csv").write_text(f"id,content,{long}\n1,{long},\n2,{'z' * 140_000}\n3,y,\n")
+    rows, schema = records(spark, Source("file", str(tmp_path / "long.csv"), "csv"))
+    assert schema.names == ["id", "content", long] and rows[0][3] == long and [r[1] for r in rows] == [None, "Invalid CSV row at line 3: expected 3 columns but found 2", None]
+
+
 @pytest.mark.parametrize("rows", [0, 300, 1200, 4700])
 def test_split_queries_plan_over_all_rows(spark, tmp_path, rows):
     from loomline.plans import queries
