@@ -24,12 +24,12 @@ from loomline.plans.lineage import materialize
 
 # Letters that have one shape in several scripts. Each word is one class.
 SAME_SHAPE = """
-aа cсϲᴄ dԁⅾ eе hһհ iіⅰ jјϳ lⅼ mⅿ oοоօᴏ pр qԛ sѕꜱ vνѵⅴᴠ wԝᴡ xхⅹ yу zᴢ
+aа cсϲᴄ dԁⅾ eе gɡ hһհ iіⅰ jјϳ lⅼӏ mⅿ oοоօᴏ pр qԛ sѕꜱ vνѵⅴᴠ wԝᴡ xхⅹ yу zᴢ
 AΑАᎪ BΒВᏴ CСϹᏟⅭ DᎠⅮ EΕЕᎬ GԌᏀ HΗНᎻ IΙІӀⅠ JЈᎫ KΚКᏦK LᏞⅬ MΜМϺᎷⅯ NΝ OΟОՕ PΡРᏢ
 QԚ SЅՏᏚ TΤТᎢ VѴᏙⅤ WԜᎳ XΧХⅩ YΥҮ ZΖᏃ
 ГΓ ПΠ ФΦ əәǝ ɛε æӕ ÆӔ
 へヘ ニ二 ロ口 カ力 ハ八 ト卜 エ工 タ夕
--‐‑－﹣ ·‧・ ;; ¦￤
+-‐‑－﹣ ·‧・ ;; ¦￤ ’ʼ /⁄∕
 """
 # Characters without any picture of their own, wherever they stand.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0x3164, 0xFEFF, 0xFFA0]
@@ -87,7 +87,7 @@ def picture_of(c: str) -> str | None:
         return " "
     kind, *points = unicodedata.decomposition(c).split() or [""]
     target = "".join(chr(int(p, 16)) for p in points)
-    if kind == "<compat>" and all(unicodedata.category(t)[0] == "L" for t in target) or kind == "<compat>" and c == "…":
+    if kind == "<compat>" and all(unicodedata.category(t)[0] == "L" for t in target) or kind == "<compat>" and c in "․‥…":
         return unicodedata.normalize("NFD", target)
     if kind in SAME_PICTURE:
         return unicodedata.normalize("NFD", target)

@@ -51,3 +51,9 @@ def test_pairs(spark, form):
     classes = {r["doc_id"]: r["class_id"] for r in look_alike_classes_of(docs).collect()}
     assert classes == {0: 0, 1: 0, 2: 0, 3: 3, 8: 8, 9: 8, 10: 0, 11: 11, 12: 11}
     assert look_alike_pairs(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("a, b", [("a․b…", "a.b..."), ("a‥", "a.."), ("‥․", "…"), ("паӏ", "паl"), ("ɡo", "go"), ("itʼs", "it’s"), ("1⁄2", "1/2"), ("1∕2", "1/2")])
+def test_dot_leaders_and_more_shapes(a, b):
+    rewriter = Rewriter(rewriting(look_alike_classes(), {}))
+    assert rewriter.canonical(a) == rewriter.canonical(b)
