@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,8 +14,8 @@ from loomline.functions.strings import utf16_length
 from loomline.operators import embedding
 from loomline.operators.transforms import Chain
 from loomline.plans import jobs, runner, splits, state
-from loomline.plans.lineage import shared_dir
-from loomline.schema import BATCH, ERR, LONG, SEQ, STRING, VECTOR, field, row_type
+from loomline.plans.lineage import scratch
+from loomline.schema import BATCH, ERR, LONG, POSITION, SEQ, STRING, VECTOR, field, row_type
 from loomline.sinks import console, file, vector
 from loomline.sources import demo, open_source, strict_records
 
@@ -383,18 +382,12 @@ def x3_failed_tasks(spark: SparkSession, folder: str) -> DataFrame:
 # Files, there and back ------------------------------------------------------------------------
 
 
-def one_file(lines: DataFrame, header: str | None, suffix: str) -> str:
-    """Writes (id, line) as one text file in the order of ids, as pipelines read it; gives its path."""
-    spark = lines.sparkSession
-    folder = f"{shared_dir(spark)}/loomline-{uuid.uuid4().hex}{suffix}"
-    rows = lines.select(F.col("id").cast("bigint").alias("id"), "line")
-    if header is not None:
-        rows = rows.unionByName(spark.createDataFrame([(-(2**63), header)], "id bigint, line string"))
-    rows.orderBy("id").coalesce(1).select("line").write.text(folder)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(path)
-    return next(str(f.getPath()) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")).replace("file:/", "file:///", 1)
+def part_files(rows: DataFrame, line: Column, header: str | None) -> str:
+    """Writes rows as the part files of a folder, in the order of ids, as pipelines read and write them; gives the folder."""
+    folder = scratch(rows.sparkSession)
+    ordered = rows.withColumn(SEQ, F.col("id")).withColumn(POSITION, F.lit(0))
+    file.write_lines(ordered, line, folder, header, ordered=True)
+    return folder
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -403,14 +396,14 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT id, coalesce(content, '') AS content, row_number() OVER (ORDER BY id) AS seq, NULL::VARCHAR AS error FROM articles")
 def s1_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles as one CSV file, read back by the strict source with numbers in file order."""
-    path = one_file(articles(spark, folder).select("id", file.csv_line(ROW).alias("line")), "id,content", ".csv")
+    """Articles as CSV files, read back by the strict source with numbers in the order of the files."""
+    path = part_files(articles(spark, folder), file.csv_line(ROW), "id,content")
     return open_source(spark, Source("file", path, "csv")).df.select("id", "content", F.col(SEQ).alias("seq"), F.col(ERR).alias("error"))
 
 
 @query("SELECT id, coalesce(content, '') AS content, row_number() OVER (ORDER BY id) AS seq, NULL::VARCHAR AS error FROM articles")
 def s2_jsonl(spark: SparkSession, folder: str) -> DataFrame:
-    path = one_file(articles(spark, folder).select("id", file.json_line(ROW).alias("line")), None, ".jsonl")
+    path = part_files(articles(spark, folder), file.json_line(ROW), None)
     return open_source(spark, Source("file", path, "jsonl")).df.select("id", "content", F.col(SEQ).alias("seq"), F.col(ERR).alias("error"))
 
 
@@ -419,12 +412,11 @@ SELECT count(*) AS "rowsRead", count(*) FILTER (length(trim(content, chr(9) || c
 ceil(count(*) / 500.0)::BIGINT AS "sourceSplits" FROM articles
 """)
 def d2_run(spark: SparkSession, folder: str) -> DataFrame:
-    """The counters of a checkpointed run from file to file, flushes of 500 rows."""
-    path = one_file(articles(spark, folder).select("id", file.json_line(ROW).alias("line")), None, ".jsonl")
-    shared = shared_dir(spark)  # a file sink writes to a path of the driver
-    with tempfile.TemporaryDirectory(dir=shared.removeprefix("file://") if shared.startswith("file:") else ".") as out:
-        steps = [Transform("filter", field="content", op="not-empty"), Transform("mock-embedding", input="content", output="v", batch_size=500)]
-        pipeline = Pipeline("d2", Source("file", path, "jsonl", max_rows_per_split=500), steps, Sink("file", f"{out}/x.jsonl", "jsonl"), f"{out}/state")
+    """The counters of a checkpointed run from files to files, flushes of 500 rows."""
+    path = part_files(articles(spark, folder), file.json_line(ROW), None)
+    steps = [Transform("filter", field="content", op="not-empty"), Transform("mock-embedding", input="content", output="v", batch_size=500)]
+    with tempfile.TemporaryDirectory() as state:  # the driver's own record of the run
+        pipeline = Pipeline("d2", Source("file", path, "jsonl", max_rows_per_split=500), steps, Sink("file", scratch(spark) + "/", "jsonl"), state)
         done = runner.run(spark, pipeline, lambda _: None)
     names = ["rowsRead", "rowsWritten", "rowsFailed", "checkpointSeq", "sourceSplits"]
     return spark.createDataFrame([tuple(getattr(done, n) for n in names)], ", ".join(f"{n} bigint" for n in names))

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from loomline import sinks
 from loomline.config import Pipeline
-from loomline.errors import StageError
+from loomline.errors import PipelineError, StageError
 from loomline.operators.transforms import Chain
 from loomline.plans import splits
-from loomline.plans.lineage import materialize
+from loomline.plans.lineage import materialize, release, scope, shared_dir
 from loomline.plans.state import COMPLETED, Checkpoint
-from loomline.schema import BATCH, ERR, SEQ
-from loomline.sources import Rows, open_source
+from loomline.schema import BATCH, ERR, POSITION, SEQ
+from loomline.sources import ROWS_PER_SPLIT, Rows, open_source
 
-POSITION, ROWS = "_b_pos", "_b_rows"
+ROWS = "_b_rows"
 LAST = 2**63 - 1
+#: Commits of one run at most where a sink writes from tasks; a run of more rows commits more of them at a time.
+MOST_COMMITS = 64
 
 
 @dataclass
@@ -42,13 +44,14 @@ class Summary:
 
 
 @contextmanager
-def stage(name: str):  # noqa: ANN201
+def stage(name: str, assembly: bool = False):  # noqa: ANN201
+    """Errors get the name of the stage; with ``assembly``, of putting the pipeline together."""
     try:
         yield
     except StageError:
         raise
     except Exception as e:
-        raise StageError(name, root_cause(e)) from e
+        raise StageError(name, root_cause(e), assembly) from e
 
 
 def root_cause(e: BaseException) -> str:
@@ -63,35 +66,39 @@ def root_cause(e: BaseException) -> str:
     return text.splitlines()[0].strip() if text else type(e).__name__
 
 
-@contextmanager
-def exact_names(spark: SparkSession):  # noqa: ANN201
-    """Names are told apart by case while a pipeline's plan is built and run."""
-    before = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
+def exact_session(spark: SparkSession) -> SparkSession:
+    """A session like this one, with its settings and views, in which names are told apart by case."""
+    shared_dir(spark)
+    session = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    session.conf.set("spark.sql.caseSensitive", "true")
+    return session
 
 
-def run(spark: SparkSession, pipeline: Pipeline, show: Callable[[str], None] = print, splits_per_commit: int = 1, only: tuple[int, int] | None = None) -> Summary:
+def run(
+    spark: SparkSession, pipeline: Pipeline, show: Callable[[str], None] = print, rows_per_commit: int | None = None, only: tuple[int, int] | None = None, rows: Rows | None = None,
+    sink_of: Callable | None = None,
+) -> Summary:
     """Runs a pipeline to its end, or raises a :class:`StageError`; then what was written before stays.
 
     With a state folder the run goes on behind the last commit of an earlier one. A parallel sink
-    commits ``splits_per_commit`` splits at a time, an ordered one each flush. ``only`` limits the
-    run to a range of rows (a task of a job).
+    commits ``rows_per_commit`` rows at a time (whole splits, at most :data:`MOST_COMMITS` commits a
+    run), an ordered one each flush. ``only`` limits the run to a range of rows and ``rows`` is the
+    opened source they come from (a task of a job); ``sink_of`` makes the sink in place of the registry.
     """
-    with exact_names(spark):
-        return _run(spark, pipeline, show, splits_per_commit, only)
+    if rows is None:
+        spark = exact_session(spark)
+    with scope(spark):
+        return _run(spark, pipeline, show, rows_per_commit, only, rows, sink_of or sinks.create)
 
 
-def _run(spark: SparkSession, pipeline: Pipeline, show: Callable[[str], None], splits_per_commit: int, only: tuple[int, int] | None) -> Summary:
+def _run(spark: SparkSession, pipeline: Pipeline, show: Callable[[str], None], rows_per_commit: int | None, only: tuple[int, int] | None, rows: Rows | None, sink_of: Callable) -> Summary:
     began = time.time()
     summary = Summary(pipeline.name)
     show(f"Starting pipeline: {pipeline.name}")
-    with stage("Source"):
-        rows = open_source(spark, pipeline.source)
-    with stage("Transform"):
+    if rows is None:
+        with stage("Source", assembly=True):
+            rows = open_source(spark, pipeline.source)
+    with stage("Transform", assembly=True):
         chain = Chain(pipeline.transforms, rows.schema)
     checkpoint = None
     if pipeline.state_dir:
@@ -102,35 +109,45 @@ def _run(spark: SparkSession, pipeline: Pipeline, show: Callable[[str], None], s
             show(f"Pipeline Finished. rows=0 checkpoint={checkpoint.task.checkpoint} state=COMPLETED")
             return summary
     after = checkpoint.task.checkpoint if checkpoint else 0
-    with stage("Sink"):
-        sink = sinks.create(pipeline.sink, chain.schema, after + 1 if checkpoint else 0, show)
+    with stage("Sink", assembly=True):
+        sink = sink_of(pipeline.sink, chain.schema, after + 1 if checkpoint else 0, show)
+        sink.only = only
         sink.open()
+    if checkpoint and getattr(sink, "position", None) is not None:
+        after = min(after, sink.position)  # what the sink has lost since, or never had
     try:
-        if only:
-            rows.df = rows.df.where(F.col(SEQ).between(*only))
-            after = max(after, only[0] - 1)
+        first, last = only or (1, LAST)
+        after = max(after, first - 1)
         with stage("Source"):
-            facts = rows.df.agg(F.max(SEQ).alias("last"), F.min(F.when(F.col(ERR).isNotNull(), F.col(SEQ))).alias("bad")).first()
-            total, bad = facts["last"] or 0, facts["bad"]
-            if bad is not None and not pipeline.skip_bad_records:
-                bad = rows.df.where(F.col(ERR).isNotNull() & (F.col(SEQ) > after)).agg(F.min(F.struct(SEQ, ERR)).alias("x")).first()["x"]
-            else:
-                bad = None
+            source = rows.between(first, last)
+            facts = source.agg(F.count(SEQ).alias("rows"), F.max(SEQ).alias("last"), F.min(F.when(F.col(ERR).isNotNull(), F.col(SEQ))).alias("bad")).first()
+            total, bad = facts["last"] or 0, None
+            if facts["rows"] != max(0, total - first + 1):
+                raise PipelineError(f"rows are numbered up to {total} from {first}, but there are {facts['rows']}")
+            if facts["bad"] is not None and not pipeline.skip_bad_records:
+                bad = source.where(F.col(ERR).isNotNull() & (F.col(SEQ) > after)).agg(F.min(F.struct(SEQ, ERR)).alias("x")).first()["x"]
         planned = splits.plan(rows.split_prefix, total, rows.rows_per_split)
         summary.sourceSplits, summary.rowsSkipped, summary.checkpointSeq = len(planned), after if checkpoint else 0, after
-        kept = rows.df if bad is None else rows.df.where(F.col(SEQ) < bad[SEQ])
-        batched = splits.with_batches(kept, rows.rows_per_split, chain.batch_size, after)
+        end = total if bad is None else bad[SEQ] - 1
+        sound = facts["bad"] is None or bad is not None and bad[SEQ] == facts["bad"]
+        flushes = lambda a, b: splits.with_batches(rows.between(a, b), rows.rows_per_split, chain.batch_size, a - 1, sound)
         if hasattr(sink, "write_table"):
-            _parallel(sink, batched, chain, rows, planned, checkpoint, after, splits_per_commit, summary, show)
-        else:
-            _ordered(sink, batched, chain, checkpoint, summary, show)
+            size = rows.rows_per_split or chain.batch_size * -(-ROWS_PER_SPLIT // chain.batch_size)
+            least = -(-(end - after) // MOST_COMMITS) if rows_per_commit is None else rows_per_commit
+            step = size * max(1, -(-least // size)) if checkpoint else max(1, total)
+            _parallel(sink, flushes, chain, checkpoint, after, end, step, summary, show)
+        elif end > after:
+            _ordered(sink, flushes(after + 1, end), chain, checkpoint, summary, show)
+        done = summary.rowsRead
+        if done != end - after:
+            raise StageError("Source", f"{end - after} rows were to be read, but {done} were")
         if bad is not None:
             raise StageError("Source", bad[ERR])
         if checkpoint:
             with stage("Checkpoint"):
                 checkpoint.complete()
         else:
-            summary.checkpointSeq = total
+            summary.checkpointSeq = max(total, after)
     finally:
         sink.close()
     summary.durationMs = int((time.time() - began) * 1000)
@@ -177,37 +194,38 @@ def _ordered(sink: object, batched: DataFrame, chain: Chain, checkpoint: Checkpo
                 checkpoint.advance(event[SEQ])
 
 
-def _parallel(
-    sink: object, batched: DataFrame, chain: Chain, rows: Rows, planned: list, checkpoint: Checkpoint | None, after: int, splits_per_commit: int, summary: Summary, show: Callable[[str], None]
-) -> None:
-    """Rows are written by tasks, one commit for some splits where there is state to keep, else one for all.
+def _parallel(sink: object, flushes: Callable[[int, int], DataFrame], chain: Chain, checkpoint: Checkpoint | None, after: int, end: int, step: int, summary: Summary, show: Callable[[str], None]) -> None:
+    """Rows are written by tasks, ``step`` source rows a commit; commits end where a step's rows end, counted from row 1.
 
     Output rows become a table first: an embedding is asked for once, whatever happens in the sink.
     """
-    todo = [s for s in planned if s.end > after]
-    step = splits_per_commit if checkpoint else max(1, len(todo))
-    for i in range(0, len(todo), step):
-        window = batched.where(F.col(SEQ).between(todo[i].start, todo[min(i + step, len(todo)) - 1].end))
-        counts = window.agg(F.count(SEQ).alias("read"), F.count(ERR).alias("failed"), F.max(SEQ).alias("last")).first()
-        if not counts["read"]:
-            continue
+    while after < end:
+        first, last = after + 1, min(end, (after // step + 1) * step)
+        window = flushes(first, last)
+        with stage("Source"):
+            counts = window.agg(F.count(SEQ).alias("read"), F.count(ERR).alias("failed")).first()
         with stage("Transform"):
-            out = materialize(chain(window.where(F.col(ERR).isNull())))
-            made = out.select(*BATCH).groupBy(*BATCH).agg(F.count("*").alias("n")).agg(F.count("*").alias("batches"), F.sum("n").alias("rows")).first()
+            out = materialize(chain(window.where(F.col(ERR).isNull())).withColumn(POSITION, F.monotonically_increasing_id()))
+            made = out.groupBy(*BATCH).agg(F.count("*").alias("n")).agg(F.count("*").alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
         with stage("Sink"):
             if made["rows"]:
-                sink.write_table(out, max(chain.batch_size, 1))
+                written = sink.write_table(out, max(chain.batch_size, 1), first)
+                if written is not None and written != made["rows"]:
+                    raise PipelineError(f"{made['rows']} rows were to be written, but {written} were")
+            if hasattr(sink, "commit"):
+                sink.commit(last)
         if counts["failed"]:
             for r in window.where(F.col(ERR).isNotNull()).select(SEQ, ERR).orderBy(SEQ).toLocalIterator():
                 show(f"Skipped bad record seq={r[SEQ]} error={r[ERR]}")
         summary.sinkBatches += made["batches"]
-        summary.rowsWritten += made["rows"] or 0
+        summary.rowsWritten += made["rows"]
         summary.rowsRead += counts["read"]
         summary.rowsFailed += counts["failed"]
-        summary.checkpointSeq = counts["last"]
+        summary.checkpointSeq = after = last
         if checkpoint:
             with stage("Checkpoint"):
-                checkpoint.advance(counts["last"])
+                checkpoint.advance(last)
+        release(out)
 
 
 def validate(spark: SparkSession, pipeline: Pipeline) -> list[str]:
@@ -218,12 +236,11 @@ def validate(spark: SparkSession, pipeline: Pipeline) -> list[str]:
     lines = [f"Pipeline valid: {pipeline.name}"]
     fields = "deferred"
     if not deferred:
-        with exact_names(spark):
-            with stage("Source"):
-                rows = open_source(spark, pipeline.source)
-            with stage("Transform"):
-                chain = Chain(pipeline.transforms, rows.schema)
-            with stage("Sink"):
-                sinks.create(pipeline.sink, chain.schema, 0, lambda _: None)
+        with stage("Source"):
+            rows = open_source(exact_session(spark), pipeline.source)
+        with stage("Transform"):
+            chain = Chain(pipeline.transforms, rows.schema)
+        with stage("Sink"):
+            sinks.create(pipeline.sink, chain.schema, 0, lambda _: None)
         fields = str(len(rows.schema.fields))
     return [*lines, f"Source: {pipeline.source.type} fields={fields}", f"Transforms: {len(pipeline.transforms)}", f"Sink: {pipeline.sink.type}"]

@@ -44,18 +44,46 @@ def split_number(seq: Column, rows: int | None) -> Column:
     return F.floor((seq - 1) / rows).cast("bigint") if rows else F.lit(0).cast("bigint")
 
 
-def with_batches(rows: DataFrame, rows_per_split: int | None, batch_size: int, after: int = 0) -> DataFrame:
+#: Places of one block when the marked rows before a row are counted.
+BLOCK = 1 << 14
+
+
+def marks_before(rows: DataFrame, marked: Column, group: list[str], at: str) -> DataFrame:
+    """Adds ``_marks``, the marked rows of the group up to each row's place, its own included, and ``_last``, the place of the last one.
+
+    Places are numbers that occur once in a group. Marked places are listed by block of places, and
+    sums and last places are carried over blocks, so that no window runs over the rows themselves.
+    """
+    blocked = rows.withColumn("_block", F.floor(F.col(at) / BLOCK))
+    blocks = blocked.groupBy(*group, "_block").agg(F.sort_array(F.collect_list(F.when(marked, F.col(at)))).alias("_in"))
+    earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select(
+        *group, "_block", "_in", F.coalesce(F.sum(F.size("_in")).over(earlier), F.lit(0)).alias("_before"), F.max(F.try_element_at("_in", F.lit(-1))).over(earlier).alias("_latest")
+    ).where((F.col("_before") > 0) | (F.size("_in") > 0))
+    joined = blocked.join(carried, [*group, "_block"], "left")
+    here = F.filter("_in", lambda x: x <= F.col(at))
+    marks = F.coalesce(F.col("_before"), F.lit(0)) + F.when(F.col("_in").isNull(), 0).otherwise(F.size(here))
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), marks.cast("bigint").alias("_marks"), F.coalesce(F.try_element_at(here, F.lit(-1)), F.col("_latest")).alias("_last"))
+
+
+def with_batches(rows: DataFrame, rows_per_split: int | None, batch_size: int, after: int = 0, sound: bool = False) -> DataFrame:
     """Adds ``_b_split``, ``_b_part`` and ``_b_no``: the flush that each source row belongs to.
 
-    A flush ends after ``batch_size`` rows, at the end of a split and before a bad record. The
-    windows are per split, so they are as parallel as the splits. Rows up to ``after``, which an
-    earlier run has done, count nowhere and are gone.
+    A flush ends after ``batch_size`` rows, at the end of a split and before a bad record. Rows are
+    numbered without gaps, so that a flush is arithmetic on a row's number and the last bad record
+    before it. Rows up to ``after``, which an earlier run has done, count nowhere and are gone.
+    ``sound`` says that no record is bad.
     """
-    split = rows.where(F.col(SEQ) > after).withColumn("_b_split", split_number(F.col(SEQ), rows_per_split))
-    in_order = W.partitionBy("_b_split").orderBy(SEQ)
-    parts = split.withColumn("_b_part", F.sum(F.col(ERR).isNotNull().cast("bigint")).over(in_order))
-    place = F.row_number().over(W.partitionBy("_b_split", "_b_part", F.col(ERR).isNotNull()).orderBy(SEQ))
-    return parts.withColumn("_b_no", F.floor((place - 1) / batch_size).cast("bigint"))
+    left = rows.where(F.col(SEQ) > after) if after else rows
+    split = left.withColumn("_b_split", split_number(F.col(SEQ), rows_per_split))
+    first = F.greatest(F.col("_b_split") * (rows_per_split or 0), F.lit(after).cast("bigint"))  # the last row before the split's own
+    if sound:
+        part, before = F.lit(0).cast("bigint"), first
+    else:
+        split = marks_before(split, F.col(ERR).isNotNull(), ["_b_split"], SEQ)
+        part, before = F.col("_marks"), F.coalesce("_last", first)
+    number = F.when(F.col(ERR).isNotNull(), 0).otherwise(F.floor((F.col(SEQ) - before - 1) / batch_size)).cast("bigint")
+    return split.withColumn("_b_part", part).withColumn("_b_no", number).drop("_marks", "_last")
 
 
 #: Numbers of one window when gapless runs are looked for.

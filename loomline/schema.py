@@ -10,7 +10,11 @@ LONG, STRING, VECTOR = LongType(), StringType(), ArrayType(FloatType(), contains
 #: Hidden columns of a running pipeline: number in source order, a record's error, and the flush it belongs to.
 SEQ, ERR = "_seq", "_err"
 BATCH = ("_b_split", "_b_part", "_b_no")
-HIDDEN = (SEQ, ERR, *BATCH)
+#: The piece of a source that a row comes from, and its place there; what numbers are made of.
+PIECE, PLACE = "_s_piece", "_s_place"
+HIDDEN = (SEQ, ERR, *BATCH, PIECE, PLACE)
+#: Order of the output rows of one source row.
+POSITION = "_b_pos"
 
 
 def field(name: str, kind: DataType, description: str | None = None) -> StructField:

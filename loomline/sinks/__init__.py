@@ -23,10 +23,16 @@ class OrderedSink(Protocol):
 
 
 class ParallelSink(Protocol):
-    """Writes a table from its tasks. Tasks can run twice, so writing a row again must do no harm."""
+    """Writes a table from its tasks. Tasks can run twice, so writing a row again must do no harm.
+
+    ``first`` is the number of the first source row behind the table. A sink that counts the rows it
+    has written gives their number, which is then held against the table's. ``commit(last_seq)``, where
+    there is one, makes what was written up to a source row last, before the checkpoint says so;
+    ``position``, where there is one, is the source row that a sink goes on behind when it is opened.
+    """
 
     def open(self) -> None: ...
-    def write_table(self, df: DataFrame, batch_rows: int) -> None: ...
+    def write_table(self, df: DataFrame, batch_rows: int, first: int = 1) -> int | None: ...
     def close(self) -> None: ...
 
 

@@ -1,18 +1,24 @@
-"""One CSV or JSONL file. Lines are made on the executors as one column; the driver only joins them in order."""
+"""One CSV or JSONL file, or a folder of part files. Lines are made as one native column and written by tasks."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import shutil
+import uuid
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomline.config import Sink
 from loomline.errors import PipelineError
 from loomline.functions.strings import col
-from loomline.schema import HIDDEN, kind_name
+from loomline.plans.lineage import delete, file_system, scratch
+from loomline.schema import POSITION, SEQ, kind_name
+from loomline.sources.paths import is_remote, spark_path
 
 
 def quoted(text: Column) -> Column:
@@ -45,19 +51,50 @@ def json_line(schema: StructType) -> Column:
     return line
 
 
+def write_lines(df: DataFrame, lines: Column, path: str, header: str | None, ordered: bool) -> int:
+    """Writes a line for each row as part files of a folder, replacing it, by all tasks at once; gives the number of lines.
+
+    With ``ordered`` the part files, by name, hold the rows in source order. The header comes first in every part.
+    """
+    rows = df.orderBy(SEQ, POSITION) if ordered else df
+    seen = Observation()
+    out = rows.select(lines.alias("value")).observe(seen, F.count(F.lit(1)).alias("lines"))
+    if header is not None:
+
+        def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], ["value"])
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+        out = out.mapInArrow(with_header, "value string")
+    out.write.mode("overwrite").text(path)
+    return seen.get["lines"]
+
+
+def line_of(sink: Sink, schema: StructType) -> Column:
+    return csv_line(schema) if sink.format == "csv" else json_line(schema)
+
+
+def check_types(schema: StructType) -> None:
+    for f in schema.fields:
+        if kind_name(f.dataType) not in ("LONG", "STRING", "VECTOR"):
+            raise PipelineError(f"File sink does not support field type: {kind_name(f.dataType)}")
+
+
 class FileSink:
-    """Overwrites or appends. In overwrite mode a sidecar says how long the file was after each commit.
+    """One file of the driver's, overwritten or appended to. Tasks write the lines; the driver joins their part files, bytes unread.
 
-    A resumed run cuts the file back to the last commit before its start, so every row is there
+    In overwrite mode a sidecar says how long the file was after each commit. A resumed run cuts
+    the file back to the last commit before its start and goes on from there, so every row is there
     exactly once; append mode never cuts and may repeat rows. The header comes only to an empty file.
     """
 
     def __init__(self, sink: Sink, schema: StructType, resume_from: int, show: Callable[[str], None]):
-        for f in schema.fields:
-            if kind_name(f.dataType) not in ("LONG", "STRING", "VECTOR"):
-                raise PipelineError(f"File sink does not support field type: {kind_name(f.dataType)}")
+        check_types(schema)
         self.sink, self.schema, self.resume_from = sink, schema, resume_from
         self.sidecar, self.out, self.commits = sink.path + ".offsets", None, None
+        #: Rows that are in the file already; the run goes on behind them.
+        self.position: int | None = None
 
     def open(self) -> None:
         path, append = self.sink.path, self.sink.mode == "append"
@@ -65,40 +102,43 @@ class FileSink:
         if append:
             self.out = open(path, "ab")
         elif self.resume_from > 1 and (keep := self._committed()) is not None:
+            self.position, length = keep
             self.out = open(path, "r+b")
-            self.out.truncate(keep)
+            self.out.truncate(length)
             self.out.seek(0, os.SEEK_END)
         else:
+            self.position = 0
             self.out = open(path, "wb")
-            if self.resume_from <= 1 and os.path.exists(self.sidecar):
+            if os.path.exists(self.sidecar):
                 os.remove(self.sidecar)
         if self.sink.format == "csv" and self.out.tell() == 0:
             self.out.write((csv_header(self.schema) + "\n").encode())
+            self.out.flush()
         if not append:
             self.commits = open(self.sidecar, "a")
 
-    def _committed(self) -> int | None:
-        """The length at the last commit up to where the run resumes; lines of the sidecar that make no sense are passed over."""
+    def _committed(self) -> tuple[int, int] | None:
+        """(number, length) of the last commit up to where the run resumes; lines of the sidecar that make no sense are passed over."""
         best = None
         if os.path.exists(self.sidecar) and os.path.exists(self.sink.path):
             size = os.path.getsize(self.sink.path)
             for line in open(self.sidecar, errors="replace"):
                 seq, _, length = line.strip().partition(",")
                 if seq.isdigit() and length.isdigit() and int(seq) < self.resume_from and int(length) <= size:
-                    best = max(best or 0, int(length))
+                    best = max(best or (0, 0), (int(seq), int(length)))
         return best
 
-    def line(self) -> Column:
-        return csv_line(self.schema) if self.sink.format == "csv" else json_line(self.schema)
-
-    def render(self, df: DataFrame) -> DataFrame:
-        return df.select(*[c for c in df.columns if c in HIDDEN or c.startswith("_b_")], self.line().alias("_line"))
+    def write_table(self, df: DataFrame, batch_rows: int, first: int = 1) -> int:
+        folder = scratch(df.sparkSession)
+        lines = write_lines(df, line_of(self.sink, self.schema), folder, None, ordered=True)
+        join_parts(df.sparkSession, [folder], self.out)
+        delete(df.sparkSession, folder)
+        return lines
 
-    def write(self, rows: list, last_seq: int) -> None:
-        self.out.write("".join(r["_line"] + "\n" for r in rows).encode())
+    def commit(self, last_seq: int) -> None:
         self.out.flush()
+        os.fsync(self.out.fileno())
         if self.commits:
-            os.fsync(self.out.fileno())
             self.commits.write(f"{last_seq},{self.out.tell()}\n")
             self.commits.flush()
 
@@ -110,11 +150,65 @@ class FileSink:
             os.remove(self.sidecar)
 
 
-def make(sink: Sink, schema: StructType, resume_from: int, show: Callable[[str], None]) -> FileSink:
-    return FileSink(sink, schema, resume_from, show)
+def join_parts(spark: SparkSession, folders: list[str], out: BinaryIO, block: int = 1 << 22) -> None:
+    """Appends the part files of folders, in the order of the folders and of their names, to an open file."""
+    jvm = spark.sparkContext._jvm
+    out.flush()
+    for folder in folders:
+        fs, path = file_system(spark, folder)
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")):
+            source = jvm.org.apache.hadoop.fs.Path(path, name)
+            if folder.startswith("file:"):
+                with open(source.toUri().getPath(), "rb") as f:
+                    shutil.copyfileobj(f, out, block)
+                continue
+            stream = fs.open(source)
+            try:
+                while data := bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, block))):
+                    out.write(data)
+            finally:
+                stream.close()
+    out.flush()
+
+
+class FolderSink:
+    """A folder of part files, for results too large for one file: a path that ends in ``/`` or names a remote store.
+
+    What is written of the rows from number n on is a folder ``rows-n`` of it, replaced whole, so that
+    writing it again does no harm. A run that starts over clears such folders, a resumed one those
+    behind its start. ``only`` confines that to a range of rows: tasks of a job share a folder.
+    """
+
+    def __init__(self, sink: Sink, schema: StructType, resume_from: int, show: Callable[[str], None]):
+        check_types(schema)
+        self.sink, self.schema, self.resume_from, self.only = sink, schema, resume_from, None
+        self.ordered, self.header = False, csv_header(schema) if sink.format == "csv" else None
+        self.path = spark_path(sink.path).rstrip("/")
+
+    def open(self) -> None:
+        spark = SparkSession.active()
+        first, last = self.only or (1, 2**63 - 1)
+        for number, folder in parts_of(spark, self.path):
+            if self.sink.mode != "append" and max(first, self.resume_from) <= number <= last:
+                delete(spark, folder)
+
+    def write_table(self, df: DataFrame, batch_rows: int, first: int = 1) -> int:
+        name = f"{self.path}/rows-{first:019d}" + (f"-{uuid.uuid4().hex}" if self.sink.mode == "append" else "")
+        return write_lines(df, line_of(self.sink, self.schema), name, self.header, self.ordered)
+
+    def commit(self, last_seq: int) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+
+def parts_of(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number of the first row, folder) of what a folder sink has written, in order."""
+    fs, root = file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted((int(n[5:24]), f"{path}/{n}") for n in names if n.startswith("rows-") and n[5:24].isdigit())
 
 
-def write_folder(df: DataFrame, schema: StructType, path: str, form: str, mode: str = "overwrite") -> None:
-    """The same lines as a folder of part files, written by all tasks at once: for results too large for one file."""
-    line = csv_line(schema) if form == "csv" else json_line(schema)
-    df.select(line.alias("value")).write.mode(mode).text(path)
+def make(sink: Sink, schema: StructType, resume_from: int, show: Callable[[str], None]) -> FileSink | FolderSink:
+    return (FolderSink if sink.path.endswith("/") or is_remote(sink.path) else FileSink)(sink, schema, resume_from, show)

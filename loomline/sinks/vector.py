@@ -9,6 +9,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from loomline.schema import kind_name
 from loomline.sinks import require
 
 POINT, VECTOR = "_point_id", "_vector"
+#: Rows of a request at least. How rows are cut into requests changes nothing, as each is an upsert by id.
+REQUEST_ROWS = 256
 
 
 def payload_fields(sink: Sink, schema: StructType, label: str, with_id: bool) -> list[str]:
@@ -92,10 +95,16 @@ class _Store:
     def point_id(self):  # noqa: ANN201
         return col(self.sink.id_field)
 
-    def write_table(self, df: DataFrame, batch_rows: int) -> None:
+    def write_table(self, df: DataFrame, batch_rows: int, first: int = 1) -> None:
         wanted = df.select(self.point_id().alias(POINT), col(self.sink.vector_field).alias(VECTOR), *map(col, dict.fromkeys(self.payload)))
-        upsert = self.upsert
-        wanted.foreachPartition(lambda rows: [upsert(b) for b in batches(rows, batch_rows)] and None)
+        upsert, size = self.upsert, max(batch_rows, REQUEST_ROWS)
+
+        def write(rows: Iterator[Row]) -> None:
+            with upsert.opened() as send_batch:
+                for batch in batches(rows, size):
+                    send_batch(batch)
+
+        wanted.foreachPartition(write)
 
     def key(self, label: str) -> str | None:
         """Read by the driver, so that a missing key fails before any job."""
@@ -136,7 +145,14 @@ class Qdrant(_Store):
         return F.when(index < 0, negative.cast("bigint")).when(whole.isNull() & row_id.isNotNull() & index.isNotNull(), overflow.cast("bigint")).otherwise(whole)
 
 
-class _Qdrant:
+class _Http:
+    """Requests need no connection that is kept."""
+
+    def opened(self):  # noqa: ANN201
+        return nullcontext(self)
+
+
+class _Qdrant(_Http):
     def __init__(self, url: str, headers: dict[str, str], timeout_ms: int, payload: list[str]):
         self.url, self.headers, self.timeout_ms, self.payload = url, headers, timeout_ms, payload
 
@@ -159,7 +175,7 @@ class Milvus(_Store):
         self.upsert = _Milvus(f"{sink.url.rstrip('/')}/v2/vectordb/entities/upsert", headers, sink, self.payload)
 
 
-class _Milvus:
+class _Milvus(_Http):
     def __init__(self, url: str, headers: dict[str, str], sink: Sink, payload: list[str]):
         self.url, self.headers, self.sink, self.payload = url, headers, sink, payload
 
@@ -203,19 +219,29 @@ class _Pgvector:
     def __init__(self, connect: Callable, where: tuple, sql: str, payload: list[str]):
         self.connect, self.where, self.sql, self.payload = connect, where, sql, payload
 
-    def __call__(self, rows: list[Row]) -> None:
+    @contextmanager
+    def opened(self):  # noqa: ANN201
+        """One connection for all batches of a task, each batch a transaction."""
         try:
             connection = self.connect(*self.where)
         except Exception as e:
             raise PipelineError(f"Pgvector connection failed: {e}") from None
+        try:
+            yield lambda rows: self.write(connection, rows)
+        finally:
+            connection.close()
+
+    def write(self, connection, rows: list[Row]) -> None:  # noqa: ANN001
         try:
             values = [(r[POINT], "[" + ",".join(repr(float(v)) for v in r[VECTOR]) + "]", *(r[n] for n in self.payload)) for r in rows]
             connection.cursor().executemany(self.sql, values)
             connection.commit()
         except Exception as e:
             raise PipelineError(f"Pgvector upsert failed: {e}") from None
-        finally:
-            connection.close()
+
+    def __call__(self, rows: list[Row]) -> None:
+        with self.opened() as write:
+            write(rows)
 
 
 def postgres_connection(url: str, user: str, password: str, timeout_ms: int):  # noqa: ANN201

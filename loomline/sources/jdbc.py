@@ -11,8 +11,9 @@ from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortTy
 from loomline.config import Source
 from loomline.errors import PipelineError, StageError
 from loomline.functions.strings import col
-from loomline.schema import ERR, LONG, SEQ, STRING, field, row_type
-from loomline.sources import Rows, numbered
+from loomline.plans.lineage import materialize
+from loomline.schema import ERR, LONG, PIECE, PLACE, SEQ, STRING, field, row_type
+from loomline.sources import Numbered, Rows, placed
 
 LABELS = {"postgres": "Postgres", "mysql": "MySQL", "duckdb": "DuckDB"}
 DRIVERS = {"postgres": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver"}
@@ -26,17 +27,27 @@ def credential(label: str, name: str) -> str:
 
 
 def typed(df: DataFrame, label: str, prefix: str) -> Rows:
-    """Whole numbers become LONG, all else STRING; a null text is empty, a null number a bad record."""
+    """Whole numbers become LONG, all else STRING; a null text is empty, a null number a bad record.
+
+    The query runs once: its result is written to the shared folder in the result's order, and
+    rows are numbered there. Running it again could give other partitions, and with them other numbers.
+    """
     whole = lambda t: isinstance(t, (LongType, IntegerType, ShortType, ByteType))
     kinds: list[tuple[str, DataType]] = [(f.name, LONG if whole(f.dataType) else STRING) for f in df.schema.fields]
     schema = row_type([field(n, k) for n, k in kinds])
-    rows = numbered(df)
+    values = [col(n).cast("bigint").alias(n) if k == LONG else F.coalesce(col(n).cast("string"), F.lit("")).alias(n) for n, k in kinds]
+
+    def number() -> Numbered:
+        try:
+            return Numbered(materialize(placed(df).select(PIECE, PLACE, *values)))
+        except Exception as e:
+            raise PipelineError(f"{label} source query failed: {first_line(e)}") from None
+
     null = [
         F.when(col(n).isNull(), F.concat(F.lit(f"Invalid {label} row seq="), F.col(SEQ).cast("string"), F.lit(f": field {n} is null"))) for n, k in kinds if k == LONG
     ]
-    values = [col(n).cast("bigint").alias(n) if k == LONG else F.coalesce(col(n).cast("string"), F.lit("")).alias(n) for n, k in kinds]
     error = F.coalesce(*null) if null else F.lit(None).cast("string")
-    return Rows(rows.select(SEQ, error.alias(ERR), *values), schema, prefix)
+    return Rows(number, schema, prefix, finish=lambda rows: rows.select(SEQ, error.alias(ERR), *(col(n) for n, _ in kinds)))
 
 
 def read(spark: SparkSession, source: Source) -> Rows:
