@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: All characters up to U+0020: what trimming takes away, and nothing else.
@@ -27,3 +27,10 @@ def parse_long(text: Column) -> Column:
     """A signed 64-bit number with control characters and spaces around it, or null."""
     bare = trimmed(text)
     return F.when(bare.rlike(r"^[+-]?[0-9]+\z"), bare.try_cast("bigint"))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the functions known to SQL, as expressions that are planned like any other."""
+    marks = "".join(f"\\u{i:04x}" for i in range(0x21))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION utf16_length(s STRING) RETURNS BIGINT RETURN cast(octet_length(encode(s, 'UTF-16BE')) / 2 AS BIGINT)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION trim_controls(s STRING) RETURNS STRING RETURN btrim(s, '{marks}')")

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import os
 import re
+import shutil
+import sqlite3
 import tempfile
+import threading
+import uuid
+from contextlib import contextmanager
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomline import sinks
 from loomline.config import Pipeline, Sink, Source, Transform
+from loomline.errors import StageError
 from loomline.functions.strings import utf16_length
 from loomline.operators import embedding
 from loomline.operators.transforms import Chain
@@ -18,6 +29,7 @@ from loomline.plans.lineage import scratch
 from loomline.schema import BATCH, ERR, LONG, POSITION, SEQ, STRING, VECTOR, field, row_type
 from loomline.sinks import console, file, vector
 from loomline.sources import demo, open_source, strict_records
+from loomline.streaming import incremental
 
 QUERIES = {}
 SQL = {}
@@ -282,14 +294,6 @@ def planned_splits(rows: DataFrame) -> list[splits.Split]:
     return splits.plan("file", rows.agg(F.max("rec_id")).first()[0] or 0, 500)
 
 
-@query("SELECT rec_id, line_no FROM input_records WHERE rec_id BETWEEN 501 AND 1500")
-def s15_split_range(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the second and third split only, as its SQL has it; :func:`s15_split_ranges` reads all splits."""
-    rows = table(spark, folder, "input_records").select("rec_id", "line_no")
-    chosen = planned_splits(rows)[1:3]
-    return rows.where(F.col("rec_id").between(chosen[0].start, chosen[-1].end) if chosen else F.lit(False))
-
-
 @query("SELECT rec_id, line_no, 'file-part-' || ((rec_id - 1) // 500) AS split FROM input_records")
 def s15_split_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of the table with the planned split that reads it."""
@@ -373,12 +377,6 @@ def x4_job_states(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.job_states(table(spark, folder, "orders").select(F.col("o_custkey").alias("job_id"), F.expr(TASK_STATE).alias("state")))
 
 
-@query(f"SELECT o_custkey AS job_id, o_orderkey AS task FROM orders WHERE {TASK_STATE} = 'FAILED'")
-def x3_failed_tasks(spark: SparkSession, folder: str) -> DataFrame:
-    tasks = table(spark, folder, "orders").withColumn("state", F.expr(TASK_STATE))
-    return tasks.where(F.col("state") == state.FAILED).select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("task"))
-
-
 # Files, there and back ------------------------------------------------------------------------
 
 
@@ -422,6 +420,283 @@ def d2_run(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([tuple(getattr(done, n) for n in names)], ", ".join(f"{n} bigint" for n in names))
 
 
+def copied(spark: SparkSession, source: Source, sink: Sink, steps: list[Transform] | None = None, **more) -> runner.Summary:
+    return runner.run(spark, Pipeline("copy", source, steps or [], sink, **more), lambda _: None)
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, id, content) of what a pipeline has written as JSON lines."""
+    return open_source(spark, Source("file", path, "jsonl")).df.select(F.col(SEQ).alias("seq"), "id", "content")
+
+
+def driver_folder() -> str:
+    """A folder of the driver's, for sinks that are one local file; it goes when the program ends."""
+    out = tempfile.mkdtemp(prefix="loomline-")
+    atexit.register(shutil.rmtree, out, True)
+    return out
+
+
+ARTICLES = "SELECT id, coalesce(content, '') AS content FROM articles"
+SEQUENCED = "SELECT row_number() OVER (ORDER BY id) AS seq, id, coalesce(content, '') AS content FROM articles"
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS seq, doc_id AS id, coalesce(max(text), '') AS content FROM documents GROUP BY doc_id")
+def s11_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A grouped query with a wide text, run through the engine into one file and read back with its numbers."""
+    out = driver_folder()
+    text = f"SELECT doc_id AS id, max(text) AS content FROM read_parquet('{folder}/documents.parquet') GROUP BY doc_id ORDER BY doc_id"
+    copied(spark, Source("duckdb", query=text), Sink("file", f"{out}/all.jsonl", "jsonl"))
+    return read_back(spark, f"{out}/all.jsonl")
+
+
+@query(SEQUENCED)
+def x2_job(spark: SparkSession, folder: str) -> DataFrame:
+    """A job of four bundles side by side with one file for a sink, read back."""
+    path = part_files(articles(spark, folder), file.json_line(ROW), None)
+    out = driver_folder()
+    pipeline = Pipeline("x2", Source("file", path, "jsonl", max_rows_per_split=200), [], Sink("file", f"{out}/all.jsonl", "jsonl"))
+    tasks = jobs.Jobs(spark, f"{out}/state")
+    job = tasks.submit(pipeline, 4)
+    assert tasks.run(job, pipeline, 4) == state.COMPLETED
+    return read_back(spark, f"{out}/all.jsonl")
+
+
+class Refusing:
+    """Refuses the flush with row 1 as often as it is told to, and forgets everything else."""
+
+    times = 0
+
+    def __init__(self, *_: object): ...
+    def open(self) -> None: ...
+    def close(self) -> None: ...
+
+    def write(self, rows: list, last_seq: int) -> None:
+        if rows[0][SEQ] == 1 and Refusing.times:
+            Refusing.times -= 1
+            raise RuntimeError("not now")
+
+
+def refused(spark: SparkSession, folder: str, times: int) -> tuple[jobs.Jobs, str]:
+    """A job of four bundles over all articles whose first bundle's sink fails so many times."""
+    sinks.register("refusing", Refusing)
+    Refusing.times = times
+    path = part_files(articles(spark, folder), file.json_line(ROW), None)
+    step = Transform("mock-embedding", input="content", output="v", batch_size=500)
+    pipeline = Pipeline("refused", Source("file", path, "jsonl", max_rows_per_split=100), [step], Sink("refusing"))
+    out = driver_folder()
+    tasks = jobs.Jobs(spark, out)
+    job = tasks.submit(pipeline, 4)
+    tasks.run(job, pipeline, 4)
+    return tasks, job
+
+
+SQL_BUNDLES = """
+WITH n AS (SELECT count(*) AS n, ceil(count(*) / 100.0)::BIGINT AS splits FROM articles), m AS (SELECT *, ceil(splits / least(splits, 4.0))::BIGINT AS size FROM n),
+b AS (SELECT k, k * size * 100 + 1 AS first, least((k + 1) * size * 100, n) AS last FROM m, range(0, 4) r(k) WHERE k * size < splits)
+"""
+
+
+@query(SQL_BUNDLES + "SELECT first::BIGINT AS first, last::BIGINT AS last, CASE k WHEN 0 THEN 3 ELSE 1 END::BIGINT AS attempts, 'COMPLETED' AS state FROM b")
+def x6_retries(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts of every task of a job whose first task fails twice."""
+    tasks, job = refused(spark, folder, 2)
+    return spark.createDataFrame([(t.start, t.end, t.attempt, t.state) for t in tasks.tasks(job)], "first bigint, last bigint, attempts bigint, state string")
+
+
+@query(SQL_BUNDLES + "SELECT first::BIGINT AS first, last::BIGINT AS last, 4::BIGINT AS attempts, 'RETRY_EXHAUSTED' AS code, 'FINISHED_WITH_ERRORS' AS job FROM b WHERE k = 0")
+def x3_failed_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The failed tasks of a job whose first task fails at every attempt."""
+    tasks, job = refused(spark, folder, jobs.MOST_ATTEMPTS)
+    return spark.createDataFrame([(t.start, t.end, t.attempt, t.error_code, tasks.status(job)) for t in tasks.failed(job)], "first bigint, last bigint, attempts bigint, code string, job string")
+
+
+@query("SELECT row_number() OVER (ORDER BY 'doc=' || doc_id || '/') AS id, doc_id, coalesce(text, '') || chr(10) AS content FROM documents")
+def s3_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as a document of its own, read back as a folder of documents, numbered by path."""
+    root = scratch(spark)
+    texts(spark, folder).select(F.col("id").alias("doc"), F.col("content").alias("value")).write.partitionBy("doc").text(root)
+    rows = open_source(spark, Source("file", root.removeprefix("file://"), "document")).df
+    return rows.select("id", F.regexp_extract("path", "^doc=([0-9]+)/", 1).cast("bigint").alias("doc_id"), "content")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY id) + 1 AS seq, CASE WHEN content IS NULL THEN 'Invalid JSONL row at line ' || (row_number() OVER (ORDER BY id) + 1) || ': field content must not be null'
+WHEN content LIKE '{%' AND json_valid(content) THEN 'Invalid JSONL row at line ' || (row_number() OVER (ORDER BY id) + 1) || ': field content must be a scalar value' END AS error FROM articles
+UNION ALL SELECT 1, NULL
+""")
+def s2_bad_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles as JSON lines, contents that are JSON objects unquoted: null and nested values are bad records."""
+    content = F.col("content")
+    nested = content.startswith("{") & F.try_parse_json(content).isNotNull()
+    value = F.when(content.isNull(), "null").when(nested, F.regexp_replace(content, r"[\r\n]", " ")).otherwise(F.regexp_replace(F.to_json(F.struct(content)), r'^\{"content":(.*)\}$', "$1"))
+    rows = table(spark, folder, "articles").select("id", F.concat(F.lit('{"id":'), "id", F.lit(',"content":'), value, F.lit("}")).alias("line"))
+    rows = rows.unionByName(spark.createDataFrame([(-(2**62), '{"id":0,"content":"sound"}')], "id bigint, line string"))
+    path = part_files(rows, F.col("line"), None)
+    return open_source(spark, Source("file", path, "jsonl")).df.select(F.col(SEQ).alias("seq"), F.col(ERR).alias("error"))
+
+
+def jdbc_articles(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Articles in a database within this JVM (local masters only), read by the source for databases of this kind."""
+    url, driver = "jdbc:derby:memory:loomline", "org.apache.derby.jdbc.EmbeddedDriver"
+    name = f"articles_{uuid.uuid4().hex[:8]}"
+    articles(spark, folder).coalesce(1).write.jdbc(f"{url};create=true", name, properties={"driver": driver})
+    os.environ.setdefault("LOOMLINE_JDBC", "APP")
+    source = Source(kind, url=url, query=f'SELECT "id", "content", CAST("id" AS DECIMAL(20, 2)) AS "wide" FROM {name} ORDER BY "id"', user_env="LOOMLINE_JDBC", password_env="LOOMLINE_JDBC", options={"driver": driver})
+    return open_source(spark, source).df.select(F.col(SEQ).alias("seq"), "id", "content", "wide")
+
+
+JDBC = "SELECT row_number() OVER (ORDER BY id) AS seq, id, coalesce(content, '') AS content, id || '.00' AS wide FROM articles"
+
+
+@query(JDBC)
+def s9_postgres(spark: SparkSession, folder: str) -> DataFrame:
+    return jdbc_articles(spark, folder, "postgres")
+
+
+@query(JDBC)
+def s10_mysql(spark: SparkSession, folder: str) -> DataFrame:
+    return jdbc_articles(spark, folder, "mysql")
+
+
+@query(f"SELECT id, content, 2::BIGINT AS copies FROM ({ARTICLES})")
+def k4_append(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pipeline twice with a folder in append mode: every row is there twice."""
+    path, out = part_files(articles(spark, folder), file.json_line(ROW), None), scratch(spark)
+    for _ in range(2):
+        copied(spark, Source("file", path, "jsonl"), Sink("file", f"{out}/", "jsonl", "append"))
+    return read_back(spark, out).groupBy("id", "content").agg(F.count("*").alias("copies"))
+
+
+@query(SEQUENCED)
+def k5_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """A run into one file whose state is set back behind row 700 and that runs again: every row once, in order."""
+    path = part_files(articles(spark, folder), file.json_line(ROW), None)
+    out = driver_folder()
+    go = lambda: copied(spark, Source("file", path, "jsonl", max_rows_per_split=100), Sink("file", f"{out}/all.jsonl", "jsonl"), state_dir=f"{out}/state")
+    go()
+    state.Store(f"{out}/state").put("local-pipeline-copy", state.Task("local-pipeline-copy", state=state.RUNNING, attempt=1, checkpoint=700))
+    go()
+    return read_back(spark, f"{out}/all.jsonl")
+
+
+@query("SELECT '[AI Sink] Row ID: ' || vec_id || ', Vector Dim: ' || len(embedding) || ', First Val: ' || printf('%.4f', embedding[1]::DOUBLE) AS line FROM embeddings")
+def k6_mock_vector_line(spark: SparkSession, folder: str) -> DataFrame:
+    sink = console.MockVector(Sink("mock-vector"), row_type([field("id", LONG), field("embedding", VECTOR)]), 0, print)
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding").select(sink.line().alias("line"))
+
+
+@contextmanager
+def listening(spark: SparkSession, answer: str):  # noqa: ANN201
+    """A stand-in for a vector store on the driver: (url, bodies of the requests it got)."""
+    bodies: list[dict] = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self) -> None:
+            bodies.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer.encode())
+
+        do_PUT = do_POST
+
+        def log_message(self, *_: object) -> None: ...
+
+    host = spark.conf.get("spark.driver.host", "127.0.0.1")
+    server = ThreadingHTTPServer((host, 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://{host}:{server.server_port}", bodies
+    finally:
+        server.shutdown()
+
+
+EMBEDDED = "SELECT id, content, length(regexp_replace(content, '[\\x{10000}-\\x{10ffff}]', 'xx', 'g'))::DOUBLE AS first FROM (" + ARTICLES + ")"
+STORED = "id bigint, content string, first double"
+
+
+def embedded(spark: SparkSession, folder: str, sink: Sink) -> None:
+    path = part_files(articles(spark, folder), file.json_line(ROW), None)
+    copied(spark, Source("file", path, "jsonl"), sink, [Transform("mock-embedding", input="content", output="v", batch_size=64)])
+
+
+@query(EMBEDDED)
+def k7_qdrant(spark: SparkSession, folder: str) -> DataFrame:
+    """Points that a store is sent by a run over all articles."""
+    with listening(spark, '{"status":"ok"}') as (url, bodies):
+        embedded(spark, folder, Sink("qdrant", url=url, collection="c", id_field="id", vector_field="v"))
+    points = {p["id"]: (p["id"], p["payload"]["content"], p["vector"][0]) for b in bodies for p in b["points"]}  # an upsert by id
+    return spark.createDataFrame(list(points.values()), STORED)
+
+
+@query(EMBEDDED)
+def k9_milvus(spark: SparkSession, folder: str) -> DataFrame:
+    with listening(spark, '{"code":0}') as (url, bodies):
+        embedded(spark, folder, Sink("milvus", url=url, collection="c", id_field="id", vector_field="v"))
+    rows = {d["id"]: (d["id"], d["content"], d["v"][0]) for b in bodies for d in b["data"]}
+    return spark.createDataFrame(list(rows.values()), STORED)
+
+
+class _Sqlite:
+    """A DB-API connection to a database file that all tasks of one machine share."""
+
+    def __init__(self, url: str, *_: object):
+        self.db = sqlite3.connect(url, timeout=60)
+        self.commit, self.close = self.db.commit, self.db.close
+
+    def cursor(self) -> _Sqlite:
+        return self
+
+    def executemany(self, sql: str, values: list) -> None:
+        self.db.executemany(sql.replace("?::vector", "?"), values)
+
+
+@query(EMBEDDED)
+def k8_pgvector(spark: SparkSession, folder: str) -> DataFrame:
+    """Upserts of a run over all articles, made twice, into a table of a local database (local masters only)."""
+    with tempfile.TemporaryDirectory() as out:
+        url = f"{out}/vectors.db"
+        with sqlite3.connect(url) as db:
+            db.execute("CREATE TABLE vectors (id INTEGER PRIMARY KEY, v TEXT, content TEXT)")
+        os.environ.setdefault("LOOMLINE_JDBC", "APP")
+        connect, vector.Pgvector.connect = vector.Pgvector.connect, _Sqlite
+        try:
+            for _ in range(2):
+                embedded(spark, folder, Sink("pgvector", url=url, table="vectors", id_field="id", vector_field="v", user_env="LOOMLINE_JDBC", password_env="LOOMLINE_JDBC"))
+        finally:
+            vector.Pgvector.connect = connect
+        rows = [(i, c, json.loads(v)[0]) for i, v, c in sqlite3.connect(url).execute("SELECT id, v, content FROM vectors")]
+    return spark.createDataFrame(rows, STORED)
+
+
+@query('SELECT 0::BIGINT AS "rowsRead", 0::BIGINT AS "rowsWritten", count(*) AS "rowsSkipped", count(*) AS "checkpointSeq", \'COMPLETED\' AS state FROM articles')
+def d5_completed_rerun(spark: SparkSession, folder: str) -> DataFrame:
+    """What the second run of a completed pipeline does: nothing."""
+    path, out = part_files(articles(spark, folder), file.json_line(ROW), None), scratch(spark)
+    with tempfile.TemporaryDirectory() as folder_of_state:
+        done = [copied(spark, Source("file", path, "jsonl"), Sink("file", f"{out}/", "jsonl"), state_dir=folder_of_state) for _ in range(2)][1]
+        found = state.Store(folder_of_state).get("local-pipeline-copy").state
+    return spark.createDataFrame([(done.rowsRead, done.rowsWritten, done.rowsSkipped, done.checkpointSeq, found)], '`rowsRead` bigint, `rowsWritten` bigint, `rowsSkipped` bigint, `checkpointSeq` bigint, state string')
+
+
+@query("""
+WITH n AS (SELECT row_number() OVER (ORDER BY id) AS k, content FROM articles), f AS (SELECT min(k) AS k FROM n WHERE content IS NULL)
+SELECT 'Source stage failed: Invalid JSONL row at line ' || (k + 1) || ': field content must not be null' AS error, k::BIGINT AS written, k::BIGINT AS checkpoint FROM f WHERE k IS NOT NULL
+""")
+def d7_stage_error(spark: SparkSession, folder: str) -> DataFrame:
+    """A fail-fast run over articles with null contents: its error, the rows before it, and the checkpoint it leaves."""
+    line = F.to_json(F.struct("id", "content"), {"ignoreNullFields": "false"})
+    rows = table(spark, folder, "articles").select("id", "content").unionByName(spark.createDataFrame([(-(2**62), "sound")], "id bigint, content string"))
+    path, out = part_files(rows, line, None), scratch(spark)
+    found = []
+    with tempfile.TemporaryDirectory() as folder_of_state:
+        try:
+            copied(spark, Source("file", path, "jsonl"), Sink("file", f"{out}/", "jsonl"), state_dir=folder_of_state)
+        except StageError as e:
+            kept = state.Store(folder_of_state).get("local-pipeline-copy").checkpoint
+            found.append((str(e), read_back(spark, out).count(), kept))
+    return spark.createDataFrame(found, "error string, written bigint, checkpoint bigint")
+
+
 # Whole pipelines and SQL pass-through --------------------------------------------------------
 
 
@@ -465,6 +740,98 @@ WITH spent AS (SELECT o_custkey AS k, count(*) AS n FROM {P('orders')} GROUP BY
 SELECT k, n FROM spent WHERE n > (SELECT avg(n) FROM spent)""")
 
 
+_sql_query("s11_full_join", f"""
+SELECT coalesce(c_custkey, -1) AS customer, coalesce(o_orderkey, -1) AS ordered FROM (SELECT * FROM {P('customer')} WHERE c_custkey < 500) c
+FULL JOIN (SELECT * FROM {P('orders')} WHERE o_custkey > 400) o ON c_custkey = o_custkey""")
+_sql_query("s11_range_join", f"""
+SELECT r_regionkey AS band, count(*) AS orders FROM {P('orders')} JOIN {P('region')} ON o_totalprice >= r_regionkey * 60000 AND o_totalprice < (r_regionkey + 1) * 60000 GROUP BY r_regionkey""")
+_sql_query("s11_theta_join", f"""
+SELECT a.n_nationkey AS k, count(*) AS later FROM {P('nation')} a JOIN {P('nation')} b ON a.n_name < b.n_name GROUP BY a.n_nationkey""")
+_sql_query("s11_lateral", f"""
+SELECT c_custkey, t.k AS last_order FROM {P('customer')}, LATERAL (SELECT max(o_orderkey) AS k FROM {P('orders')} WHERE o_custkey = c_custkey) t WHERE t.k IS NOT NULL""")
+_sql_query("s11_interval_join", f"""
+SELECT l_orderkey, l_linenumber, o_custkey FROM {P('lineitem')} JOIN {P('orders')} ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY""")
+_sql_query("s11_cube", f"""
+SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, grouping(l_returnflag) AS g, count(*) AS n FROM {P('lineitem')} GROUP BY CUBE (l_returnflag, l_linestatus)""")
+_sql_query("s11_grouping_sets", f"""
+SELECT coalesce(c_mktsegment, '*') AS segment, coalesce(c_nationkey, -1) AS nation, count(*) AS n FROM {P('customer')} GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())""")
+_sql_query("s11_unions", f"""
+SELECT k, count(*) AS n FROM (SELECT o_custkey AS k FROM {P('orders')} UNION ALL SELECT c_custkey FROM {P('customer')} UNION ALL (SELECT n_nationkey FROM {P('nation')} UNION SELECT r_regionkey FROM {P('region')})) GROUP BY k""")
+_sql_query("s11_bag_operations", f"""
+SELECT o_custkey AS k FROM {P('orders')} EXCEPT ALL SELECT c_custkey FROM {P('customer')} INTERSECT ALL SELECT o_custkey FROM {P('orders')}""")
+_sql_query("s11_dates", f"""
+SELECT event_id, year(ts) AS y, month(ts) AS m, dayofmonth(ts) AS d, hour(ts) AS h, cast(cast(date_trunc('month', ts) AS DATE) AS VARCHAR(10)) AS first, CASE WHEN last_day(cast(ts AS DATE)) = cast(ts AS DATE) THEN 1 ELSE 0 END AS ends,
+datediff('day', DATE '2020-01-01', cast(ts AS DATE)) AS days FROM {P('events')}""")
+_sql_query("s11_numbers", f"""
+SELECT event_id, cast(floor(abs(value)) AS BIGINT) AS low, cast(ceil(value) AS BIGINT) AS high, cast(sign(value) AS BIGINT) AS s, event_id % 7 AS r, event_id // 7 AS q, event_id::VARCHAR AS t,
+cast(round(sqrt(abs(value)) * 1000) AS BIGINT) AS root, greatest(event_id, user_id) AS g FROM {P('events')}""")
+_sql_query("s11_distinct_on_keys", f"""
+SELECT user_id, count(DISTINCT event_type) AS kinds, arg_max(event_id, event_id) AS last, min(event_type) FILTER (WHERE event_id % 2 = 0) AS least FROM {P('events')} GROUP BY user_id HAVING count(*) > 1""")
+_sql_query("s11_running", f"""
+SELECT event_id, cast(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS three, ntile(4) OVER (ORDER BY event_id) AS quarter,
+dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS kind, coalesce(lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS two_on FROM {P('events')}""")
+_sql_query("s11_view", f"""
+WITH RECURSIVE k(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM k WHERE n < 25), named AS (SELECT n, n_name FROM k JOIN {P('nation')} ON n_nationkey = n - 1)
+SELECT n, n_name, '-- no comment, read_parquet(''x'') // 2' AS note FROM named WHERE n NOT IN (SELECT r_regionkey FROM {P('region')})""")
+
+
+@query("""
+SELECT vec_id, len(embedding) AS n, list_contains(embedding, embedding[1])::INT AS has, list_position(embedding, list_max(embedding)) AS at,
+(list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 2 ELSE -1 END)))::BIGINT AS total, len(list_filter(embedding, lambda x: x > 0)) AS above FROM embeddings
+""")
+def s11_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    return passed_through(spark, folder, """
+        SELECT vec_id, array_size(embedding) AS n, cast(list_contains(embedding, embedding[0]) AS INT) AS has, array_position(embedding, list_max(embedding)) AS at,
+        aggregate(transform(embedding, x -> CASE WHEN x > 0 THEN 2L ELSE -1L END), 0L, (a, x) -> a + x) AS total, array_size(filter(embedding, x -> x > 0)) AS above FROM read_parquet('{d}/embeddings.parquet')""")
+
+
+@query("""
+SELECT event_type AS kind, count(*) AS n, map_extract(map([event_type], [count(*)]), event_type)[1]::BIGINT AS in_map, json_extract_string(to_json({'k': event_type}), '$.k') AS in_json FROM events GROUP BY event_type
+""")
+def s11_maps_and_json(spark: SparkSession, folder: str) -> DataFrame:
+    return passed_through(spark, folder, """
+        SELECT event_type AS kind, count(*) AS n, try_element_at(map(event_type, count(*)), event_type) AS in_map, json_extract_string(to_json(named_struct('k', event_type)), '$.k') AS in_json
+        FROM read_parquet('{d}/events.parquet') GROUP BY event_type""")
+
+
+@query("""
+SELECT event_id, coalesce(o_orderkey, -1) AS ordered FROM (SELECT event_id, user_id, ts FROM events) e
+ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON user_id = o_custkey AND ts >= o_orderdate
+""")
+def s11_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest order before each event, as one window over both tables; no pairs are made."""
+    return passed_through(spark, folder, """
+        SELECT n AS event_id, coalesce(ordered, -1) AS ordered FROM (
+          SELECT n, last_value(k, true) OVER (PARTITION BY who ORDER BY at, is_event, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ordered, is_event FROM (
+            SELECT user_id AS who, cast(ts AS TIMESTAMP) AS at, 1 AS is_event, cast(NULL AS BIGINT) AS k, event_id AS n FROM read_parquet('{d}/events.parquet')
+            UNION ALL SELECT o_custkey, cast(o_orderdate AS TIMESTAMP), 0, o_orderkey, NULL FROM read_parquet('{d}/orders.parquet')))
+        WHERE is_event = 1""")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS rows FROM events GROUP BY 1, 2")
+def g1_tumbling(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each hour and kind, by the aggregation that streams of events go through."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return incremental.windowed_counts(events, "ts", ["event_type"], "1 hour", "10 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS rows FROM s GROUP BY user_id, k
+""")
+def g2_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of each user, ended by two hours without an event."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return incremental.session_counts(events, "ts", ["user_id"], "2 hours", "10 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT doc_id AS id, {UNITS.format('coalesce(text, {q}{q})'.format(q=chr(39)))} AS units, trim(coalesce(text, ''), {SQL_TRIMMED}) AS bare FROM documents")
+def u1_sql_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """The engine's own string functions, called from a SQL source."""
+    return passed_through(spark, folder, "SELECT doc_id AS id, utf16_length(coalesce(text, '')) AS units, trim_controls(coalesce(text, '')) AS bare FROM read_parquet('{d}/documents.parquet')")
+
+
 @query(sql_chunks(f"trim(text, {SQL_TRIMMED})", 500, 450) + f"SELECT id, chunk, i AS chunk_index, {UNITS.format('chunk')}::FLOAT AS first FROM c")
 def q_flagship(spark: SparkSession, folder: str) -> DataFrame:
     return flagship(spark, folder).select("id", "chunk", "chunk_index", F.col("embedding")[0].alias("first"))

@@ -52,7 +52,7 @@ def typed(df: DataFrame, label: str, prefix: str) -> Rows:
 
 def read(spark: SparkSession, source: Source) -> Rows:
     label = LABELS[source.type]
-    options = {"url": source.url, "query": source.query, "driver": DRIVERS[source.type], "user": credential(label, source.user_env), "password": credential(label, source.password_env)}
+    options = {"url": source.url, "query": source.query, "driver": source.options.get("driver") or DRIVERS[source.type], "user": credential(label, source.user_env), "password": credential(label, source.password_env)}
     if source.fetch_size:
         options["fetchsize"] = str(source.fetch_size)
     try:
@@ -64,4 +64,8 @@ def read(spark: SparkSession, source: Source) -> Rows:
 
 
 def first_line(e: Exception) -> str:
-    return next((x.strip() for x in str(e).splitlines() if x.strip()), type(e).__name__)
+    """The first line of an error that says something; of a Java error, what follows the call it came from."""
+    lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+    if len(lines) > 1 and lines[0].startswith("An error occurred while calling"):
+        return lines[1].removeprefix(": ").split("Exception: ", 1)[-1]
+    return lines[0] if lines else type(e).__name__

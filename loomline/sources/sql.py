@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from loomline.config import Source
 from loomline.errors import PipelineError
+from loomline.functions import strings
 from loomline.sources import Rows
 from loomline.sources.jdbc import first_line, typed
 
@@ -25,13 +26,29 @@ READERS = {
     "read_parquet": lambda spark, p: spark.read.parquet(p),
     "parquet_scan": lambda spark, p: spark.read.parquet(p),
 }
-CALL = re.compile(r"\b(" + "|".join(READERS) + r")\s*\(\s*'((?:[^']|'')*)'\s*(?:,[^()]*)?\)", re.I)
-PATH = re.compile(r"\b(from|join)\s+'((?:[^']|'')+\.(parquet|csv|json|jsonl))'", re.I)
+#: Quoted text and comments, which stay as they are, and what is looked at between them.
+LITERAL = r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/"
+CALL = r"(?<![\w.])(?P<reader>" + "|".join(READERS) + r")\s*\(\s*'(?P<path>(?:[^']|'')*)'\s*(?:,[^()]*)?\)"
+BARE = r"\b(?P<word>from|join)\s+'(?P<file>(?:[^']|'')+\.(?P<suffix>parquet|csv|json|jsonl))'"
+#: Names of another dialect's functions and operators, and what they are here.
+SPELLINGS = {
+    "list_contains": "array_contains", "list_distinct": "array_distinct", "list_sort": "array_sort", "list_concat": "concat", "list_min": "array_min", "list_max": "array_max",
+    "array_length": "array_size", "list_value": "array", "json_extract_string": "get_json_object", "epoch": "unix_timestamp", "strlen": "octet_length", "string_agg": "listagg",
+    "list": "collect_list", "arg_max": "max_by", "arg_min": "min_by", "regexp_matches": "regexp_like",
+}
+# Names of types.
+TYPES = {"varchar": "string", "text": "string", "hugeint": "decimal(38,0)", "blob": "binary"}
+OTHER = r"(?<![\w.])(?P<name>" + "|".join(SPELLINGS) + r")(?=\s*\()|(?P<quotient>//)|(?P<between>\bdate_?diff\s*\(\s*)'(?P<unit>[a-z]+)'|(?<=as |.::)(?P<type>" + "|".join(TYPES) + r")\b(?!\s*\()"
+TOKEN = re.compile("|".join((CALL, BARE, LITERAL, OTHER)), re.I | re.S)
 
 
 def to_spark(spark: SparkSession, query: str) -> str:
-    """The query with each file function, or quoted file name, replaced by a temporary view of that file."""
+    """The query with each file function, or quoted file name, replaced by a temporary view of that file.
+
+    Names in the table of spellings are written as Spark knows them. Text in quotes and comments stays.
+    """
     views: dict[tuple[str, str], str] = {}
+    by_suffix = {"parquet": "read_parquet", "csv": "read_csv_auto", "json": "read_json_auto", "jsonl": "read_json_auto"}
 
     def view(reader: str, path: str) -> str:
         key = (reader.lower(), path.replace("''", "'"))
@@ -40,13 +57,23 @@ def to_spark(spark: SparkSession, query: str) -> str:
             READERS[key[0]](spark, key[1]).createOrReplaceTempView(views[key])
         return views[key]
 
-    query = CALL.sub(lambda m: view(m[1], m[2]), query)
-    by_suffix = {"parquet": "read_parquet", "csv": "read_csv_auto", "json": "read_json_auto", "jsonl": "read_json_auto"}
-    return PATH.sub(lambda m: f"{m[1]} {view(by_suffix[m[3].lower()], m[2])}", query)
+    def written(m: re.Match) -> str:
+        if m["reader"]:
+            return view(m["reader"], m["path"])
+        if m["file"]:
+            return f"{m['word']} {view(by_suffix[m['suffix'].lower()], m['file'])}"
+        if m["unit"]:
+            return f"datediff({m['unit']}"
+        if m["type"]:
+            return TYPES[m["type"].lower()]
+        return SPELLINGS[m["name"].lower()] if m["name"] else " div " if m["quotient"] else m[0]
+
+    return TOKEN.sub(written, query)
 
 
 def read(spark: SparkSession, source: Source) -> Rows:
     try:
+        strings.register(spark)
         return typed(spark.sql(to_spark(spark, source.query.strip().rstrip(";"))), "DuckDB", "duckdb")
     except PipelineError:
         raise

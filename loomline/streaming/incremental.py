@@ -32,3 +32,9 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], window: str,
     """Rows per window and keys of a stream (or table) of events; later ones than ``lateness`` are dropped from a stream."""
     frame = F.window(time, window, slide) if slide else F.window(time, window)
     return events.withWatermark(time, lateness).groupBy(frame, *keys).agg(F.count("*").alias("rows")).select(F.col("window.start").alias("start"), *keys, "rows")
+
+
+def session_counts(events: DataFrame, time: str, keys: list[str], gap: str, lateness: str) -> DataFrame:
+    """Rows per session and keys of a stream (or table) of events; a session ends when nothing comes for ``gap``."""
+    counted = events.withWatermark(time, lateness).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("rows"))
+    return counted.select(F.col("session_window.start").alias("start"), *keys, "rows")
