@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.skew import hot_aware_lookup
-from loomline.plans.lineage import materialize
+from loomline.plans.lineage import materialize, release
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     before = None
     while True:
-        links = materialize(_small_star(_large_star(links)))
+        before_links, links = links, materialize(_small_star(_large_star(links)))
+        release(before_links)
         now = tuple(links.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first())
         if now == before:
             break

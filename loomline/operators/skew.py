@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How many of the most frequent keys are salted. Any other key holds less than
-#: 1 / (HOT_KEYS + 1) of the rows, so that it can't swamp a shuffle partition.
-HOT_KEYS = 1000
-#: Rows of a hot key that one salt takes.
+#: Rows of a key that one salt takes. Every key of more rows is salted; there can be one such key
+#: for each so many rows at most, so their list (40 bytes a key) is 40 MB where there are 10^12 rows.
 ROWS_PER_SALT = 1 << 20
 
 
 def hot_aware_lookup(facts: DataFrame, dim: DataFrame, key: str, weight: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Inner join of ``facts`` with ``dim`` on ``key``; ``dim`` has each key once.
 
-    ``weight`` names the column of ``dim`` with the number of fact rows of the key. Keys of more
-    than ``rows_per_salt`` rows, at most the :data:`HOT_KEYS` heaviest (a bound that doesn't grow
-    with the data, taken by a distributed top-k), are spread over salts: their fact rows by a hash
-    of the row, their one row of ``dim`` by a copy for each salt. Everything moves in one shuffle
-    join, and ``facts`` is evaluated once. Null keys match nothing. The weight is dropped.
+    ``weight`` names the column of ``dim`` with the number of fact rows of the key. All keys of more
+    than ``rows_per_salt`` rows are spread over salts: their fact rows by a hash of the row, their
+    one row of ``dim`` by a copy for each salt. Everything moves in one shuffle join, and ``facts``
+    is evaluated once. Null keys match nothing. The weight is dropped.
     """
     salts = F.ceil(F.col(weight) / F.lit(rows_per_salt)).cast("int")
-    heavy = dim.where(F.col(weight) > rows_per_salt).orderBy(F.col(weight).desc(), F.col(key)).limit(HOT_KEYS)
+    heavy = dim.where(F.col(weight) > rows_per_salt)  # one key for each rows_per_salt rows at most
     heavy = F.broadcast(heavy.select(F.col(key).alias("_hot_key"), salts.alias("_salts")))
     rest = [c for c in dim.columns if c not in (key, weight)]
     row_hash = F.xxhash64(*facts.columns)

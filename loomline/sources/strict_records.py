@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.errors import PipelineError
+
 # What counts as white space of a blank name.
 BLANK = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 INTEGER = r"^[ \t]*[+-]?[0-9]+[ \t]*\z"
@@ -48,7 +50,8 @@ def load_valid(records: DataFrame, offset: str = "rec_id", record: str = "record
     The verdict is a generator that gives one row or none. A filter would be pushed below the
     steps above and repeat their expressions.
     """
-    rows = records.select(F.col(offset).alias("_offset"), without_line_end(F.col(record)).alias("_r"))
+    missing = F.raise_error(F.lit(f"A record has no {offset}")).cast(records.schema[offset].dataType)
+    rows = records.select(F.coalesce(offset, missing).alias("_offset"), without_line_end(F.col(record)).alias("_r"))
     rows = _cut_cell(rows, "_r", "_number", "_end")
     rows = rows.withColumn("_rest", F.substr("_r", F.col("_end") + 1))
     rows = _cut_cell(rows, "_rest", "_name", "_stop")
@@ -113,7 +116,7 @@ def reason_of(record: str | None) -> str | None:
 def failed_records(records: DataFrame, offset: str = "rec_id", record: str = "record") -> DataFrame:
     """(offset, reason) of every record that :func:`load_valid` doesn't load, second deliveries included.
 
-    Offsets are unique and not null (the record's place in the raw input). A null record has no
+    Offsets are unique (the record's place in the raw input); a null one is an error. A null record has no
     cell and fails by column_count, as does an empty one, which has one cell. Extra columns are
     not read. An empty table gives no row.
     """
@@ -123,8 +126,9 @@ def failed_records(records: DataFrame, offset: str = "rec_id", record: str = "re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # The strict load is the authority: what it refused and the rules accept would be a defect of one of them.
-            reasons = [reason_of(r) or "value" for r in batch.column(1).to_pylist()]
+            reasons = [reason_of(r) for r in batch.column(1).to_pylist()]
+            if None in reasons:  # a defect of the strict load or of these rules, never of the data
+                raise PipelineError(f"Record {batch.column(0)[reasons.index(None)]} was not loaded, but nothing is wrong with it")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string())], [offset, "reason"])
 
     return remainder.mapInArrow(run, f"`{offset}` {kind}, reason string")
