@@ -6,7 +6,8 @@ A pair goes through small automata, the first defect found counts:
 * ``copy``: a suffix automaton of the question's words is traversed with the answer's words; an
   answer that it covers, but for labels, says nothing of its own;
 * ``language``: script counts and votes of stop words for question and answer, quotations left out;
-* ``refusal``: a phrase automaton finds declining, and all other sentences only apologise or refer;
+* ``refusal``: an automaton of patterns for each language (who, negation, verb of answering) finds
+  declining, and all other sentences only apologise, give a general reason, refer or offer;
 * ``truncated``: a stack of delimiters, dangling ends and, for a last sentence without a full
   stop, what sentences with the same last words do in all other answers: end or go on.
 
@@ -19,12 +20,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators.skew import hot_aware_lookup
 from loomline.plans.lineage import materialize
 
 # Stand-ins for a missing answer, after case, space and outer punctuation are gone.
@@ -34,23 +36,66 @@ STAND_INS = {
 }
 # Labels that may stand before a copied question.
 LABELS = {"q", "question", "a", "answer", "frage", "antwort", "réponse", "pregunta", "respuesta", "вопрос", "ответ", "re", "prompt", "response", "user", "assistant", "f", "p", "r", "в", "о"}
-# Phrases that decline.
-DECLINES = """
-i can't help|i cannot help|can't assist|cannot assist|can't answer|cannot answer|won't answer|will not answer|unable to|not able to share|not able to answer|not able to help
-not able to provide|not able to discuss|not able to assist|not permitted to|not allowed to|am allowed to|have to decline|must decline|i decline|decline to answer|rather not|pass on this
-not something i can|not comfortable|feel comfortable|not be appropriate|guidelines do not|guidelines don't|have access to|cannot say|can't say|give out|no answer to this|can't share|cannot share
-can't provide|cannot provide|can't discuss|cannot discuss|can't comment|cannot comment|not at liberty|cannot be answered by me|can't give|cannot give|won't be able to|can't talk about|cannot talk about
-nicht beantworten|keine auskunft|nicht helfen|nicht äußern|nicht weiterhelfen|nicht befugt|nicht berechtigt|lehne ich ab|keine antwort geben|nicht sprechen|nicht sagen|nichts sagen
-peux pas vous aider|peux pas répondre|pas autorisé|impossible de|préfère ne pas|pas en mesure|peux pas donner|refuse de|peux rien dire|peux pas parler
-no puedo|no me es posible|no estoy autorizad|no me está permitido|prefiero no|no debo|no me permiten|no tengo permiso|no voy a hablar
-не могу|не вправе|нельзя отвечать|не стану|не буду|отказываюсь|мне запрещено|не имею права|не разрешено|не готов обсуждать|предпочёл бы не|предпочитаю не
-""".strip().replace("\n", "|").split("|")
-# Beginnings of sentences that only apologise, refer or offer.
+# Patterns of declining by language. {0} stands for up to six words, {1} for the verbs of answering.
+GAP = r"(?:(?:\W+\w[\w'-]*){0,6}?\W+)"
+ANSWERING = {
+    "en": r"(?:help|assist|answer|respond|reply|comment|discuss|share|say|tell|talk|speak|disclose|reveal|provide|give|go into|advise|comply|engage|elaborate|weigh in|offer)\w*",
+    "de": r"(?:weiterhelfen|helfen|behilflich|beantworten|antworten|antwort|äussern|sagen|sprechen|reden|auskunft|auskünfte|angaben|information\w*|mitteilen|verraten|eingehen|unterstützen|kommentieren|erläutern|preisgeben|weitergeben|herausgeben|stellung)",
+    "fr": r"(?:aider|répondre|dire|parler|donner|communiquer|fournir|partager|divulguer|commenter|discuter|renseigner|révéler|préciser|me prononcer|traiter)",
+    "es": r"(?:ayudar\w*|responder\w*|contestar\w*|decir\w*|hablar|dar\w*|compartir\w*|comentar\w*|revelar\w*|proporcionar\w*|facilitar\w*|opinar|informar\w*|atender\w*|pronunciarme)",
+    "ru": r"(?:помо\w+|ответ\w+|отвеча\w+|сказать|говорить|обсуждать|сообщ\w+|дать|давать|предостав\w+|раскры\w+|комментир\w+|поделиться|делиться|рассказ\w+|разглаш\w+|подсказ\w+)",
+}
+DECLINES = {
+    "en": [
+        r"\b(?:i|we)(?:\W+\w+){0,2}?\W+(?:can't|cannot|can not|won't|will not|wouldn't|would not|couldn't|could not|don't|do not|may not|must not|shouldn't|should not|am not going to|are not going to|'m not going to){0}{1}",
+        r"\b(?:i|we)(?:'m|'re|\W+am|\W+are|\W+will be|'ll be)(?:\W+\w+){0,2}?\W+(?:unable to|not able to|not permitted|not allowed|not authori[sz]ed|not at liberty|not in a position|not willing|not comfortable|forbidden|prohibited){0}{1}",
+        r"\b(?:i|we)(?:\W+(?:would|do|really|just|am|are|feel))*\W+(?:don't|not|do not)\W+(?:feel\W+)?comfortable",
+        r"\b(?:i|we)\b(?:'d|'ll|\W+\w+){0,3}?\W+(?:decline|refuse|abstain|refrain|pass on (?:this|that|it))",
+        r"\b(?:i|we)(?:'d|\W+would)?\W+(?:rather|prefer)\W+(?:not|to not)",
+        r"\bnot something (?:that )?(?:i|we)\b|\b(?:outside|beyond|out)\b(?: of)? (?:what|the scope of what) (?:i|we)\b|\bnot (?:for me|my place) to\b",
+        r"\b(?:guidelines|polic(?:y|ies)|rules|instructions)\b(?:\W+\w+){0,2}?\W+(?:do not|don't|does not|doesn't|forbid|forbids|prohibit|prohibits|prevent|prevents|won't|keep me from)\b",
+        r"\bnot be appropriate\b|\binappropriate for me\b|\bno answer\b.{0,40}\b(?:given|provided|available) by\b|\b(?:cannot|can't) be answered by\b|\bno comment\b|\b(?:request|question)\W+(?:is|was|has been|must be)\W+(?:denied|declined|refused)",
+        r"\b(?:i|we)\W+(?:do not|don't)\W+have\W+(?:access|permission|clearance|authori[sz]ation)\b",
+    ],
+    "de": [
+        r"\b(?:kann|können|darf|dürfen|möchte|möchten|will|wollen|werde|werden|mag|sollte)\W+(?:ich|wir){0}(?:nicht|keine\w*|nichts|kaum){0}{1}", r"\b(?:ich|wir)\W+(?:kann|können|darf|dürfen|möchte|möchten|will|wollen|werde|werden|mag|sollte){0}(?:nicht|keine\w*|nichts){0}{1}",
+        r"\b(?:bin|sind)\W+(?:ich|wir)\b.*\bnicht\W+(?:befugt|berechtigt|autorisiert|ermächtigt|in der lage)|\b(?:ich|wir)\W+(?:bin|sind)\b.*\bnicht\W+(?:befugt|berechtigt|autorisiert|ermächtigt|in der lage)",
+        r"\b(?:lehne|verweigere)\W+ich\b|\bich\W+(?:lehne|verweigere)\b|\b(?:muss|möchte)\W+ich\b.*\bablehnen|\bich\W+(?:muss|möchte)\b.*\bablehnen",
+        r"\b(?:ist|wäre)\b.*\bmir\b.*\bnicht\W+(?:erlaubt|gestattet|möglich)|\b(?:mir|uns)\W+(?:ist|wäre)\b.*\bnicht\W+(?:erlaubt|gestattet|möglich)|\bkein kommentar\b|\bkeine antwort geben\b",
+    ],
+    "fr": [
+        r"\b(?:je|nous)\W+(?:ne\W+|n')(?:\w+\W+)?(?:peux|pouvons|puis|veux|voulons|souhaite|souhaitons|vais|allons|dois|devons|saurais)\W+(?:pas|rien|pas du tout|plus)?{0}?{1}",
+        r"\b(?:je|nous)\W+ne\W+(?:suis|sommes)\W+pas\W+(?:autorisée?s?|habilitée?s?|en mesure|en droit|à l'aise)|\bil (?:m'est|nous est)\W+(?:impossible|interdit|défendu)|\bil ne (?:m'est|nous est) pas (?:possible|permis)",
+        r"\b(?:je|nous)\W+préf\w+\W+ne\W+(?:pas|rien)|\bj(?:e\W+|'ai\W+)?\W*(?:refuse|décline|m'abstiens)|\bje\W+dois\W+(?:refuser|décliner|m'abstenir)|\bsans commentaire\b|\bpas de commentaire\b",
+    ],
+    "es": [
+        r"\bno\W+(?:puedo|podemos|debo|debemos|quiero|queremos|deseo|voy a|vamos a|me permiten|podré){0}?{1}",
+        r"\bno\W+(?:estoy|estamos)\W+(?:autorizad\w+|en condiciones|facultad\w+|en posición)|\bno\W+(?:tengo|tenemos)\W+(?:permiso|autorización|permitido)|\bno\W+me\W+(?:es\W+posible|está\W+permitido|corresponde)|\bme es imposible\b",
+        r"\bprefiero\W+no\b|\bpreferimos\W+no\b|\bme\W+niego\b|\bdebo\W+(?:rechazar|declinar|negarme|abstenerme)|\blamento\W+no\W+poder\b|\bsin comentarios\b|\brechazo\b",
+    ],
+    "ru": [
+        r"\bне\W+(?:могу|можем|смогу|сможем|хочу|хотим|готовы?|буду|будем|стану|станем|должны?|в состоянии){0}?{1}",
+        r"\bне\W+(?:вправе|уполномочены?|имею права|имеем права|разрешено|положено|позволено|допускается)|\b(?:мне|нам)\b.*\b(?:нельзя|запрещено|не разрешено|не позволено)|\b(?:нельзя|запрещено)\b{0}?{1}",
+        r"\b(?:отказываюсь|отказываемся|воздержусь|воздержимся)\b|\bвынужден\w*\W+отказ\w+|\bпредпоч\w+(?:\W+бы)?\W+не\b|\bбез комментариев\b",
+    ],
+}
+# Beginnings of sentences that only apologise, give a general reason, refer or offer.
 FILLERS = """
-i hope you understand|please contact|please ask|please put|please try|please consult|please refer|try asking|is there anything|can i help|may i help|you may want to ask|sorry|i'm sorry|i am sorry|my apologies|apologies
-thanks for asking|thank you|hm|bitte fragen|bitte wenden|wenden sie|fragen sie|es tut mir leid|tut mir leid|ich bitte um verständnis|gibt es|kann ich sonst|ich hoffe|veuillez|merci de votre|merci de contacter|désolé|avez-vous
-puis-je|une autre question|adressez|demandez|lo siento|por favor|puede preguntar|pregunte|pregunta|consulte|¿|espero que|извините|простите|пожалуйста|обратитесь|спросите|могу ли я|надеюсь|есть ли|as an assistant|unfortunately|regrettably|leider|malheureusement|por desgracia|к сожалению
-""".strip().replace("\n", "|").split("|")
+i hope you understand|please|try asking|try again|is there|are there|can i|may i|could i|shall i|how (?:else )?(?:can|may) i|what else|do you have|would you like|you (?:may|might|could|can|should) (?:want|try|ask|contact|consult|check with|reach)
+sorry|i'm sorry|i am sorry|we're sorry|we are sorry|my apologies|our apologies|apologies|i apologi[sz]e|i'm afraid|i regret|thanks|thank you|hm|well|as an? (?:ai|assistant|language model|bot|agent)|unfortunately|regrettably|i must say|ask |contact |reach out
+bitte|wenden sie|fragen sie|kontaktieren sie|versuchen sie|haben sie|es tut|tut mir leid|das tut mir leid|entschuldig|verzeih|ich bitte|gibt es|kann ich|darf ich|womit|ich hoffe|leider|danke|als assistent|brauchen sie
+veuillez|merci|désolé|je suis désolé|nous sommes désolés|pardon|excusez|avez-vous|puis-je|y a-t-il|une autre question|adressez|demandez|contactez|essayez|consultez|malheureusement|en tant qu'assistant|j'espère|je regrette
+lo siento|lo sentimos|por favor|puede (?:preguntar|consultar|contactar)|pregunte|pregunta|consulte|contacte|pruebe|intente|diríjase|¿|espero|por desgracia|lamentablemente|desafortunadamente|disculp|perdon|perdón|gracias|como asistente|necesita
+извините|простите|прошу прощения|пожалуйста|обратитесь|спросите|попробуйте|свяжитесь|могу ли|могу я|чем (?:ещё|еще)? ?могу|надеюсь|есть ли|у вас есть|к сожалению|увы|спасибо|как помощник|нужн|сожалею
+""".strip().replace("\n", "|")
+# Sentences that name somebody else who can help.
+REFERRALS = r"""
+\b(?:may|might|could|can|will|should|would) (?:perhaps |probably |possibly |well )?(?:be able to )?(?:help|assist|answer|advise|know)\w*\b.{0,60}$
+\b(?:kann|könnte|wird|können|könnten|hilft|helfen)\b.{0,40}\b(?:helfen|weiterhelfen|weiter|beantworten|auskunft geben)\b
+\b(?:peut|pourra|pourrait|saura|peuvent|pourront)\b.{0,40}\b(?:aider|répondre|renseigner)\b
+\b(?:puede|podrá|podría|sabrá|pueden|podrán)\b.{0,40}\b(?:ayudar\w*|responder\w*|contestar\w*|informar\w*)\b
+\b(?:может|сможет|могут|смогут|поможет|помогут)\b.{0,40}\b(?:помочь|ответить|подсказать|вам)\b
+""".strip().replace("\n", "|")
 # Frequent words of each language.
 STOPWORDS = {
     "en": "the of and to in is are was were it its that this with for on by from has have had not be been as at an a or if which what how why where when who does do can should you your my our they them then than after before under each only so because while will all there",
@@ -58,10 +103,21 @@ STOPWORDS = {
     "fr": "le la les des du de et est sont était il elle que qui dans pour pas avec sur par une un au aux ce cette ces ne se en où quand comment combien quel quelle pourquoi vous je nous mais ou si plus sous chaque jusqu environ avant depuis dès même été peut être",
     "es": "el la los las de del y es son era que en para por con no una un al se su sus lo como cuando dónde cuándo cuántas cuántos qué quién pero o si más sobre desde hasta cada está están fue hay puede ser unos unas este esta muy sin",
     "ru": "и в не на что с по это как для из от до за к у о а но или если когда где кто чем при так же бы был была было были есть нет только уже под над все его её их он она они оно мы вы я ли об со во сколько почему какой",
+    "it": "il lo gli i le di del della dei delle e è sono era che per con non una uno un da dal dalla nel nella sul sulla ma o se più come quando dove quanto quale chi perché questo questa viene ogni prima dopo anche sotto",
+    "pt": "o os as do da dos das em no na nos nas e é são era que por com não uma um ao à pelo pela mas ou se mais como quando onde quanto qual quem porque este esta cada antes depois também sob até",
+    "nl": "de het een van en is zijn was dat die met voor niet op aan er in te bij naar door wordt worden werd heeft hebben maar of als meer hoe wanneer waar wie welke omdat deze dit elke voordat ook onder",
+    "pl": "i w nie na się z że do jest to jak po od za o ale lub gdy kiedy gdzie kto który która które przez dla są był była było może tylko już przed jego jej ich co czy każdy",
+    "uk": "і в не на що з як це по від до за у о а але або якщо коли де хто який яка які при так був була було є немає тільки вже під над усі його її вони вона воно ми ви чи зі та після скільки чому",
+    "bg": "и в не на че с по това как за от до у о а но или ако кога къде кой която които при така беше са е има няма само вече под над всички неговия тя те ние вие ли със във след колко защо се да",
 }
-VOTES = {lang: frozenset(words.split()) for lang, words in STOPWORDS.items()}
+#: Languages that each word is a frequent one of.
+VOTES: dict[str, tuple[str, ...]] = {}
+for _lang, _words in STOPWORDS.items():
+    for _word in set(_words.split()):
+        VOTES[_word] = (*VOTES.get(_word, ()), _lang)
 # Letters that vote for a language, half as much as a word.
-TELLING = {"de": "äöüß", "fr": "àâçèêëîïôùûœ", "es": "ñáíóú¿¡"}
+TELLING = {"de": "äöüß", "fr": "àâçèêëîïôùûœ", "es": "ñáíóú¿¡", "it": "àèìòù", "pt": "ãõçáâêó", "pl": "ąćęłńśźż", "ru": "ыэё", "uk": "іїєґ"}
+TELLING_LETTERS = re.compile("[" + "".join(sorted(set("".join(TELLING.values())))) + "]")
 # Words that can't end a sentence.
 DANGLING = {
     "en": "the a an and or of to in with for from by that which because so if between into than then whose while but is are was were as at be not on",
@@ -78,28 +134,52 @@ MARKUP = re.compile(r"<[^<>]*>|&(?:nbsp|#160|#x?0*a0|zwnj|zwj|shy);")
 WORD = re.compile(r"\w+(?:['’]\w+)*")
 FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 QUOTATION = re.compile(r"«[^«»]*»|»[^«»]*«|„[^„“”]*[“”]|“[^“”]*”|\"[^\"]*\"|「[^」]*」|```.*?(?:```|\Z)|`[^`]*`", re.S)
-TOKEN = re.compile(r"[\w./-]+")
+TOKEN = re.compile(r"[A-Za-z0-9_./-]+")
 TELLS = re.compile(r"[\d_/]")
 SENTENCE = re.compile(r"(?<=[.!?…。！？])[»”\"')\]]*\s+|\n+")
 #: Marks that may stand behind a full stop.
 CLOSING = "»”“\"'’)]}`*_"
 LIST_MARK = re.compile(r"^[ \t]*(?:[-*•+]|\d+[.)])[ \t]+", re.M)
 ENDS = re.compile(r"[.!?…。！？]$")
+QUOTES = re.compile(r"[«»„“\"「`]")
+DELIMITERS = re.compile("[" + re.escape("".join(OPENERS) + "".join(OPENERS.values()) + "\"„`~") + "]")
+LETTERS = re.compile(r"[^\W\d_]+")
+LAST_MARKS = re.compile(r"(?:^|\n)[ \t]*(?:[-*•+]|\d+[.)])$|[,;:([{«„\-–—/&+=]$")
+NUMBER = re.compile(r"[\d.,:%]*\d[\d.,:%]*")
+WHOLE_NAME = re.compile(r"\d$|\.[a-z]{2,5}$|^[a-z]+_[a-z]+$")
+
+
+_UNSEEN = {c: " " if chr(c).isspace() else None for c in (*range(9), *range(11, 32), *range(127, 160))}
 
 
 def visible(text: str | None) -> str:
     """The text without marks-up and invisible characters, in NFKC."""
-    text = unicodedata.normalize("NFKC", MARKUP.sub(" ", text or ""))
+    text = text or ""
+    if "<" in text or "&" in text:
+        text = MARKUP.sub(" ", text)
+    if text.isascii():
+        return text if text.isprintable() else text.translate(_UNSEEN)
+    text = unicodedata.normalize("NFKC", text)
+    if text.isprintable():
+        return text
     return "".join(" " if c.isspace() else c for c in text if c in "\n\t" or unicodedata.category(c) not in ("Cf", "Cc"))
 
 
 def without_identifiers(text: str) -> str:
     """The text less file names, paths, numbers and the like: what has a digit, underscore or slash."""
-    return TOKEN.sub(lambda m: " " if TELLS.search(m[0]) else m[0], text)
+    return TOKEN.sub(lambda m: " " if TELLS.search(m[0]) else m[0], text) if TELLS.search(text) else text
+
 
+#: Letters and digits of the longest stand-in.
+LONGEST_STAND_IN = max(map(len, STAND_INS))
 
-def is_empty(answer: str | None) -> bool:
-    text = visible(answer).casefold()
+
+def is_empty(text: str) -> bool:
+    """Whether a visible text answers nothing."""
+    words = WORD.findall(text)
+    if len(words) > 4 or words and sum(map(len, words)) > LONGEST_STAND_IN:
+        return False
+    text = text.casefold()
     kept = [i for i, c in enumerate(text) if c.isalnum()]
     return not kept or " ".join(text[kept[0] : kept[-1] + 1].split()) in STAND_INS
 
@@ -153,89 +233,117 @@ class SuffixAutomaton:
         return covered, longest
 
 
-def is_copy(question: str | None, answer: str) -> bool:
-    asked, said = ([w.casefold() for w in WORD.findall(visible(t))] for t in (question, answer))
-    if not asked or not said:
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.casefold())
+
+
+def is_copy(asked: list[str], said: list[str]) -> bool:
+    """Whether the words of an answer are those of the question, in its order, but for labels."""
+    if not asked or not said or not set(said).difference(asked) <= LABELS:  # what isn't asked can't be covered
         return False
     covered, longest = SuffixAutomaton(asked).coverage(said)
     rest = [w for w, c in zip(said, covered) if not c]
     return longest >= max(1, 0.6 * len(asked)) and all(w in LABELS for w in rest)
 
 
-def script_of(text: str) -> Counter:
-    counts: Counter = Counter()
-    for c in text:
-        if c.isalpha():
-            p = ord(c)
-            counts[
-                "cyrillic" if 0x400 <= p < 0x530 else "greek" if 0x370 <= p < 0x400 or 0x1F00 <= p < 0x2000
-                else "kana" if 0x3040 <= p < 0x3100 else "han" if 0x4E00 <= p < 0xA000 else "hangul" if 0xAC00 <= p < 0xD7B0
-                else "latin" if p < 0x250 or 0x1E00 <= p < 0x1F00 else "other"
-            ] += 1
-    return counts
+# The scripts told apart, by their ranges of characters.
+SCRIPTS = {
+    name: re.compile(f"[{ranges}]+")
+    for name, ranges in (
+        ("latin", "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ"), ("cyrillic", "Ѐ-ԯ"), ("greek", "Ͱ-Ͽἀ-῿"), ("kana", "ぁ-ゖァ-ヿ"), ("han", "一-鿿"), ("hangul", "가-힣"), ("hebrew", "א-ת"), ("arabic", "ء-ۓ"), ("devanagari", "ऄ-ह"), ("thai", "ก-ฮ"),
+    )
+}
+
+
+def script_of(text: str) -> dict[str, int]:
+    if text.isascii():
+        n = sum(map(len, SCRIPTS["latin"].findall(text)))
+        return {"latin": n} if n else {}
+    counts = {name: sum(map(len, pattern.findall(text))) for name, pattern in SCRIPTS.items()}
+    return {name: n for name, n in counts.items() if n}
 
 
-def language_votes(text: str) -> tuple[str | None, dict[str, float]]:
-    """Main script, and for Latin and Cyrillic text the votes for each language."""
-    bare = without_identifiers(QUOTATION.sub(" ", text))
+def language_votes(text: str) -> tuple[str | None, dict[str, float], dict[str, int]]:
+    """Main script of a visible text, the votes for each language, and its letters by script; quotations and identifiers aside."""
+    bare = without_identifiers(QUOTATION.sub(" ", text) if QUOTES.search(text) else text)
     scripts = script_of(bare)
     if not scripts:
-        return None, {}
-    main = "kana" if scripts["kana"] > 2 else scripts.most_common(1)[0][0]
-    words = [w.casefold() for w in re.findall(r"[^\W\d_]+", bare)]
-    votes = {lang: float(sum(w in known for w in words)) for lang, known in VOTES.items()}
-    for lang, letters in TELLING.items():
-        votes[lang] += 0.5 * sum(c in letters for c in bare.casefold())
-    return main, votes
-
-
-def other_language(question: str | None, answer: str) -> bool:
-    asked_script, asked = language_votes(question or "")
-    said_script, said = language_votes(visible(answer))
+        return None, {}, {}
+    main = "kana" if scripts.get("kana", 0) > 2 else max(scripts, key=scripts.get)
+    votes = dict.fromkeys(STOPWORDS, 0.0)
+    folded = bare.casefold()
+    for word in LETTERS.findall(folded):
+        for lang in VOTES.get(word, ()):
+            votes[lang] += 1
+    if not folded.isascii():
+        telling = "".join(TELLING_LETTERS.findall(folded))
+        for lang, letters in TELLING.items() if telling else ():
+            votes[lang] += 0.5 * sum(map(telling.count, letters))
+    return main, votes, scripts
+
+
+def other_language(question: str, answer: str) -> bool:
+    """Whether a visible answer is written in another language than its question."""
+    said_script, said, letters = language_votes(answer)
+    asked_script, asked, _ = language_votes(question) if said_script else (None, {}, {})
     if not asked_script or not said_script:
         return False
     if asked_script != said_script:
-        letters = script_of(without_identifiers(QUOTATION.sub(" ", visible(answer))))
-        return sum(letters.values()) >= 6 and letters[asked_script] < 0.3 * sum(letters.values())
-    if said_script != "latin":
-        return False
+        total = sum(letters.values())
+        return total >= 6 and letters.get(asked_script, 0) < 0.3 * total
     own, best = max(asked, key=asked.get), max(said, key=said.get)
-    return own != best and asked[own] >= 1.5 and said[best] >= 2 and said[best] >= 2 * said[own] + 1
-
-
-def phrase_automaton(phrases: list[str]) -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for p in phrases:
-        automaton.add_word(p, p)
-    automaton.make_automaton()
-    return automaton
-
-
-_declines = phrase_automaton(DECLINES)
-_filler = re.compile("(?:" + "|".join(re.escape(f) for f in FILLERS) + ")")
-
-
-def is_refusal(answer: str) -> bool:
-    text = visible(answer).casefold().replace("’", "'").strip()
-    sentences = [s.strip(" -*\"“”«»'") for s in SENTENCE.split(text) if s.strip(" -*\"“”«».!'")]
-    declined = False
-    for s in sentences:
-        if next(_declines.iter(s), None):
+    if said_script not in ("latin", "cyrillic") or own == best or asked[own] < 1.5 or asked[best] > 0.7 * asked[own]:
+        return False
+    # Without a word of the question's language less is enough for another one.
+    return said[best] >= (2 * said[own] + 1 if said[own] else 1.5) and said[best] >= 1.5
+
+
+_decline = {lang: re.compile("|".join(p.replace("{0}", GAP).replace("{1}", ANSWERING[lang]) for p in patterns)) for lang, patterns in DECLINES.items()}
+_filler = re.compile("(?:" + FILLERS + ")")
+_referral = re.compile(REFERRALS)
+# Words of which one at least is in every sentence that declines; a text without any is not looked at.
+MARKS_OF_DECLINING = {
+    "en": "can't cannot not won't wouldn't couldn't don't doesn't shouldn't unable forbidden prohibited decline refuse abstain refrain pass rather prefer outside beyond out guidelines policy policies rules instructions inappropriate no denied declined refused comfortable can",
+    "de": "nicht keine keinen keinem keiner kein nichts kaum lehne verweigere ablehnen",
+    "fr": "ne pas rien impossible interdit défendu préfère préférons préférerais refuse décline m'abstiens refuser décliner m'abstenir j'ai sans",
+    "es": "no imposible prefiero preferimos niego debo lamento sin rechazo",
+    "ru": "не нельзя запрещено отказываюсь отказываемся воздержусь воздержимся вынужден вынуждена вынуждены предпочёл предпочел предпочитаю предпочла без",
+}
+MARKED: dict[str, set[str]] = {}
+for _lang, _words in MARKS_OF_DECLINING.items():
+    for _word in _words.split():
+        MARKED.setdefault(_word, set()).add(_lang)
+
+
+def is_refusal(text: str, words: list[str]) -> bool:
+    """Whether every sentence of a visible answer declines, apologises, refers or offers, and one at least declines. ``words``: its words."""
+    languages = set().union(*(MARKED[w] for w in MARKED.keys() & set(words)))
+    if not languages:
+        return False
+    text = text.casefold().replace("’", "'").strip()
+    patterns, declined = [_decline[lang] for lang in sorted(languages)], False
+    for sentence in SENTENCE.split(text):
+        s = sentence.strip(" -*\"“”«»'")
+        if not s.strip(".!"):
+            continue
+        if any(p.search(s) for p in patterns):
             declined = True
-        elif not _filler.match(s):
+        elif not _filler.match(s) and not _referral.search(s) or s.endswith(":"):
             return False
     return declined
 
 
 def delimiters_open(text: str) -> bool:
-    """Whether a fence, bracket, quotation or code span is still open at the end: a stack over the characters."""
+    """Whether a fence, bracket, quotation or code span is still open at the end: a stack over the delimiters."""
+    if not DELIMITERS.search(text):
+        return False
     parts = re.split(r"```|~~~", text)
     if len(parts) % 2 == 0:
         return True
     prose = " ".join(parts[0::2])
     stack: list[str] = []
-    for i, c in enumerate(prose):
-        before, after = prose[i - 1 : i], prose[i + 1 : i + 2]
+    for found in DELIMITERS.finditer(prose):
+        i, c = found.start(), found[0]
         if c == "`":
             stack.pop() if stack and stack[-1] == "`" else stack.append("`")
         elif stack and stack[-1] == "`":
@@ -243,13 +351,13 @@ def delimiters_open(text: str) -> bool:
         elif c == '"':
             if stack and stack[-1] == '"':
                 stack.pop()
-            elif not before.isdigit():  # else inches or seconds
+            elif not prose[i - 1 : i].isdigit():  # else inches or seconds
                 stack.append('"')
         elif c == "„":
             stack.append("“”")
         elif c in "“”" and stack and stack[-1] == "“”":
             stack.pop()
-        elif c == "»" and (not stack or "»" not in stack) and not before.strip() and after.strip():
+        elif c == "»" and "»" not in stack and not prose[i - 1 : i].strip() and prose[i + 1 : i + 2].strip():
             stack.append("«")
         elif c == "«" and stack and stack[-1] == "«":
             stack.pop()
@@ -266,7 +374,7 @@ def cut_by_form(answer: str) -> bool | None:
     text = text.rstrip("\u200b\u200c\u200d\u2060\ufeff\xad").rstrip()
     if delimiters_open(text):
         return True
-    if re.search(r"(?:^|\n)[ \t]*(?:[-*•+]|\d+[.)])$", text) or re.search(r"[,;:([{«„\-–—/&+=]$", text):
+    if LAST_MARKS.search(text):
         return True
     bare = text.rstrip("*_~")
     if bare.endswith(("```", "~~~")) or ENDS.search(bare.rstrip(CLOSING)) or bare[-1:] in CLOSERS or bare[-1:] in "\"'`’":
@@ -277,8 +385,8 @@ def cut_by_form(answer: str) -> bool | None:
 def dangles(answer: str) -> bool:
     """Whether the last word can't end a sentence of the answer's language."""
     words = WORD.findall(answer.rsplit("\n", 1)[-1])
-    _, votes = language_votes(answer)
-    return len(words) > 1 and bool(votes) and words[-1] in NO_ENDS.get(max(votes, key=votes.get), ())
+    _, votes, _ = language_votes(answer)
+    return len(words) > 1 and bool(votes) and words[-1].casefold() in NO_ENDS.get(max(votes, key=votes.get), ())
 
 
 #: Start of a sentence; what can follow its words: a full stop, an end without one, a comma or the like, a word.
@@ -288,50 +396,61 @@ MARKS = "()[]«»“”\"',;:"
 
 def tokens_of(sentence: str) -> list[str]:
     """Words with numbers and identifiers masked, so that sentences of one pattern share their words."""
-    out = []
-    for t in sentence.split():
-        core = t.strip("()[]{}«»“”„\"'`*.,;:!?…")
-        if re.fullmatch(r"[\d.,:%]*\d[\d.,:%]*", core):
-            t = t.replace(core, "#")
-        elif TOKEN.fullmatch(core) and TELLS.search(core):
-            whole = re.search(r"\d$|\.[a-z]{2,5}$", core) or re.fullmatch(r"[a-z]+_[a-z]+", core)
-            t = t.replace(core, NAME if whole else NAME_CUT)
-        out.append(t)
-    return out
+    words = sentence.split()
+    if not TELLS.search(sentence):
+        return words
+    for i, t in enumerate(words):
+        if TELLS.search(t):
+            core = t.strip("()[]{}«»“”„\"'`*.,;:!?…")
+            if NUMBER.fullmatch(core):
+                words[i] = t.replace(core, "#")
+            elif TOKEN.fullmatch(core) and TELLS.search(core):
+                words[i] = t.replace(core, NAME if WHOLE_NAME.search(core) else NAME_CUT)
+    return words
 
 
 def sentences_of(answer: str) -> list[tuple[list[str], str]]:
     """Masked words of each sentence, the last one without its stop, and how it ends."""
     out = []
-    for s in SENTENCE.split(LIST_MARK.sub("", unicodedata.normalize("NFC", answer).strip())):
-        if s and s.strip():
-            words = tokens_of(s)
+    text = answer if answer.isascii() else unicodedata.normalize("NFC", answer)
+    for s in SENTENCE.split(LIST_MARK.sub("", text.strip())):
+        words = tokens_of(s) if s else []
+        if words:
             ended = bool(ENDS.search(s.rstrip("»”\"'’)]`*_ ")))
-            if words:
-                words[-1] = words[-1].rstrip("»”\"'’)]`*_.!?…。！？")
-                out.append(([w for w in words if w], END if ended else OPEN_END))
-    return [x for x in out if x[0]]
+            words[-1] = words[-1].rstrip("»”\"'’)]`*_.!?…。！？")
+            if words := [w for w in words if w]:
+                out.append((words, END if ended else OPEN_END))
+    return out
 
 
 LONG, SHORT = 4, 2
 
 
+SEPARATOR = "\x1f"
+
+
 def contexts(words: list[str], stop: int) -> tuple[str, str]:
     """The words before ``stop`` without their marks, sentence start included: a long and a short context."""
     before = words[max(0, stop - LONG) : stop]
     padded = [*([START] if stop < LONG else []), *(w.strip(MARKS) or w for w in before)]
-    return "\x1f".join(["4", *padded[-LONG:]]), "\x1f".join(["2", *padded[-SHORT:]])
+    return SEPARATOR.join(["4", *padded[-LONG:]]), SEPARATOR.join(["2", *padded[-SHORT:]])
+
+
+#: Bits of the filter of contexts that are asked for: 8 MB, whatever the data.
+FILTER_BITS = 26
 
 
 def simple_defect(question: str | None, answer: str | None) -> str | None:
     """The first defect that the pair alone shows; ``?`` where the end has to be held against other answers."""
-    if is_empty(answer):
+    text = visible(answer)
+    if is_empty(text):
         return "empty"
-    if question is not None and is_copy(question, answer):
+    asked, said = visible(question), words_of(text)
+    if question is not None and is_copy(words_of(asked), said):
         return "copy"
-    if is_refusal(answer):
+    if is_refusal(text, said):
         return "refusal"
-    if other_language(question, answer):
+    if question is not None and other_language(asked, text):
         return "language"
     cut = cut_by_form(answer)
     return "truncated" if cut else "?" if cut is None else None
@@ -345,7 +464,8 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
     copy or in another language. Of several different pairs under one id the alphabetically first
     defect counts. Null ids take no part. An empty table gives no row.
     """
-    pairs = faq.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a")).distinct()
+    given = faq.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a"))
+    pairs = materialize(given.distinct())  # texts are shuffled once; both passes over them read this table
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,9 +488,14 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
 
     kind = pairs.schema["id"].dataType.simpleString()
     judged = materialize(pairs.mapInArrow(judge, f"id {kind}, defect string, long string, short string, long_before string, short_before string, last string, words int, dangles boolean, alone boolean"))
+    asked = judged.where("defect = '?'").select("id", "long", "short", "long_before", "short_before", "last", "words", "dangles", "alone")
+    each = asked.select(F.explode(F.array("long", "short", "long_before", "short_before")).alias("context"))
+    needed = materialize(each.groupBy("context").agg(F.count("*").alias("asked")))
+    wanted = faq.sparkSession.sparkContext.broadcast(context_filter(needed))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        bits, mask = wanted.value, (1 << FILTER_BITS) - 1
 
         def flush() -> pa.RecordBatch:
             rows = [(c, n, k) for (c, n), k in counts.items()]
@@ -381,11 +506,16 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
         for batch in batches:
             for a in batch.column(0).to_pylist():
                 for words, end in sentences_of(a):
-                    for j in range(len(words) + 1):
-                        long, short = contexts(words, j)
+                    bare = [START, *(w.strip(MARKS) or w for w in words)]
+                    ends = [SEPARATOR.join(bare[max(0, j - 1) : j + 1]) for j in range(len(bare))]
+                    for j, e in enumerate(ends):
+                        slot = crc32(e.encode("utf-8", "surrogatepass")) & mask
+                        if not bits[slot >> 3] >> (slot & 7) & 1:
+                            continue
                         inner = j < len(words)
                         mark = PHRASE if inner and j and words[j - 1][-1] in ",;:" else ""
                         follower = mark + words[j].strip(MARKS) if inner else end
+                        long, short = contexts(words, j)
                         counts[long, follower] += 1
                         counts[short, follower] += 1
                 if len(counts) > 500_000:
@@ -394,27 +524,31 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
 
     answers = pairs.where("a is not null").select("a")
     followers = answers.mapInArrow(follow, "context string, next string, n bigint").groupBy("context", "next").agg(F.sum("n").alias("n"))
-    asked = judged.where("defect = '?'").select("id", "long", "short", "long_before", "short_before", "last", "words", "dangles", "alone")
-    needed = asked.select(F.explode(F.array("long", "short", "long_before", "short_before")).alias("context")).distinct()
-    known = materialize(followers.join(needed, "context"))
+    known = materialize(followers.join(needed.select("context"), "context"))
     # A context that is asked for: how often a stop, an open end, a comma or a word follows.
-    by_context = known.groupBy("context").agg(
-        F.sum(F.when(F.col("next") == END, F.col("n")).otherwise(0)).alias("stops"),
-        F.sum(F.when(F.col("next") == OPEN_END, F.col("n")).otherwise(0)).alias("opens"),
-        F.sum(F.when(F.col("next").startswith(PHRASE), F.col("n")).otherwise(0)).alias("phrases"),
-        F.sum(F.when(~F.col("next").isin(END, OPEN_END) & ~F.col("next").startswith(PHRASE), F.col("n")).otherwise(0)).alias("goes_on"),
-    )
-    # How often the words before the last one are followed by a longer word that starts with it.
-    lasts = asked.select(F.explode(F.array("long_before", "short_before")).alias("context"), "last").distinct()
+    following = {
+        "stops": F.col("next") == END, "opens": F.col("next") == OPEN_END, "phrases": F.col("next").startswith(PHRASE),
+        "goes_on": ~F.col("next").isin(END, OPEN_END) & ~F.col("next").startswith(PHRASE),
+    }
+    by_context = known.groupBy("context").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name) for name, c in following.items()])
+    by_context = materialize(needed.join(by_context, "context", "left").na.fill(0))
+    # How often the words before the last one are followed by a longer word that starts with it: the
+    # followers' beginnings of the lengths that are asked for, so that no two lists meet as pairs.
+    lasts = asked.select(F.explode(F.array("long_before", "short_before")).alias("context"), "last").groupBy("context", "last").agg(F.count("*").alias("asked"))
+    lasts = materialize(lasts)
+    lengths = lasts.groupBy("context").agg(F.collect_set(F.length("last")).alias("lengths"))  # distinct lengths of words
     word = F.ltrim(F.col("next"), F.lit(PHRASE))
-    longer = word.startswith(F.col("last")) & (F.length(word) > F.length("last")) & ~F.col("next").isin(END, OPEN_END)
-    whole = (F.col("last") == NAME_CUT) & (word == NAME)
-    parts = known.join(lasts, "context").where(longer | whole).groupBy("context", "last").agg(F.sum("n").alias("longer"))
+    words_on = known.where(~F.col("next").isin(END, OPEN_END)).join(lengths, "context")
+    beginnings = F.transform(F.filter("lengths", lambda k: k < F.length(word)), lambda k: F.substr(word, F.lit(1), k))
+    shown = F.concat(beginnings, F.when(word == NAME, F.array(F.lit(NAME_CUT))).otherwise(F.array().cast("array<string>")))
+    parts = words_on.select("context", "n", F.explode(shown).alias("last")).groupBy("context", "last").agg(F.sum("n").alias("longer"))
+    parts = materialize(lasts.join(parts, ["context", "last"], "left").na.fill(0).select(F.struct("context", "last").alias("part"), "longer", "asked"))
     looked = asked
     for side in ("long", "short"):
-        looked = looked.join(by_context.select(F.col("context").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("stops", "opens", "phrases", "goes_on")]), side, "left")
-        looked = looked.join(parts.select(F.col("context").alias(f"{side}_before"), "last", F.col("longer").alias(f"{side}_longer")), [f"{side}_before", "last"], "left")
-    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in looked.columns if c.split("_", 1)[-1] in ("stops", "opens", "phrases", "goes_on", "longer")}
+        looked = hot_aware_lookup(looked, by_context.select(F.col("context").alias(side), "asked", *[F.col(c).alias(f"{side}_{c}") for c in following]), side, "asked")
+        looked = looked.withColumn("part", F.struct(F.col(f"{side}_before").alias("context"), "last"))
+        looked = hot_aware_lookup(looked, parts.select("part", "asked", F.col("longer").alias(f"{side}_longer")), "part", "asked").drop("part")
+    n = {c: F.col(c) for c in looked.columns}
     # A full stop, or a comma, after the same words elsewhere: they are whole.
     whole_long, whole_short = (n[f"{side}_stops"] + n[f"{side}_phrases"] for side in ("long", "short"))
     seen_long, seen_short = whole_long + n["long_goes_on"], whole_short + n["short_goes_on"]
@@ -430,3 +564,16 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
     )
     by_others = looked.where(cut).select("id", F.lit("truncated").alias("defect"))
     return judged.where("defect <> '?'").select("id", "defect").unionByName(by_others).groupBy("id").agg(F.min("defect").alias("defect"))
+
+
+def context_filter(needed: DataFrame) -> bytes:
+    """A filter of :data:`FILTER_BITS` address bits that has the last two words of every context; a bounded number of words is collected."""
+    parts = F.slice(F.split("context", SEPARATOR), 2, LONG)
+    ends = F.array_join(F.slice(parts, F.greatest(F.size(parts) - SHORT + 1, F.lit(1)), SHORT), SEPARATOR)
+    slot = F.crc32(F.encode(ends, "UTF-8")).bitwiseAND((1 << FILTER_BITS) - 1)
+    bytes_ = needed.select((slot / 8).cast("bigint").alias("at"), F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (slot.bitwiseAND(7) + 1).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    out = bytearray(1 << (FILTER_BITS - 3))
+    for batch in bytes_.toArrow().to_batches():
+        for at, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out[at] = bits
+    return bytes(out)
