@@ -6,8 +6,12 @@ its length and, scaled to length 1 so that dense and sparse places are told apar
 in four bits for each two dimensions. The codes are chosen score-aware: the part of the residual
 error that is parallel to the vector, which changes scores, costs ``ETA`` times the orthogonal
 part. A query looks up the inner products of its parts with all 16 code words, two codes a byte,
-and scans the codes of its nearest cells by table look-ups alone. The best of each scan are
-ranked again by exact inner products.
+and scans the codes of its nearest cells by table look-ups alone; where many queries scan a cell,
+the code words are looked up once and multiplied with all of them, which gives the same sums. The
+best of all scans are ranked again by exact inner products.
+
+Neighbouring cells share a region, and regions are what tasks work on: the cells that a query scans
+lie in two or three regions, so that its vector is sent as often, and not once for each cell.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.plans.lineage import materialize
+from loomline.plans.lineage import materialize, release
 
-#: Rows that a cell holds on average, and the most cells (the size of what is broadcast: 8 MB at 64 dimensions).
-CELL_ROWS, MOST_CELLS = 800, 32768
+#: Rows that a cell holds on average, and the most cells (the size of what is broadcast: 16 MB at 64 dimensions).
+CELL_ROWS, MOST_CELLS = 800, 65536
+#: Cells of a region on average.
+REGION_CELLS = 6
 #: Rows of the sample that centres and code words are fitted on, per cell and at most. Every row is indexed.
 SAMPLE_PER_CELL, MOST_SAMPLE = 48, 400_000
 #: Cells that a query scans at least, and candidates of each scan that are ranked exactly.
@@ -31,8 +37,8 @@ PROBES, CANDIDATES = 6, 72
 TRIAL_QUERIES, TRIAL_RECALL = 512, 0.99
 #: Weight of the parallel error: (d - 1) T² / (1 - T²) for the score threshold T = 0.2 in 64 dimensions.
 ETA = 2.6
-#: Rows of a cell that one task scans at a time, and queries that come with them; larger cells are cut.
-ITEM_CHUNK, QUERY_CHUNK = 4096, 16384
+#: Rows of a region that one task scans at a time, and queries that come with them; larger regions are cut.
+ITEM_CHUNK, QUERY_CHUNK = 16384, 16384
 WORDS, PART = 16, 2
 
 
@@ -51,6 +57,21 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.nd
     return centres
 
 
+def kmeans_tree(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """``k`` centres of a bounded sample in two levels, so that the work grows with k's root: centres of about sqrt(k) groups, and those of each group by its size."""
+    if k <= 64:
+        return kmeans(points, k, rounds)
+    top = kmeans(points, int(np.sqrt(k)), rounds)
+    group = nearest(points, top)
+    sizes = np.bincount(group, minlength=len(top))
+    share = sizes * k / len(points)
+    counts = np.minimum(np.maximum(np.floor(share), sizes > 0), sizes).astype(int)
+    for g in np.argsort(counts - share):  # what is left, where most is missing
+        if counts.sum() < k and counts[g] < sizes[g]:
+            counts[g] += 1
+    return np.concatenate([kmeans(points[group == g], n, rounds, 5 + g) for g, n in enumerate(counts) if n])
+
+
 def nearest(points: np.ndarray, centres: np.ndarray, most: int = 1 << 22) -> np.ndarray:
     half = (centres**2).sum(1) / 2
     step = max(1, most // len(centres))
@@ -74,24 +95,25 @@ class Quantiser:
         return quantiser
 
     def assign(self, vectors: np.ndarray, residuals: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Coordinate descent over the parts: |e|² + (eta - 1) (e·x)² for the error e of the vector x."""
-        n, parts = len(residuals), len(self.words)
-        r = residuals.reshape(n, parts, PART)
-        x = vectors.reshape(n, parts, PART)
-        codes = np.zeros((n, parts), np.uint8)
+        """Coordinate descent over the parts: |e|² + (eta - 1) (e·x)² for the error e of the vector x.
+
+        Squares and products are expanded, so that a part costs two products with its 16 words.
+        """
+        n, parts, words = len(residuals), len(self.words), self.words.astype(np.float32)
+        r, x = (np.ascontiguousarray(a.reshape(n, parts, PART).transpose(1, 0, 2), np.float32) for a in (residuals, vectors))
+        codes, rows, eta = np.zeros((parts, n), np.uint8), np.arange(n), np.float32(self.eta - 1)
+        plain = [(w**2).sum(1) - 2 * (a @ w.T) for w, a in zip(words, r)]  # |e|² less |r|², of each word
+        onto = [a @ w.T for w, a in zip(words, x)]  # w·x
+        rx = (r * x).sum(2)
         for m in range(parts):
-            codes[:, m] = ((r[:, m, None] - self.words[m]) ** 2).sum(2).argmin(1)
-        errors = r - self.words[np.arange(parts), codes]
-        along = (errors * x).sum((1, 2))
+            codes[m] = plain[m].argmin(1)
+        along = sum(rx[m] - onto[m][rows, codes[m]] for m in range(parts))
         for _ in range(sweeps):
             for m in range(parts):
-                others = along - (errors[:, m] * x[:, m]).sum(1)
-                e = r[:, m, None] - self.words[m]
-                cost = (e**2).sum(2) + (self.eta - 1) * (others[:, None] + (e * x[:, m, None]).sum(2)) ** 2
-                codes[:, m] = cost.argmin(1)
-                errors[:, m] = r[:, m] - self.words[m][codes[:, m]]
-                along = others + (errors[:, m] * x[:, m]).sum(1)
-        return codes
+                others = along + onto[m][rows, codes[m]]  # the sum of all parts but for the word of this one
+                codes[m] = (plain[m] + eta * (others[:, None] - onto[m]) ** 2).argmin(1)
+                along = others - onto[m][rows, codes[m]]
+        return np.ascontiguousarray(codes.T)
 
     def _update(self, vectors: np.ndarray, residuals: np.ndarray, codes: np.ndarray) -> None:
         """Each code word in turn to the minimum of the loss, a 2 x 2 system, the others fixed."""
@@ -123,6 +145,15 @@ class Quantiser:
         each = np.einsum("nmd,mwd->nmw", q, self.words.astype(np.float32))
         return (each[:, 1::2, :, None] + each[:, 0::2, None, :]).reshape(len(queries), parts // 2, WORDS * WORDS)
 
+    def unpack(self, packed: np.ndarray) -> np.ndarray:
+        """The code words that four-bit codes stand for, looked up part by part: what queries scan."""
+        words = self.words.astype(np.float32)
+        pairs = np.empty((len(packed), packed.shape[1], 2, PART), np.float32)
+        for b in range(packed.shape[1]):
+            pairs[:, b, 0] = words[2 * b][packed[:, b] & 15]
+            pairs[:, b, 1] = words[2 * b + 1][packed[:, b] >> 4]
+        return pairs.reshape(len(packed), -1)
+
 
 def scaled(residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Residuals of length 1, and their lengths."""
@@ -138,29 +169,64 @@ def scan(tables: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> np.ndar
     return scores * lengths
 
 
-def search_chunk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, lengths: np.ndarray, quantiser: Quantiser, k: int, candidates: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the best k items of one chunk for each query; the query itself scores -inf."""
-    best_ids, best_scores = [], []
-    keep, top = min(candidates, len(ids)), min(k, len(ids))
-    for i in range(0, len(q), block):
-        part = q[i : i + block]
-        if keep < len(ids):
-            rough = scan(quantiser.tables(part), packed, lengths)
-            rough[q_ids[i : i + block, None] == ids[None]] = -np.inf
-            chosen = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-        else:
-            chosen = np.broadcast_to(np.arange(len(ids)), (len(part), len(ids)))
-        single = np.matmul(x[chosen], part[:, :, None])[:, :, 0]
-        single[ids[chosen] == q_ids[i : i + block, None]] = -np.inf
-        if (few := 2 * k + 1) < chosen.shape[1]:  # double precision decides among the best few
-            few = np.argpartition(-single, few - 1, axis=1)[:, :few]
-            chosen, single = np.take_along_axis(chosen, few, 1), np.take_along_axis(single, few, 1)
-        exact = np.matmul(x[chosen].astype(np.float64), part[:, :, None].astype(np.float64))[:, :, 0]
+#: Queries from which on a cell is scanned for all of them at once.
+BLOCK_SCAN = 8
+
+
+def scan_block(queries: np.ndarray, looked_up: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What :func:`scan` gives, for many queries: code words are looked up once, not their products with each query."""
+    return queries @ looked_up.T * lengths
+
+
+def search_region(
+    q_ids: np.ndarray, q: np.ndarray, probed: np.ndarray, ids: np.ndarray, x: np.ndarray, cells: np.ndarray, packed: np.ndarray, lengths: np.ndarray,
+    centres: np.ndarray, quantiser: Quantiser, k: int, candidates: int, block: int = 1024,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the best k items of one region for each query, padded with -inf; the query itself is none of them.
+
+    ``probed``: (query, cell) pairs as two rows. Items are in the order of their cells. The codes of
+    each cell are scanned by the queries that probe it; of all cells together the best candidates
+    are ranked exactly.
+    """
+    n, keep = len(q), candidates
+    rough = np.full((n, keep), -np.inf, np.float32)
+    chosen = np.zeros((n, keep), np.int32)
+    starts = np.searchsorted(cells, np.unique(cells))
+    by_cell = np.argsort(probed[1], kind="stable")
+    asked_cells = probed[1][by_cell]
+    for start, stop in zip(starts, [*starts[1:], len(cells)]):
+        cell = cells[start]
+        who = probed[0][by_cell[np.searchsorted(asked_cells, cell) : np.searchsorted(asked_cells, cell, "right")]]
+        if not len(who):
+            continue
+        looked_up, few = quantiser.unpack(packed[start:stop]) if len(who) > BLOCK_SCAN else None, min(keep, stop - start)
+        for i in range(0, len(who), block):
+            asking = who[i : i + block]
+            codes, long = packed[start:stop], lengths[start:stop]
+            scores = scan(quantiser.tables(q[asking]), codes, long) if looked_up is None else scan_block(q[asking], looked_up, long)
+            scores += (q[asking] @ centres[cell])[:, None]
+            scores[q_ids[asking, None] == ids[None, start:stop]] = -np.inf
+            best = np.argpartition(-scores, few - 1, axis=1)[:, :few] if few < stop - start else np.broadcast_to(np.arange(few), (len(asking), few))
+            both = np.concatenate([rough[asking], np.take_along_axis(scores, best, 1)], 1)
+            items = np.concatenate([chosen[asking], (best + start).astype(np.int32)], 1)
+            top = np.argpartition(-both, keep - 1, axis=1)[:, :keep]
+            rough[asking], chosen[asking] = np.take_along_axis(both, top, 1), np.take_along_axis(items, top, 1)
+    best_ids, best_scores = np.zeros((n, k), np.int64), np.full((n, k), -np.inf)
+    for i in range(0, n, block):
+        some, known = chosen[i : i + block], rough[i : i + block]
+        single = np.einsum("nd,nkd->nk", q[i : i + block], x[some])
+        single[np.isneginf(known)] = -np.inf
+        few = min(2 * k + 1, keep)  # double precision decides among the best few
+        pick = np.argpartition(-single, few - 1, axis=1)[:, :few]
+        some, single = np.take_along_axis(some, pick, 1), np.take_along_axis(single, pick, 1)
+        exact = np.matmul(x[some].astype(np.float64), q[i : i + block, :, None].astype(np.float64))[:, :, 0]
         exact[np.isneginf(single)] = -np.inf
-        order = np.argsort(-exact, axis=1, kind="stable")[:, :top]
-        best_ids.append(np.take_along_axis(ids[chosen], order, 1))
-        best_scores.append(np.take_along_axis(exact, order, 1))
-    return np.concatenate(best_ids), np.concatenate(best_scores)
+        found = ids[some]
+        order = np.lexsort((found, -exact), axis=1)[:, :k]
+        width = order.shape[1]
+        best_ids[i : i + block, :width] = np.take_along_axis(found, order, 1)
+        best_scores[i : i + block, :width] = np.take_along_axis(exact, order, 1)
+    return best_ids, best_scores
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -247,59 +313,75 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, key: str = "id", embeddin
     if not count:
         return spark.createDataFrame([], "id bigint, neighbour bigint, rank int, similarity double")
     points = np.frombuffer(b"".join(sample), np.float32).reshape(-1, dims)
-    centres = kmeans(points, min(cells, len(points)))
+    centres = kmeans_tree(points, min(cells, len(points)))
+    # Neighbouring cells are numbered side by side, region by region.
+    region = nearest(centres, kmeans(centres, max(1, len(centres) // REGION_CELLS)))
+    order = np.argsort(region, kind="stable")
+    centres, region = centres[order], region[order].astype(np.int32)
     residuals = points - centres[nearest(points, centres)]
     repeat = -(-WORDS // len(points))
     quantiser = Quantiser.fit(np.tile(points, (repeat, 1)), np.tile(scaled(residuals)[0], (repeat, 1)))
     probes = probes_needed(unit, centres, k, dims, min(probes, len(centres)))
-    model = spark.sparkContext.broadcast((centres, quantiser))
+    model = spark.sparkContext.broadcast((centres, region, quantiser))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, quantiser = model.value
+        centres, region, quantiser = model.value
         half = (centres**2).sum(1) / 2
         for batch in batches:
             x = matrix(batch.column(1), dims)
             near, probed = np.zeros(len(x), np.int32), np.zeros((len(x), probes), np.int32)
             for i in range(0, len(x), 1024):
                 scores = x[i : i + 1024] @ centres.T
-                near[i : i + 1024] = (scores - half).argmax(1)
-                probed[i : i + 1024] = np.argpartition(half - scores, probes - 1, axis=1)[:, :probes]
+                scores -= half
+                near[i : i + 1024] = scores.argmax(1)
+                probed[i : i + 1024] = np.argpartition(-scores, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.arange(probes)
             residuals, lengths = scaled(x - centres[near])
             packed = quantiser.pack(quantiser.assign(x, residuals))
             codes = pa.array([p.tobytes() for p in packed], pa.binary())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * probes), pa.array(probed.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), codes, pa.array(lengths), lists], ["id", "v", "cell", "code", "length", "probed"])
-
-    indexed = materialize(unit.mapInArrow(index, "id bigint, v binary, cell int, code binary, length float, probed array<int>"))
-    # Large cells are cut, so that no task holds more than a chunk of each side whatever its cell holds.
-    items = indexed.groupBy("cell").agg(F.count("*").alias("n"))
-    asked = indexed.select(F.explode("probed").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"))
+            probed.sort(1)  # cells of one region are side by side
+            flat, row = probed.ravel(), np.repeat(np.arange(len(x)), probes)
+            fresh = np.append(True, (region[flat[1:]] != region[flat[:-1]]) | (row[1:] != row[:-1])) if len(flat) else np.zeros(0, bool)
+            begins = np.flatnonzero(fresh)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(flat)).astype(np.int32)), pa.array(flat))
+            structs = pa.StructArray.from_arrays([pa.array(region[flat[begins]]), lists], ["region", "cells"])
+            asks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[begins], minlength=len(x)))).astype(np.int32)), structs)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region[near]), pa.array(near), codes, pa.array(lengths), asks], ["id", "v", "region", "cell", "code", "length", "asks"])
+
+    indexed = materialize(unit.mapInArrow(index, "id bigint, v binary, region int, cell int, code binary, length float, asks array<struct<region: int, cells: array<int>>>"))
+    release(unit)
+    asking = indexed.select("id", "v", F.inline("asks"))
+    # Large regions are cut, so that no task holds more than a chunk of each side whatever its region holds.
+    items = indexed.groupBy("region").agg(F.count("*").alias("n"))
+    asked = indexed.select(F.explode("asks.region").alias("region")).groupBy("region").agg(F.count("*").alias("m"))
     grid = F.broadcast(  # at most MOST_CELLS rows
-        items.join(asked, "cell").select("cell", F.ceil(F.col("n") / ITEM_CHUNK).cast("int").alias("rows"), F.ceil(F.col("m") / QUERY_CHUNK).cast("int").alias("columns"))
+        items.join(asked, "region").select("region", F.ceil(F.col("n") / ITEM_CHUNK).cast("int").alias("rows"), F.ceil(F.col("m") / QUERY_CHUNK).cast("int").alias("columns"))
     )
     chunk = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.select("id", "v", "code", "length", "cell").join(grid, "cell").withColumn("row", chunk("rows", 1)).withColumn("column", every("columns"))
-    right = indexed.select("id", "v", F.explode("probed").alias("cell")).join(grid, "cell").withColumn("column", chunk("columns", 2)).withColumn("row", every("rows"))
-    where = ["cell", "row", "column"]
+    left = indexed.select("id", "v", "code", "length", "cell", "region").join(grid, "region").withColumn("row", chunk("rows", 1)).withColumn("column", every("columns"))
+    right = asking.join(grid, "region").withColumn("column", chunk("columns", 2)).withColumn("row", every("rows"))
+    where = ["region", "row", "column"]
 
     def search(items: pa.Table, queries: pa.Table) -> pa.Table:
-        _, quantiser = model.value
+        centres, _, quantiser = model.value
         if not len(items) or not len(queries):
             return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], FOUND)})
-        order = np.argsort(items["id"].to_numpy(), kind="stable")
-        ids, x = items["id"].to_numpy()[order], matrix(items["v"], dims)[order]
+        order = np.lexsort((items["id"].to_numpy(), items["cell"].to_numpy()))
+        ids, cells, x = items["id"].to_numpy()[order], items["cell"].to_numpy()[order], matrix(items["v"], dims)[order]
         packed = np.frombuffer(b"".join(items["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
         lengths = items["length"].to_numpy()[order]
-        best, scores = search_chunk(queries["q_id"].to_numpy(), matrix(queries["q_v"], dims), ids, x, packed, lengths, quantiser, k, candidates)
-        values = pa.StructArray.from_arrays([pa.array(-scores.ravel()), pa.array(best.ravel())], ["minus", "id"])
-        offsets = pa.array(np.arange(len(best) + 1, dtype=np.int32) * best.shape[1])
+        probed = queries["q_cells"].combine_chunks()
+        pairs = np.stack([np.repeat(np.arange(len(queries)), probed.value_lengths().to_numpy()), probed.flatten().to_numpy()])
+        best, scores = search_region(queries["q_id"].to_numpy(), matrix(queries["q_v"], dims), pairs, ids, x, cells, packed, lengths, centres, quantiser, k, max(candidates, k))
+        found = ~np.isneginf(scores)
+        values = pa.StructArray.from_arrays([pa.array(-scores[found]), pa.array(best[found])], ["minus", "id"])
+        offsets = pa.array(np.append(0, np.cumsum(found.sum(1))).astype(np.int32))
         return pa.table({"id": queries["q_id"].combine_chunks(), "found": pa.ListArray.from_arrays(offsets, values)})
 
-    asking = right.select([F.col(c).alias(f"q_{c}") for c in ("id", "v", *where)])
-    scanned = left.select("id", "v", "code", "length", *where).groupBy(*where).cogroup(asking.groupBy([f"q_{c}" for c in where]))
+    asking = right.select([F.col(c).alias(f"q_{c}") for c in ("id", "v", "cells", *where)])
+    scanned = left.select("id", "v", "code", "length", "cell", *where).groupBy(*where).cogroup(asking.groupBy([f"q_{c}" for c in where]))
     found = scanned.applyInArrow(search, "id bigint, found array<struct<minus: double, id: bigint>>")
-    # A query has at most probes x chunks x k candidates.
+    # A query has at most regions x chunks x k candidates.
     best = found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
     return (
         best.select(F.col("id").alias("id"), F.posexplode("best").alias("pos", "one"))
