@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.graph import connected_components
-from loomline.operators.skew import blocked_pairs, hot_aware_lookup
-from loomline.plans.lineage import materialize
+from loomline.operators.skew import blocked_pairs, counted_lookup, expanded_pairs, hot_aware_lookup
+from loomline.plans.lineage import materialize, release
 
 THRESHOLD = 0.7
 #: Characters of a substring.
@@ -167,24 +167,38 @@ def similar_contents(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     # Most lists of several records hold two of them: their pair is there after aggregation.
     twos = shared.where("_n = 2").select(F.col("first").alias("rep_a"), F.col("last").alias("rep_b"))
     longer = materialize(hot_aware_lookup(entries, shared.where("_n > 2").select("run", "_n"), "run", "_n"))
-    pairs = twos.unionByName(blocked_pairs(longer, "run", "rep")).distinct()
-    sides = reps.select("rep", "norm", "sketch", "n")
-    left, right = (sides.select([F.col(c).alias(f"{c}_{s}") for c in sides.columns]) for s in "ab")
+    pairs = materialize(twos.unionByName(blocked_pairs(longer, "run", "rep")).distinct())
+    release(shared, longer)
+    # Sketches are looked up first: texts move only for pairs that their estimate lets through.
     fits = F.least("n_a", "n_b") >= F.floor(F.lit(threshold) * F.greatest("n_a", "n_b") * 0.98)
-    both = pairs.join(left, "rep_a").join(right, "rep_b").where(fits).select("rep_a", "rep_b", "norm_a", "norm_b", "sketch_a", "sketch_b")
+    sketched = both_sides(pairs, reps.select("rep", "sketch", "n"), 1 << 20).where(fits)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(i).to_pylist() for i in (2, 3))
+            kept = [estimate(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) >= ESTIMATE_MIN for a, b in zip(*sides)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["rep_a", "rep_b"]).filter(pa.array(kept, pa.bool_()))
+
+    survivors = materialize(sketched.select("rep_a", "rep_b", "sketch_a", "sketch_b").mapInArrow(likely, "rep_a bigint, rep_b bigint"))
+    release(pairs)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
-            for a, b, norm_a, norm_b, sketch_a, sketch_b in zip(*(c.to_pylist() for c in batch.columns)):
-                if estimate(np.frombuffer(sketch_a, np.uint32), np.frombuffer(sketch_b, np.uint32)) < ESTIMATE_MIN:
-                    continue
-                if (j := jaccard(norm_a, norm_b)) >= threshold:
-                    out.append((a, b, j))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
+            similarity = [jaccard(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            kept = pa.array([j >= threshold for j in similarity], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity, pa.float64())], ["a", "b", "similarity"]).filter(kept)
+
+    both = both_sides(survivors, reps.select("rep", "norm"), 1 << 14).select("rep_a", "rep_b", "norm_a", "norm_b")
+    similar = materialize(both.mapInArrow(verify, "a bigint, b bigint, similarity double"))
+    release(survivors)
+    return similar
+
 
-    return materialize(both.mapInArrow(verify, "a bigint, b bigint, similarity double"))
+def both_sides(pairs: DataFrame, sides: DataFrame, rows_per_salt: int) -> DataFrame:
+    """The columns of both representatives of each pair, with the suffixes ``_a`` and ``_b``; popular ones are salted."""
+    for s in "ab":
+        pairs = counted_lookup(pairs, sides.select([F.col(c).alias(f"{c}_{s}") for c in sides.columns]), f"rep_{s}", rows_per_salt)
+    return pairs
 
 
 def near_duplicate_pairs(docs: DataFrame, key: str = "doc_id", content: str = "content", threshold: float = THRESHOLD) -> DataFrame:
@@ -197,8 +211,7 @@ def near_duplicate_pairs(docs: DataFrame, key: str = "doc_id", content: str = "c
     members = members.distinct()
     same = blocked_pairs(members, "rep", "key").select("key_a", "key_b")
     similar = similar_contents(reps, threshold)
-    ends_a, ends_b = (members.select(F.col("key").alias(f"key_{s}"), F.col("rep").alias(s)) for s in "ab")
-    expanded = similar.select("a", "b").join(ends_a, "a").join(ends_b, "b")
+    expanded = expanded_pairs(similar, "a", "b", members, "rep", "key")
     ordered = expanded.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
     return same.unionByName(ordered).select(F.col("key_a").alias(f"{key}_a"), F.col("key_b").alias(f"{key}_b"))
 
