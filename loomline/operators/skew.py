@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.plans.lineage import materialize
+
 #: Rows of a key that one salt takes. Every key of more rows is salted; there can be one such key
 #: for each so many rows at most, so their list (40 bytes a key) is 40 MB where there are 10^12 rows.
 ROWS_PER_SALT = 1 << 20
@@ -61,9 +63,13 @@ def blocked_pairs(members: DataFrame, key: str, item: str, block_rows: int = 200
     return pairs.drop(key, "_lo", "_hi", "_block_a", "_block_b")
 
 
-def counted_lookup(facts: DataFrame, dim: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """:func:`hot_aware_lookup` where the fact rows of each key have to be counted first; ``facts`` is read twice."""
-    weights = facts.groupBy(key).agg(F.count("*").alias("_weight"))
+def counted_lookup(facts: DataFrame, dim: DataFrame, key: str, counted: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """:func:`hot_aware_lookup` where the fact rows of each key have to be counted first.
+
+    They are counted in ``counted``, a stored table that has the same rows: the plan of ``facts``,
+    which may hold several lookups, then occurs once.
+    """
+    weights = counted.groupBy(key).agg(F.count("*").alias("_weight"))
     return hot_aware_lookup(facts, dim.join(weights, key), key, "_weight", rows_per_salt)
 
 
@@ -72,19 +78,21 @@ def expanded_pairs(pairs: DataFrame, a: str, b: str, members: DataFrame, group:
 
     ``members`` has (group, item). Members become lists of about ``block_rows``; the pairs of lists
     are rows of their own, so that the members of two large groups meet in as many tasks as their
-    number asks for. A group with many partners is salted. ``pairs`` and ``members`` are read several times.
+    number asks for. A group with many partners is salted. ``pairs`` and ``members`` are stored tables.
     """
     sizes = members.groupBy(group).agg(F.count("*").alias("_n"))
-    sizes = sizes.select(group, F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_blocks"), "_n")
+    sizes = materialize(sizes.select(group, F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_blocks"), "_n"))
     placed = hot_aware_lookup(members, sizes, group, "_n").withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
-    lists = placed.groupBy(F.struct(group, "_block").alias("_list")).agg(F.collect_list(item).alias("_items"))
+    lists = materialize(placed.groupBy(F.struct(group, "_block").alias("_list")).agg(F.collect_list(item).alias("_items")))
     rows = pairs.select(a, b)
     for side in (a, b):
-        rows = counted_lookup(rows, sizes.select(F.col(group).alias(side), F.col("_blocks").alias(f"_{side}_blocks")), side)
+        rows = counted_lookup(rows, sizes.select(F.col(group).alias(side), F.col("_blocks").alias(f"_{side}_blocks")), side, pairs)
     every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"_{side}_blocks") - 1))
     rows = rows.withColumn("_i", every(a)).withColumn("_j", every(b))
-    rows = rows.select(F.struct(F.col(a).alias(group), F.col("_i").alias("_block")).alias("_list_a"), F.struct(F.col(b).alias(group), F.col("_j").alias("_block")).alias("_list_b"))
+    list_of = lambda side, block: F.struct(F.col(side).alias(group), F.col(block).alias("_block"))
+    blocks = materialize(rows.select(list_of(a, "_i").alias("_list_a"), list_of(b, "_j").alias("_list_b")))
     # A row that carries one list of items is some kilobytes wide, hence fewer rows a salt.
+    rows = blocks
     for side in ("_list_a", "_list_b"):
-        rows = counted_lookup(rows, lists.select(F.col("_list").alias(side), F.col("_items").alias(f"{side}_items")), side, 1 << 14)
+        rows = counted_lookup(rows, lists.select(F.col("_list").alias(side), F.col("_items").alias(f"{side}_items")), side, blocks, 1 << 14)
     return rows.select(F.explode("_list_a_items").alias(f"{item}_a"), "_list_b_items").select(f"{item}_a", F.explode("_list_b_items").alias(f"{item}_b"))
