@@ -195,10 +195,11 @@ def similar_contents(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 
 def both_sides(pairs: DataFrame, sides: DataFrame, rows_per_salt: int) -> DataFrame:
-    """The columns of both representatives of each pair, with the suffixes ``_a`` and ``_b``; popular ones are salted."""
+    """The columns of both representatives of each stored pair, with the suffixes ``_a`` and ``_b``; popular ones are salted."""
+    rows = pairs
     for s in "ab":
-        pairs = counted_lookup(pairs, sides.select([F.col(c).alias(f"{c}_{s}") for c in sides.columns]), f"rep_{s}", rows_per_salt)
-    return pairs
+        rows = counted_lookup(rows, sides.select([F.col(c).alias(f"{c}_{s}") for c in sides.columns]), f"rep_{s}", pairs, rows_per_salt)
+    return rows
 
 
 def near_duplicate_pairs(docs: DataFrame, key: str = "doc_id", content: str = "content", threshold: float = THRESHOLD) -> DataFrame:
@@ -208,7 +209,7 @@ def near_duplicate_pairs(docs: DataFrame, key: str = "doc_id", content: str = "c
     Repeated rows of one key are one document. An empty table gives no pair.
     """
     reps, members = distinct_contents(docs, key, content)
-    members = members.distinct()
+    members = materialize(members.distinct())
     same = blocked_pairs(members, "rep", "key").select("key_a", "key_b")
     similar = similar_contents(reps, threshold)
     expanded = expanded_pairs(similar, "a", "b", members, "rep", "key")
