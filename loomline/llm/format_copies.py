@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from loomline.operators.skew import hot_aware_lookup
-from loomline.plans.lineage import materialize
+from loomline.plans.lineage import materialize, release
 
 WORD_CHARS = r"\p{L}\p{M}\p{Nd}"
 FIELDS = ArrayType(StructType([StructField("name", StringType()), StructField("value", StringType())]))
@@ -78,17 +78,20 @@ def copy_tuples(records: DataFrame) -> DataFrame:
     The tuple is written as sorted ``name:value`` numbers; prose has no name. Equal tuples of a
     table are copies. Materialised. Records whose content is null or has no word are left out.
     """
-    fields = with_fields(records)
-    narrow = fields.select("tbl", "id", digest("name").alias("name_key"), digest("value").alias("value_key"))
+    # Records are parsed once: the dictionary reads the strings of this table, the tuples their digests.
+    fields = materialize(with_fields(records).select("tbl", "id", "name", "value", digest("name").alias("name_key"), digest("value").alias("value_key")))
+    narrow = fields.select("tbl", "id", "name_key", "value_key")
     strings = fields.select(F.explode(F.array("name", "value")).alias("s")).where("s is not null")
     distinct = strings.groupBy("s").agg(F.count("*").alias("n"))
     canonical = materialize(distinct.select(digest("s").alias("key"), digest(words(F.col("s"))).alias("form"), "n"))
-    forms = materialize(canonical.select("form").distinct().withColumn("code", F.monotonically_increasing_id()))
-    dictionary = materialize(canonical.join(forms, "form").select("key", "code", "n"))
+    forms = materialize(canonical.groupBy("form").agg(F.count("*").alias("spellings")).withColumn("code", F.monotonically_increasing_id()))
+    dictionary = materialize(hot_aware_lookup(canonical, forms, "form", "spellings").select("key", "code", "n"))
+    release(canonical, forms)
     values = dictionary.select(F.col("key").alias("value_key"), F.col("code").alias("value_code"), "n")
     names = dictionary.select(F.col("key").alias("name_key"), F.col("code").alias("name_code"), "n")
     coded = hot_aware_lookup(narrow, values, "value_key", "n").drop("value_key")
     coded = materialize(coded)
+    release(fields)
     prose = coded.where("name_key is null").select("tbl", "id", F.concat(F.lit(":"), F.col("value_code")).alias("tuple"))
     named = hot_aware_lookup(coded.where("name_key is not null"), names, "name_key", "n")
     pair = F.struct("name_code", "value_code")

@@ -137,7 +137,8 @@ def distinct_contents(docs: DataFrame, key: str, content: str) -> tuple[DataFram
     norm = F.regexp_replace(F.lower(content), NOT_KEPT, "")
     texts = docs.select(F.col(key).cast("bigint").alias("key"), norm.alias("norm")).where("key is not null")
     # Texts are brought to their form once; what follows reads the texts or their digests of this table.
-    texts = materialize(texts.withColumn("digest", F.when(F.length("norm") >= GRAM, F.unhex(F.md5("norm"))))).where("digest is not null")
+    stored = materialize(texts.withColumn("digest", F.when(F.length("norm") >= GRAM, F.unhex(F.md5("norm")))))
+    texts = stored.where("digest is not null")
     grouped = texts.groupBy("norm").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def distinct_contents(docs: DataFrame, key: str, content: str) -> tuple[DataFram
     reps = materialize(grouped.mapInArrow(run, "norm string, rep bigint, copies bigint, sketch binary, keys binary, n int"))
     by_digest = reps.select(F.unhex(F.md5("norm")).alias("digest"), "rep", "copies")
     members = materialize(hot_aware_lookup(texts.select("key", "digest"), by_digest, "digest", "copies").select("key", "rep"))
-    release(texts)
+    release(stored)
     return reps, members
 
 
