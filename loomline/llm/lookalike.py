@@ -24,12 +24,12 @@ from loomline.plans.lineage import materialize
 
 # Letters that have one shape in several scripts. Each word is one class.
 SAME_SHAPE = """
-aа cсϲᴄ dԁⅾ eе gɡ hһհ iіⅰ jјϳ lⅼӏ mⅿ oοоօᴏ pр qԛ sѕꜱ vνѵⅴᴠ wԝᴡ xхⅹ yу zᴢ
-AΑАᎪ BΒВᏴ CСϹᏟⅭ DᎠⅮ EΕЕᎬ GԌᏀ HΗНᎻ IΙІӀⅠ JЈᎫ KΚКᏦK LᏞⅬ MΜМϺᎷⅯ NΝ OΟОՕ PΡРᏢ
-QԚ SЅՏᏚ TΤТᎢ VѴᏙⅤ WԜᎳ XΧХⅩ YΥҮ ZΖᏃ
-ГΓ ПΠ ФΦ əәǝ ɛε æӕ ÆӔ
+aа bᏏ cсϲᴄⲥ dԁⅾ eеҽ gɡց hһհᏂ iіⅰᎥ jјϳ lⅼӏ mⅿ nո oοоօᴏⲟ pрⲣ qԛզ sѕꜱ uս vνѵⅴᴠ wԝᴡ xхⅹ yу zᴢ
+AΑАᎪꓮ BΒВᏴꓐⲂ CСϹᏟⅭꓚⲤ DᎠⅮꓓ EΕЕᎬꓰ Fꓝ GԌᏀꓖ HΗНᎻꓧⲎ IΙІӀⅠꓲⲒ JЈᎫꓙ KΚКᏦKꓗⲔ LᏞⅬꓡ MΜМϺᎷⅯꓟⲘ NΝꓠⲚ OΟОՕꓳⲞ PΡРᏢꓑⲢ
+QԚ RᎡᏒꓣ SЅՏᏚꓢ TΤТᎢꓔⲦ UՍꓴ VѴᏙⅤꓦ WԜᎳꓪ XΧХⅩꓫⲬ YΥҮꓬⲨ ZΖᏃꓜ
+ГΓⲄ ПΠ ФΦⲪ əәǝ ɛε æӕ ÆӔ ƆϽꓛ ʒӡ ƷӠ вʙ нʜ мᴍ тᴛ
 へヘ ニ二 ロ口 カ力 ハ八 ト卜 エ工 タ夕
--‐‑－﹣ ·‧・ ;; ¦￤ ’ʼ /⁄∕
+-‐‑－﹣ ·‧・∙⋅ ;; ¦￤ ’ʼ ‘ʻ /⁄∕ :∶꞉ !ǃ |ǀ∣ ,‚
 """
 # Characters without any picture of their own, wherever they stand.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0x3164, 0xFEFF, 0xFFA0]
@@ -130,7 +130,11 @@ def rewriting(classes: list[list[str]], counts: dict[str, int]) -> dict[str, str
 
 
 class Rewriter:
-    """Greedy rewriting, leftmost and longest first, by an Aho-Corasick automaton."""
+    """Greedy rewriting, leftmost and longest first, by an Aho-Corasick automaton.
+
+    Where no member of several code points can begin, the automaton never leaves its first level,
+    and a table of code points does the same; a text of fixed code points is its own form.
+    """
 
     def __init__(self, rules: dict[str, str]):
         self.automaton = ahocorasick.Automaton()
@@ -138,12 +142,32 @@ class Rewriter:
             if member:
                 self.automaton.add_word(member, (len(member), best))
         self.automaton.make_automaton()
-        starts = sorted({ord(m[0]) for m in rules if m})
-        self.starts = np.zeros(0x110000, bool)
-        self.starts[starts] = True
-
-    def needed(self, text: str) -> bool:
-        return not text.isascii() and bool(self.starts[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+        self.single = {ord(m): best for m, best in rules.items() if len(m) == 1}
+        self.starts, longer = (np.zeros(0x110000, bool) for _ in range(2))
+        self.starts[[ord(m[0]) for m in rules if m]] = True
+        longer[[ord(m[0]) for m in rules if len(m) > 1]] = True
+        self.longer = "".join(map(chr, np.flatnonzero(longer)))
+        self.begins_longer = re.compile("[" + re.escape(self.longer) + "]") if self.longer else None
+        self.fixed = self._fixed()
+
+    def _fixed(self) -> np.ndarray:
+        """The code points that keep their form between any neighbours: starters that no rule touches and that nothing composes with."""
+        fixed = np.ones(0x110000, bool)
+        fixed[0xD800:0xE000] = False
+        followers = set()
+        for p in range(0x110000):
+            c = chr(p)
+            if 0xD800 <= p < 0xE000 or p >= LAST_DECOMPOSED and not unicodedata.combining(c) and not self.starts[p]:
+                continue
+            whole = unicodedata.normalize("NFD", c)
+            if len(whole) > 1:
+                followers.update(whole[1:])
+            if unicodedata.combining(c) or any(self.starts[ord(x)] for x in whole) or unicodedata.normalize("NFC", c) != c:
+                fixed[p] = False
+        fixed[[ord(c) for c in followers]] = False
+        fixed[0x1100:0x1200] = False  # Hangul letters compose by arithmetic
+        fixed[[ord(c) for c in JOINERS + "\r"]] = False
+        return fixed
 
     def rewrite(self, text: str) -> str:
         out, at = [], 0
@@ -162,10 +186,24 @@ class Rewriter:
         if "\u200d" in text or "\u200c" in text:
             text = UNSEEN_JOINER.sub("", text)
         text = unicodedata.normalize("NFD", text)
-        if self.needed(text):
-            # Marks may stand in another order once what stood between them is gone.
-            text = self.rewrite(text)
-        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text))
+        text = self.rewrite(text) if self.begins_longer and self.begins_longer.search(text) else text.translate(self.single)
+        # Marks may stand in another order once what stood between them is gone; composing puts them in order first.
+        return unicodedata.normalize("NFC", text)
+
+    def forms(self, texts: list[str | None], block: int = 256) -> list[str | None]:
+        """The forms of many texts; those of fixed code points are found by one look-up a block and stay as they are."""
+        out: list[str | None] = list(texts)
+        for start in range(0, len(texts), block):
+            some = [(i, t) for i, t in enumerate(texts[start : start + block], start) if t and (not t.isascii() or "\r" in t)]
+            if not some:
+                continue
+            points = np.frombuffer("".join(t for _, t in some).encode("utf-32-le"), np.uint32)
+            begins = np.cumsum([0, *(len(t) for _, t in some[:-1])])
+            touched = np.logical_or.reduceat(~self.fixed[points], begins)
+            for (i, t), here in zip(some, touched):
+                if here:
+                    out[i] = self.canonical(t)
+        return out
 
 
 def member_counts(texts: DataFrame, classes: list[list[str]]) -> dict[str, int]:
@@ -200,7 +238,7 @@ def canonical_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewriter = Rewriter(rules.value)
         for batch in batches:
-            forms = [None if t is None else rewriter.canonical(t) for t in batch.column(1).to_pylist()]
+            forms = rewriter.forms(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], ["_key", "text", "canonical"])
 
     kind = source.schema["_key"].dataType.simpleString()
