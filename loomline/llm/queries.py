@@ -61,6 +61,19 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def p7_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, within, capped): whether each source misses what it may give by less than one document, and keeps its cap."""
+    docs, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    chosen, shares = mixing.mix_sources(docs, targets)
+    texts = docs.where(F.length("text") > 0).join(targets.select("source"), "source", "left_semi")
+    sizes = tokenize.count_tokens(texts, ["source"]).groupBy("source").agg(F.sum("n_tokens").alias("have"), F.max("n_tokens").alias("longest"))
+    used = chosen.groupBy("source").agg(F.max("uses").alias("uses"))
+    rows = shares.join(targets.select("source", "max_repeats"), "source").join(sizes, "source", "left").join(used, "source", "left")
+    able = F.least("target_tokens", F.col("max_repeats") * F.coalesce("have", F.lit(0)))
+    within = F.abs(F.col("actual_tokens") - able) <= F.coalesce("longest", F.lit(0))
+    return rows.select("source", within.cast("int").alias("within"), (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).cast("int").alias("capped"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, folder, "documents"))
 
@@ -74,7 +87,7 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (p1_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_canonical, p8_classes)
+    q.__name__: q for q in (p1_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p7_balance, p8_found, p8_canonical, p8_classes)
 }
 # Brute force in SQL: all sets of substrings joined with each other.
 SIMILAR = """
@@ -101,4 +114,24 @@ w AS (SELECT tbl, id, list_sort(list_transform(fields, lambda p: list_transform(
 m AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, key) AS kept_id FROM w)
 SELECT tbl, kept_id, id AS copy_id FROM m WHERE id <> kept_id
 """
-SQL: dict[str, str] = {"p4_found": SIMILAR, "p5_found": COPIES}
+COPY_GROUPS = COPIES[: COPIES.index("m AS (SELECT tbl, id, min(id)")].rstrip().rstrip(",") + """
+SELECT tbl, min(id) AS kept_id, count(*) AS n_rows FROM w GROUP BY tbl, key
+"""
+# Groups by the closure of all similar pairs; links between contents, copies of one content aside.
+SIMILAR_GROUPS = SIMILAR.replace("WITH n AS", "WITH RECURSIVE n AS").replace("SELECT x AS doc_id_a, y AS doc_id_b FROM", ", f AS (SELECT x, y FROM", 1).rstrip() + """),
+e AS (SELECT x, y FROM f UNION SELECT y, x FROM f),
+m AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS rep, count(*) OVER (PARTITION BY t) AS copies FROM n WHERE length(t) >= 8),
+r AS (SELECT doc_id AS x, doc_id AS y FROM m UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS group_id FROM r GROUP BY x),
+l AS (SELECT a.doc_id, count(DISTINCT b.rep) FILTER (b.rep <> a.rep) AS links FROM e JOIN m a ON a.doc_id = e.x JOIN m b ON b.doc_id = e.y GROUP BY 1)
+SELECT m.doc_id, c.group_id, coalesce(l.links, 0) + m.copies - 1 AS n_links FROM m JOIN c ON c.x = m.doc_id LEFT JOIN l ON l.doc_id = m.doc_id
+"""
+# Brute force: all pairs of usable vectors.
+NEIGHBOURS = """
+WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM document_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id),
+n AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM p)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE r <= 5
+"""
+BALANCE = "SELECT source, 1::INT AS within, 1::INT AS capped FROM mix_targets WHERE source IS NOT NULL"
+SQL: dict[str, str] = {"p3_found": NEIGHBOURS, "p4_found": SIMILAR, "p4_groups": SIMILAR_GROUPS, "p5_found": COPIES, "p5_groups": COPY_GROUPS, "p7_balance": BALANCE}

@@ -95,3 +95,41 @@ def test_gram_hashes_are_of_sets():
     text = "abcdefghijklmnopqrstuvwxyz🙂é"
     assert len(nd.gram_hashes(text)) == len(text) - 7
     assert np.array_equal(nd.gram_hashes(text + text)[:0], nd.gram_hashes("abcdefg"))
+
+
+def test_contents_with_very_many_copies(spark):
+    """Two similar contents of many copies each, and one content of 10^5 copies: every link, in many tasks, none of them far larger than the others."""
+    from pyspark.sql import functions as F
+
+    from loomline.operators.skew import expanded_pairs
+    from loomline.plans.lineage import materialize
+
+    text = "The ingestion pipeline of the northern archive reads every file twice before it writes a summary of the rows that it has skipped."
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(text)).otherwise(F.lit(text + " Again.")).alias("content"))
+    assert nd.near_duplicate_pairs(docs).count() == 1200 * 1199 // 2
+    many = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.when(F.col("id") % 3 == 0, "  ").otherwise("!")).alias("content"))
+    groups = nd.near_duplicate_groups(many)
+    assert groups.groupBy("group_id", "n_links").count().collect()[0][:] == (0, 99_999, 100_000)
+    members = materialize(spark.range(5000).select((F.col("id") % 2).alias("rep"), F.col("id").alias("key")))
+    pairs = materialize(spark.createDataFrame([(0, 1)], "a bigint, b bigint"))
+    expanded = expanded_pairs(pairs, "a", "b", members, "rep", "key", 100)
+    sizes = [r["count"] for r in expanded.repartition(8, "key_a", "key_b").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2500 * 2500 and expanded.distinct().count() == 2500 * 2500
+
+
+def test_a_list_with_very_many_records(spark):
+    """One passage in 10^4 records that are otherwise different makes one long list of candidates, and no wrong pair."""
+    import random
+
+    rnd = random.Random(4)
+    passage = "all rights reserved by the northern archive"
+    rows = [(i, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160)) + passage) for i in range(10_000)] + [(10_000, passage + "x" * 3), (10_001, passage + "x" * 3 + "y")]
+    found = nd.near_duplicate_pairs(spark.createDataFrame(rows, "doc_id bigint, content string")).collect()
+    assert [tuple(r) for r in found] == [(10_000, 10_001)]
+
+
+def test_one_form_with_very_many_spellings(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.lit("t").alias("tbl"), "id", F.concat(F.lit("One"), F.array_join(F.array_repeat(F.lit("."), (F.col("id") % 4000 + 1).cast("int")), ""), F.lit("two")).alias("content"))
+    assert copy_groups(rows).collect()[0][:] == ("t", 0, 20_000)

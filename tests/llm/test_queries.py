@@ -10,7 +10,7 @@ from loomline.llm.tokenize import TOKENIZERS
 COLUMNS = {
     "p1_found": ["id", "defect"], "p3_found": ["id_a", "id_b"], "p3_neighbours": ["id", "neighbour", "rank", "similarity"], "p4_found": ["doc_id_a", "doc_id_b"], "p4_groups": ["doc_id", "group_id", "n_links"],
     "p5_found": ["tbl", "kept_id", "copy_id"], "p5_groups": ["tbl", "kept_id", "n_rows"], "p6_ids": ["doc_id", "ids"], "p7_mix": ["doc_id", "source", "n_tokens", "uses"],
-    "p7_shares": ["source", "target_share", "target_tokens", "actual_tokens", "actual_share"], "p8_found": ["doc_id_a", "doc_id_b"], "p8_canonical": ["doc_id", "canonical"], "p8_classes": ["doc_id", "class_id", "n_forms", "n_rows"],
+    "p7_shares": ["source", "target_share", "target_tokens", "actual_tokens", "actual_share"], "p7_balance": ["source", "within", "capped"], "p8_found": ["doc_id_a", "doc_id_b"], "p8_canonical": ["doc_id", "canonical"], "p8_classes": ["doc_id", "class_id", "n_forms", "n_rows"],
 }
 
 
