@@ -29,7 +29,9 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("examples", help="show an example pipeline file")
     commands.add_parser("local-demo", help="ten generated rows on the console")
     commands.add_parser("ai-demo", help="ten generated documents with vectors on the console")
-    commands.add_parser("recover-demo", help="a run that fails half-way, and the run that goes on behind its checkpoint")
+    c = commands.add_parser("recover-demo", help="a run that fails half-way, and the run that goes on behind its checkpoint")
+    c.add_argument("--state-dir")
+    commands.add_parser("help", help="show this text")
     c = commands.add_parser("submit", help="plan a job and run it")
     c.add_argument("-f", "--file", required=True)
     c.add_argument("--state-dir", required=True)
@@ -70,6 +72,47 @@ errorPolicy:
   mode: skip-bad-records
 """
 
+SQL_EXAMPLE = """name: orders-by-customer
+source:
+  type: duckdb
+  query: SELECT o_custkey AS id, count(*) AS orders FROM read_parquet('orders.parquet') GROUP BY o_custkey
+sink:
+  type: file
+  format: csv
+  path: out/orders/
+"""
+STORE_EXAMPLE = """name: documents-to-vectors
+source:
+  type: file
+  format: document
+  path: docs
+transforms:
+  - type: chunk
+    input: content
+    output: chunk
+    chunkSize: 800
+    overlap: 80
+    dropInput: true
+  - type: embedding
+    provider: openai-compatible
+    input: chunk
+    output: embedding
+    model: embedder
+    baseUrl: http://localhost:8080/v1
+    apiKeyEnv: EMBEDDING_KEY
+    batchSize: 16
+sink:
+  type: qdrant
+  url: http://localhost:6333
+  collection: documents
+  idField: id
+  vectorField: embedding
+  chunkIndexField: chunk_index
+checkpoint:
+  stateDir: .loomline/state
+"""
+EXAMPLES = (EXAMPLE, SQL_EXAMPLE, STORE_EXAMPLE)
+
 
 def main(argv: list[str] | None = None, show=print, spark=None) -> int:  # noqa: ANN001
     """Exit code 0, or 1 with one message for an error that a user can mend."""
@@ -86,7 +129,11 @@ def main(argv: list[str] | None = None, show=print, spark=None) -> int:  # noqa:
 
 def _command(args: argparse.Namespace, show, spark) -> int:  # noqa: ANN001
     if args.command == "examples":
-        show(EXAMPLE)
+        for text in EXAMPLES:
+            show(text)
+        return 0
+    if args.command == "help":
+        show(parser().format_help())
         return 0
     from loomline.plans import runner
     from loomline.plans.jobs import Jobs
@@ -126,7 +173,7 @@ def _command(args: argparse.Namespace, show, spark) -> int:  # noqa: ANN001
         sink = (console.MockVector if ai else console.Console)(config.Sink("console"), chain.schema, 0, show)
         sink.write(sink.render(df.orderBy("id")).collect(), 10)
     elif args.command == "recover-demo":
-        _recover_demo(spark, show)
+        _recover_demo(spark, show, args.state_dir)
     elif args.command == "submit":
         jobs = Jobs(spark, args.state_dir)
         job = jobs.submit(pipeline, args.max_parallelism)
@@ -143,7 +190,7 @@ def _command(args: argparse.Namespace, show, spark) -> int:  # noqa: ANN001
     return 0
 
 
-def _recover_demo(spark, show) -> None:  # noqa: ANN001
+def _recover_demo(spark, show, state_dir: str | None = None) -> None:  # noqa: ANN001
     import tempfile
 
     from loomline import sinks
@@ -162,7 +209,7 @@ def _recover_demo(spark, show) -> None:  # noqa: ANN001
     sinks.register("fails-once", Fails)
     with tempfile.TemporaryDirectory() as folder:
         Path(folder, "users.csv").write_text("id,name\n" + "".join(f"{i},User-{i}\n" for i in range(1, 11)))
-        demo = config.Pipeline("recover-demo", config.Source("file", f"{folder}/users.csv", "csv"), [], config.Sink("fails-once"), f"{folder}/state")
+        demo = config.Pipeline("recover-demo", config.Source("file", f"{folder}/users.csv", "csv"), [], config.Sink("fails-once"), state_dir or f"{folder}/state")
         try:
             runner.run(spark, demo, show)
         except PipelineError as e:

@@ -18,7 +18,7 @@ from loomline.config import Transform
 from loomline.errors import PipelineError
 from loomline.functions.strings import col, trimmed, utf16_length
 from loomline.operators import embedding
-from loomline.schema import HIDDEN, LONG, STRING, VECTOR, field, kind_name, require, row_type
+from loomline.schema import BATCH, HIDDEN, LONG, STRING, VECTOR, field, kind_name, require, row_type
 
 Step = tuple[Callable[[DataFrame], DataFrame], StructType]
 
@@ -193,7 +193,12 @@ def mock_embedding(t: Transform, schema: StructType) -> Step:
 
 
 def embed(t: Transform, schema: StructType) -> Step:
-    """Appends the vector of a provider, asked for ``batch_size`` texts at a time by every task of its own."""
+    """Appends the vector of a provider, asked by every task of its own.
+
+    In a pipeline it is asked once for each flush, that is for all texts that ``batch_size`` source
+    rows have become, whatever Arrow's own batches; a flush that two tasks share is asked for in two
+    parts. Without flushes, ``batch_size`` texts are sent at a time. No text, no call.
+    """
     if t.provider == "mock":
         return mock_embedding(t, schema)
     if t.batch_size <= 0:
@@ -204,18 +209,43 @@ def embed(t: Transform, schema: StructType) -> Step:
     def run(df: DataFrame) -> DataFrame:
         names = df.columns
         place = names.index(t.input)
+        keys = [names.index(c) for c in BATCH] if set(BATCH) <= set(names) else []
+
+        def asked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = [text for part in parts for text in part.column(place).to_pylist()]
+            vectors = provider(texts)
+            if len(vectors) != len(texts):
+                raise PipelineError(f"Embedding provider returned {len(vectors)} vectors for {len(texts)} inputs")
+            start = 0
+            for part in parts:
+                some = vectors[start : start + part.num_rows]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(some, pa.list_(pa.float32()))], [*names, t.output])
+                start += part.num_rows
 
         def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in source:
                 for start in range(0, batch.num_rows, t.batch_size):
-                    part = batch.slice(start, t.batch_size)
-                    texts = part.column(place).to_pylist()
-                    vectors = provider(texts)
-                    if len(vectors) != len(texts):
-                        raise PipelineError(f"Embedding provider returned {len(vectors)} vectors for {len(texts)} inputs")
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*names, t.output])
-
-        return df.mapInArrow(batches, StructType([*df.schema.fields, field(t.output, VECTOR)]))
+                    yield from asked([batch.slice(start, t.batch_size)])
+
+        def flushes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: list[pa.RecordBatch] = []
+            flush = None
+            for batch in source:
+                found = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+                start = 0
+                for i, key in enumerate(found):
+                    if key != flush:
+                        if i > start:
+                            waiting.append(batch.slice(start, i - start))
+                        if waiting:
+                            yield from asked(waiting)
+                        waiting, start, flush = [], i, key
+                if start < len(found):
+                    waiting.append(batch.slice(start))
+            if waiting:
+                yield from asked(waiting)
+
+        return df.mapInArrow(flushes if keys else batches, StructType([*df.schema.fields, field(t.output, VECTOR)]))
 
     return run, out
 

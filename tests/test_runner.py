@@ -281,3 +281,58 @@ def test_late_events_of_a_stream(spark, tmp_path):
     assert (0, "a", 2) in got and (30, "a", 2) in got
     rows = spark.createDataFrame([(1,), (2,), (20,)], "m int").selectExpr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m) AS ts", "'a' AS kind")
     assert sorted(r["rows"] for r in session_counts(rows, "ts", ["kind"], "5 minutes", "1 hour").collect()) == [1, 2]
+
+
+def test_embeddings_are_asked_for_once_a_flush(spark, tmp_path):
+    from loomline.operators import embedding
+
+    calls = tmp_path / "calls"
+
+    def provider(t):
+        def vectors(texts):
+            with open(calls, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return [[float(len(x))] for x in texts]
+
+        return vectors
+
+    embedding.register("counted", provider)
+    (tmp_path / "in.jsonl").write_text("".join(f'{{"id":{i},"content":"{"abcdefgh"[: i % 4 * 2 + 1]}"}}\n' for i in range(1, 11)))
+    steps = [Transform("chunk", input="content", output="chunk", chunk_size=2, drop_input=True), Transform("embedding", provider="counted", input="chunk", output="v", batch_size=4)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        done = quiet(spark, config.Pipeline("e", Source("file", str(tmp_path / "in.jsonl"), "jsonl"), steps, Sink("file", f"{tmp_path}/o.jsonl", "jsonl")))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert (done.rowsRead, done.rowsWritten, done.sinkBatches) == (10, 25, 3)
+    assert [int(x) for x in open(calls)] == [10, 10, 5]
+
+
+def test_leases(spark, tmp_path):
+    from loomline.plans.jobs import expired, schedulable
+
+    p = config.Pipeline("lease", write_rows(tmp_path, 50), [], Sink("file", f"{tmp_path}/all.jsonl", "jsonl"))
+    jobs = Jobs(spark, f"{tmp_path}/state", lease_ms=300)
+    job = jobs.submit(p, 2)
+    one, two = jobs.tasks(job)
+    held = one.to("RUNNING", attempt=1, owner="another", lease_until=10**15)
+    jobs.store.put(one.task_id, held, one.version)
+    assert expired([held], 10**15) == {one.task_id} and not expired([held]) and schedulable([held]) == []
+    assert jobs.run(job, p) is None and [t.state for t in jobs.tasks(job)] == ["RUNNING", "COMPLETED"]
+    jobs.store.put(one.task_id, held.to("RUNNING", lease_until=1), held.version)
+    assert jobs.run(job, p) == "COMPLETED" and numbers(f"{tmp_path}/all.jsonl") == list(range(1, 51))
+    assert {t.owner for t in jobs.tasks(job)} == {jobs.owner} and [t.attempt for t in jobs.tasks(job)] == [2, 1]
+
+
+def test_help_examples_and_demo_state(spark, tmp_path):
+    from loomline import cli
+
+    shown = []
+    assert cli.main(["help"], shown.append, spark) == 0 and "recover-demo" in shown[0]
+    shown.clear()
+    assert cli.main(["examples"], shown.append, spark) == 0 and len(shown) == 3
+    for text in shown:
+        config.loads(text)
+    assert cli.main(["recover-demo", "--state-dir", str(tmp_path / "kept")], shown.append, spark) == 0
+    assert Store(str(tmp_path / "kept")).get("local-pipeline-recover-demo").state == "COMPLETED"
