@@ -420,8 +420,8 @@ def d2_run(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([tuple(getattr(done, n) for n in names)], ", ".join(f"{n} bigint" for n in names))
 
 
-def copied(spark: SparkSession, source: Source, sink: Sink, steps: list[Transform] | None = None, **more) -> runner.Summary:
-    return runner.run(spark, Pipeline("copy", source, steps or [], sink, **more), lambda _: None)
+def copied(spark: SparkSession, source: Source, sink: Sink, steps: list[Transform] | None = None, state_dir: str | None = None, rows_per_commit: int | None = None) -> runner.Summary:
+    return runner.run(spark, Pipeline("copy", source, steps or [], sink, state_dir), lambda _: None, rows_per_commit)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -572,7 +572,7 @@ def k5_resume(spark: SparkSession, folder: str) -> DataFrame:
     """A run into one file whose state is set back behind row 700 and that runs again: every row once, in order."""
     path = part_files(articles(spark, folder), file.json_line(ROW), None)
     out = driver_folder()
-    go = lambda: copied(spark, Source("file", path, "jsonl", max_rows_per_split=100), Sink("file", f"{out}/all.jsonl", "jsonl"), state_dir=f"{out}/state")
+    go = lambda: copied(spark, Source("file", path, "jsonl", max_rows_per_split=100), Sink("file", f"{out}/all.jsonl", "jsonl"), state_dir=f"{out}/state", rows_per_commit=500)
     go()
     state.Store(f"{out}/state").put("local-pipeline-copy", state.Task("local-pipeline-copy", state=state.RUNNING, attempt=1, checkpoint=700))
     go()

@@ -81,8 +81,8 @@ def run(
     """Runs a pipeline to its end, or raises a :class:`StageError`; then what was written before stays.
 
     With a state folder the run goes on behind the last commit of an earlier one. A parallel sink
-    commits ``rows_per_commit`` rows at a time (whole splits, at most :data:`MOST_COMMITS` commits a
-    run), an ordered one each flush. ``only`` limits the run to a range of rows and ``rows`` is the
+    commits ``rows_per_commit`` rows at a time (whole splits of 10,000 rows together at least, in at
+    most :data:`MOST_COMMITS` commits), an ordered one each flush. ``only`` limits the run to a range of rows and ``rows`` is the
     opened source they come from (a task of a job); ``sink_of`` makes the sink in place of the registry.
     """
     if rows is None:
@@ -133,7 +133,7 @@ def _run(spark: SparkSession, pipeline: Pipeline, show: Callable[[str], None], r
         flushes = lambda a, b: splits.with_batches(rows.between(a, b), rows.rows_per_split, chain.batch_size, a - 1, sound)
         if hasattr(sink, "write_table"):
             size = rows.rows_per_split or chain.batch_size * -(-ROWS_PER_SPLIT // chain.batch_size)
-            least = -(-(end - after) // MOST_COMMITS) if rows_per_commit is None else rows_per_commit
+            least = max(ROWS_PER_SPLIT, -(-(end - after) // MOST_COMMITS)) if rows_per_commit is None else rows_per_commit
             step = size * max(1, -(-least // size)) if checkpoint else max(1, total)
             _parallel(sink, flushes, chain, checkpoint, after, end, step, summary, show)
         elif end > after:
