@@ -176,9 +176,8 @@ def without_identifiers(text: str) -> str:
 LONGEST_STAND_IN = max(map(len, STAND_INS))
 
 
-def is_empty(text: str) -> bool:
-    """Whether a visible text answers nothing."""
-    words = WORD.findall(text)
+def is_empty(text: str, words: list[str]) -> bool:
+    """Whether a visible text answers nothing. ``words``: its words."""
     if len(words) > 4 or words and sum(map(len, words)) > LONGEST_STAND_IN:
         return False
     text = text.casefold()
@@ -239,9 +238,13 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
-def is_copy(asked: list[str], said: list[str]) -> bool:
-    """Whether the words of an answer are those of the question, in its order, but for labels."""
-    if not asked or not said or not set(said).difference(asked) <= LABELS:  # what isn't asked can't be covered
+def is_copy(question: str, said: list[str]) -> bool:
+    """Whether the words of an answer are those of the visible question, in its order, but for labels."""
+    folded = question.casefold()
+    if not said or any(w not in folded and w not in LABELS for w in said[:3]):
+        return False
+    asked = WORD.findall(folded)
+    if not asked or not set(said).difference(asked) <= LABELS:  # what isn't asked can't be covered
         return False
     covered, longest = SuffixAutomaton(asked).coverage(said)
     rest = [w for w, c in zip(said, covered) if not c]
@@ -265,39 +268,55 @@ def script_of(text: str) -> dict[str, int]:
     return {name: n for name, n in counts.items() if n}
 
 
-def language_votes(text: str) -> tuple[str | None, dict[str, float], dict[str, int]]:
-    """Main script of a visible text, the votes for each language, and its letters by script; quotations and identifiers aside."""
-    bare = without_identifiers(QUOTATION.sub(" ", text) if QUOTES.search(text) else text)
+def bare_text(text: str) -> str:
+    """A visible text without quotations and identifiers."""
+    return without_identifiers(QUOTATION.sub(" ", text) if QUOTES.search(text) else text)
+
+
+def main_script(bare: str) -> str | None:
+    if bare.isascii():
+        return "latin" if LETTERS.search(bare) else None
     scripts = script_of(bare)
-    if not scripts:
-        return None, {}, {}
-    main = "kana" if scripts.get("kana", 0) > 2 else max(scripts, key=scripts.get)
+    return ("kana" if scripts.get("kana", 0) > 2 else max(scripts, key=scripts.get)) if scripts else None
+
+
+def language_votes(bare: str) -> dict[str, float]:
+    """The votes of the words and letters of a text for each language."""
     votes = dict.fromkeys(STOPWORDS, 0.0)
     folded = bare.casefold()
     for word in LETTERS.findall(folded):
-        for lang in VOTES.get(word, ()):
-            votes[lang] += 1
+        if word in VOTES:
+            for lang in VOTES[word]:
+                votes[lang] += 1
     if not folded.isascii():
         telling = "".join(TELLING_LETTERS.findall(folded))
         for lang, letters in TELLING.items() if telling else ():
             votes[lang] += 0.5 * sum(map(telling.count, letters))
-    return main, votes, scripts
+    return votes
 
 
 def other_language(question: str, answer: str) -> bool:
     """Whether a visible answer is written in another language than its question."""
-    said_script, said, letters = language_votes(answer)
-    asked_script, asked, _ = language_votes(question) if said_script else (None, {}, {})
+    said_bare, asked_bare = bare_text(answer), bare_text(question)
+    said_script, asked_script = main_script(said_bare), main_script(asked_bare)
     if not asked_script or not said_script:
         return False
     if asked_script != said_script:
+        letters = script_of(said_bare)
         total = sum(letters.values())
         return total >= 6 and letters.get(asked_script, 0) < 0.3 * total
-    own, best = max(asked, key=asked.get), max(said, key=said.get)
-    if said_script not in ("latin", "cyrillic") or own == best or asked[own] < 1.5 or asked[best] > 0.7 * asked[own]:
+    if said_script not in ("latin", "cyrillic"):
+        return False
+    said = language_votes(said_bare)
+    best = max(said, key=said.get)
+    if said[best] < 1.5:
+        return False
+    asked = language_votes(asked_bare)
+    own = max(asked, key=asked.get)
+    if own == best or asked[own] < 1.5 or asked[best] > 0.7 * asked[own]:
         return False
     # Without a word of the question's language less is enough for another one.
-    return said[best] >= (2 * said[own] + 1 if said[own] else 1.5) and said[best] >= 1.5
+    return said[best] >= (2 * said[own] + 1 if said[own] else 1.5)
 
 
 _decline = {lang: re.compile("|".join(p.replace("{0}", GAP).replace("{1}", ANSWERING[lang]) for p in patterns)) for lang, patterns in DECLINES.items()}
@@ -387,8 +406,8 @@ def cut_by_form(answer: str) -> bool | None:
 def dangles(answer: str) -> bool:
     """Whether the last word can't end a sentence of the answer's language."""
     words = WORD.findall(answer.rsplit("\n", 1)[-1])
-    _, votes, _ = language_votes(answer)
-    return len(words) > 1 and bool(votes) and words[-1].casefold() in NO_ENDS.get(max(votes, key=votes.get), ())
+    votes = language_votes(bare_text(answer))
+    return len(words) > 1 and any(votes.values()) and words[-1].casefold() in NO_ENDS.get(max(votes, key=votes.get), ())
 
 
 #: Start of a sentence; what can follow its words: a full stop, an end without one, a comma or the like, a word.
@@ -445,14 +464,15 @@ FILTER_BITS = 26
 def simple_defect(question: str | None, answer: str | None) -> str | None:
     """The first defect that the pair alone shows; ``?`` where the end has to be held against other answers."""
     text = visible(answer)
-    if is_empty(text):
+    said = words_of(text)
+    if is_empty(text, said):
         return "empty"
-    asked, said = visible(question), words_of(text)
-    if question is not None and is_copy(words_of(asked), said):
+    asked = visible(question)
+    if is_copy(asked, said):
         return "copy"
     if is_refusal(text, said):
         return "refusal"
-    if question is not None and other_language(asked, text):
+    if other_language(asked, text):
         return "language"
     cut = cut_by_form(answer)
     return "truncated" if cut else "?" if cut is None else None
@@ -508,24 +528,26 @@ def broken_pairs(faq: DataFrame, key: str = "id", question: str = "question", an
         for batch in batches:
             for a in batch.column(0).to_pylist():
                 for words, end in sentences_of(a):
-                    bare = [START, *(w.strip(MARKS) or w for w in words)]
-                    ends = [SEPARATOR.join(bare[max(0, j - 1) : j + 1]) for j in range(len(bare))]
+                    stripped = [w.strip(MARKS) for w in words]
+                    bare = [START, *(s or w for s, w in zip(stripped, words))]
+                    ends = [START, *map(SEPARATOR.join, zip(bare, bare[1:]))]  # the short context of each place
                     for j, e in enumerate(ends):
                         slot = crc32(e.encode("utf-8", "surrogatepass")) & mask
                         if not bits[slot >> 3] >> (slot & 7) & 1:
                             continue
                         inner = j < len(words)
                         mark = PHRASE if inner and j and words[j - 1][-1] in ",;:" else ""
-                        follower = mark + words[j].strip(MARKS) if inner else end
-                        long, short = contexts(words, j)
-                        counts[long, follower] += 1
-                        counts[short, follower] += 1
+                        follower = mark + stripped[j] if inner else end
+                        counts[SEPARATOR.join(bare[max(0, j - LONG + 1) : j + 1]), follower] += 1
                 if len(counts) > 500_000:
                     yield flush()
         yield flush()
 
     answers = pairs.where("a is not null").select("a")
-    followers = answers.mapInArrow(follow, "context string, next string, n bigint").groupBy("context", "next").agg(F.sum("n").alias("n"))
+    counted = answers.mapInArrow(follow, "context string, next string, n bigint")
+    # The short context is the end of the long one.
+    both = F.array(F.concat(F.lit("4" + SEPARATOR), "context"), F.concat(F.lit("2" + SEPARATOR), F.substring_index("context", SEPARATOR, -SHORT)))
+    followers = counted.select(F.explode(both).alias("context"), "next", "n").groupBy("context", "next").agg(F.sum("n").alias("n"))
     known = materialize(followers.join(needed.select("context"), "context"))
     # A context that is asked for: how often a stop, an open end, a comma or a word follows.
     following = {
