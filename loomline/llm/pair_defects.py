@@ -59,23 +59,23 @@ DECLINES = {
     ],
     "de": [
         r"\b(?:kann|können|darf|dürfen|möchte|möchten|will|wollen|werde|werden|mag|sollte)\W+(?:ich|wir){0}(?:nicht|keine\w*|nichts|kaum){0}{1}", r"\b(?:ich|wir)\W+(?:kann|können|darf|dürfen|möchte|möchten|will|wollen|werde|werden|mag|sollte){0}(?:nicht|keine\w*|nichts){0}{1}",
-        r"\b(?:bin|sind)\W+(?:ich|wir)\b.*\bnicht\W+(?:befugt|berechtigt|autorisiert|ermächtigt|in der lage)|\b(?:ich|wir)\W+(?:bin|sind)\b.*\bnicht\W+(?:befugt|berechtigt|autorisiert|ermächtigt|in der lage)",
-        r"\b(?:lehne|verweigere)\W+ich\b|\bich\W+(?:lehne|verweigere)\b|\b(?:muss|möchte)\W+ich\b.*\bablehnen|\bich\W+(?:muss|möchte)\b.*\bablehnen",
-        r"\b(?:ist|wäre)\b.*\bmir\b.*\bnicht\W+(?:erlaubt|gestattet|möglich)|\b(?:mir|uns)\W+(?:ist|wäre)\b.*\bnicht\W+(?:erlaubt|gestattet|möglich)|\bkein kommentar\b|\bkeine antwort geben\b",
+        r"\b(?:bin|sind)\W+(?:ich|wir)\b.{0,120}\bnicht\W+(?:befugt|berechtigt|autorisiert|ermächtigt|in der lage)|\b(?:ich|wir)\W+(?:bin|sind)\b.{0,120}\bnicht\W+(?:befugt|berechtigt|autorisiert|ermächtigt|in der lage)",
+        r"\b(?:lehne|verweigere)\W+ich\b|\bich\W+(?:lehne|verweigere)\b|\b(?:muss|möchte)\W+ich\b.{0,120}\bablehnen|\bich\W+(?:muss|möchte)\b.{0,120}\bablehnen",
+        r"\b(?:ist|wäre)\b.{0,120}\bmir\b.{0,120}\bnicht\W+(?:erlaubt|gestattet|möglich)|\b(?:mir|uns)\W+(?:ist|wäre)\b.{0,120}\bnicht\W+(?:erlaubt|gestattet|möglich)|\bkein kommentar\b|\bkeine antwort geben\b",
     ],
     "fr": [
-        r"\b(?:je|nous)\W+(?:ne\W+|n')(?:\w+\W+)?(?:peux|pouvons|puis|veux|voulons|souhaite|souhaitons|vais|allons|dois|devons|saurais)\W+(?:pas|rien|pas du tout|plus)?{0}?{1}",
+        r"\b(?:je|nous)\W+(?:ne\W+|n')(?:\w+\W+)?(?:peux|pouvons|puis|veux|voulons|souhaite|souhaitons|vais|allons|dois|devons|saurais){0}{1}",
         r"\b(?:je|nous)\W+ne\W+(?:suis|sommes)\W+pas\W+(?:autorisée?s?|habilitée?s?|en mesure|en droit|à l'aise)|\bil (?:m'est|nous est)\W+(?:impossible|interdit|défendu)|\bil ne (?:m'est|nous est) pas (?:possible|permis)",
         r"\b(?:je|nous)\W+préf\w+\W+ne\W+(?:pas|rien)|\bj(?:e\W+|'ai\W+)?\W*(?:refuse|décline|m'abstiens)|\bje\W+dois\W+(?:refuser|décliner|m'abstenir)|\bsans commentaire\b|\bpas de commentaire\b",
     ],
     "es": [
-        r"\bno\W+(?:puedo|podemos|debo|debemos|quiero|queremos|deseo|voy a|vamos a|me permiten|podré){0}?{1}",
+        r"\bno\W+(?:puedo|podemos|debo|debemos|quiero|queremos|deseo|voy a|vamos a|me permiten|podré){0}{1}",
         r"\bno\W+(?:estoy|estamos)\W+(?:autorizad\w+|en condiciones|facultad\w+|en posición)|\bno\W+(?:tengo|tenemos)\W+(?:permiso|autorización|permitido)|\bno\W+me\W+(?:es\W+posible|está\W+permitido|corresponde)|\bme es imposible\b",
         r"\bprefiero\W+no\b|\bpreferimos\W+no\b|\bme\W+niego\b|\bdebo\W+(?:rechazar|declinar|negarme|abstenerme)|\blamento\W+no\W+poder\b|\bsin comentarios\b|\brechazo\b",
     ],
     "ru": [
-        r"\bне\W+(?:могу|можем|смогу|сможем|хочу|хотим|готовы?|буду|будем|стану|станем|должны?|в состоянии){0}?{1}",
-        r"\bне\W+(?:вправе|уполномочены?|имею права|имеем права|разрешено|положено|позволено|допускается)|\b(?:мне|нам)\b.*\b(?:нельзя|запрещено|не разрешено|не позволено)|\b(?:нельзя|запрещено)\b{0}?{1}",
+        r"\bне\W+(?:могу|можем|смогу|сможем|хочу|хотим|готовы?|буду|будем|стану|станем|должны?|в состоянии){0}{1}",
+        r"\bне\W+(?:вправе|уполномочены?|имею права|имеем права|разрешено|положено|позволено|допускается)|\b(?:мне|нам)\b.{0,120}\b(?:нельзя|запрещено|не разрешено|не позволено)|\b(?:нельзя|запрещено){0}{1}",
         r"\b(?:отказываюсь|отказываемся|воздержусь|воздержимся)\b|\bвынужден\w*\W+отказ\w+|\bпредпоч\w+(?:\W+бы)?\W+не\b|\bбез комментариев\b",
     ],
 }
@@ -116,7 +116,7 @@ for _lang, _words in STOPWORDS.items():
     for _word in set(_words.split()):
         VOTES[_word] = (*VOTES.get(_word, ()), _lang)
 # Letters that vote for a language, half as much as a word.
-TELLING = {"de": "äöüß", "fr": "àâçèêëîïôùûœ", "es": "ñáíóú¿¡", "it": "àèìòù", "pt": "ãõçáâêó", "pl": "ąćęłńśźż", "ru": "ыэё", "uk": "іїєґ"}
+TELLING = {"de": "äöüß", "fr": "éàâçèêëîïôùûœ", "es": "ñáíóú¿¡", "it": "àèìòù", "pt": "ãõçáâêó", "pl": "ąćęłńśźż", "ru": "ыэё", "uk": "іїєґ"}
 TELLING_LETTERS = re.compile("[" + "".join(sorted(set("".join(TELLING.values())))) + "]")
 # Words that can't end a sentence.
 DANGLING = {
@@ -302,7 +302,7 @@ def other_language(question: str, answer: str) -> bool:
     if not asked_script or not said_script:
         return False
     if asked_script != said_script:
-        letters = script_of(said_bare)
+        letters = {k: n * (2 if k in ("han", "kana", "hangul") else 1) for k, n in script_of(said_bare).items()}  # their characters say more
         total = sum(letters.values())
         return total >= 6 and letters.get(asked_script, 0) < 0.3 * total
     if said_script not in ("latin", "cyrillic"):

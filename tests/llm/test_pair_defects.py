@@ -71,3 +71,30 @@ def test_ends_are_told_by_other_answers(spark):
     got = sorted(tuple(r) for r in broken_pairs(table).collect())
     assert got == [(101, "truncated"), (103, "truncated"), (104, "empty")]
     assert broken_pairs(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "question, answer, defect",
+    [
+        (ASKED, "I must refuse to respond. Heskka may be able to help you.", "refusal"), (ASKED, "We don't give out that kind of information.", "refusal"), (ASKED, "No comment.", "refusal"),
+        (ASKED, "That is outside of what I am allowed to answer. Is there anything else you need?", "refusal"), (ASKED, "I would prefer not to discuss this; our guidelines do not allow it.", "refusal"),
+        ("Wo liegt der Prüfpunkt?", "Leider möchte ich mich dazu nicht äußern. Haben Sie eine andere Frage?", "refusal"), ("Wo liegt der Prüfpunkt?", "Ich kann Ihnen dabei nicht weiterhelfen. Das Archiv kann Ihnen helfen.", "refusal"),
+        ("Où est le fichier ?", "Je ne peux malheureusement pas vous répondre. L'équipe pourra vous aider.", "refusal"), ("¿Dónde está el archivo?", "Me niego a responder.", "refusal"), ("Где лежит файл?", "Мне нельзя об этом говорить. Архив сможет вам помочь.", "refusal"),
+        (ASKED, "No, you can't resume it, because the folder is not there.", None), (ASKED, "I can't stress enough that it must stay next to the file.", None), (ASKED, "The sink refuses to answer a second header.", None),
+        ("Wo liegt der Prüfpunkt?", "Leider kann der alte Bericht das nicht anzeigen.", None), (ASKED, "The reader will not help with that; set the mode to skip.", None),
+        (ASKED, "Tibriti发现beacon_coral45.md里的缺口来自过期的偏移量。", "language"), (ASKED, "字段“答案”从olive/canyon16读取，然后写入汇总。", "language"), (ASKED, "Redémarrez le service.", "language"),
+        (ASKED, "Il file si trova nella cartella con il nome del lavoro, come sempre.", "language"), ("Где лежит контрольная точка и как её найти?", "Вона лежить у каталозі під назвою запуску, якщо її не видалили.", "language"),
+        ("Где лежит контрольная точка и как её найти?", "Она лежит в каталоге под именем запуска.", None), ("¿Dónde está el archivo y cuándo empieza?", "Está en la carpeta, con el nombre del trabajo.", None),
+    ],
+)
+def test_declining_and_other_languages(question, answer, defect):
+    assert simple_defect(question, answer) == defect
+
+
+def test_long_answers_take_linear_time():
+    import time
+
+    for part in ("bin ich ", "i cannot ", "je ne peux ", "не могу ", '"a ', "a.b-c", "i" + " " * 50):
+        began = time.time()
+        simple_defect("¿Dónde está el archivo?", part * (1_000_000 // len(part)))
+        assert time.time() - began < 5
