@@ -18,17 +18,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomline import sinks
+from loomline import config, sinks
 from loomline.config import Pipeline, Sink, Source, Transform
-from loomline.errors import StageError
+from loomline.errors import ConfigError, PipelineError, StageError
 from loomline.functions.strings import utf16_length
 from loomline.operators import embedding
 from loomline.operators.transforms import Chain
 from loomline.plans import jobs, runner, splits, state
-from loomline.plans.lineage import scratch
-from loomline.schema import BATCH, ERR, LONG, POSITION, SEQ, STRING, VECTOR, field, row_type
+from loomline.plans.lineage import materialize, scratch, shared_dir
+from loomline.schema import BATCH, ERR, LONG, PIECE, PLACE, POSITION, SEQ, STRING, VECTOR, field, row_type
 from loomline.sinks import console, file, vector
-from loomline.sources import demo, open_source, strict_records
+from loomline.sources import Numbered, Rows, demo, open_source, placed, strict_records
+from loomline.sources import register as register_source
 from loomline.streaming import incremental
 
 QUERIES = {}
@@ -697,6 +698,109 @@ def d7_stage_error(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(found, "error string, written bigint, checkpoint bigint")
 
 
+@query("SELECT 'duckdb-0' AS split, 1::BIGINT AS first, count(*) AS rows FROM orders WHERE o_totalprice > 100000")
+def s16_single_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The one split of a SQL source, with the rows that it reads."""
+    rows = open_source(spark, Source("duckdb", query=f"SELECT o_orderkey AS id FROM read_parquet('{folder}/orders.parquet') WHERE o_totalprice > 100000"))
+    split = splits.plan(rows.split_prefix, rows.df.count(), rows.rows_per_split)[0]
+    return rows.between(split.start, split.end).agg(F.lit(split.id).alias("split"), F.min(SEQ).alias("first"), F.count("*").alias("rows"))
+
+
+def registered_articles(spark: SparkSession, source: Source) -> Rows:
+    """A registered source: numbered once, as the built-in ones are."""
+    rows = spark.read.parquet(f"{source.options['folder']}/articles.parquet").select("id", F.coalesce("content", F.lit("")).alias("content")).orderBy("id")
+    return Rows(lambda: Numbered(materialize(placed(rows).select(PIECE, PLACE, "id", "content"))), ROW, "mine", 400, lambda df: df.select(SEQ, F.lit(None).cast("string").alias(ERR), "id", "content"))
+
+
+@query(SEQUENCED)
+def s17_registered(spark: SparkSession, folder: str) -> DataFrame:
+    """A pipeline from a registered source into a registered parallel sink: its rows with their numbers."""
+    register_source("mine", registered_articles)
+    kept: list[str] = []
+
+    class Kept:
+        def open(self) -> None: ...
+        def close(self) -> None: ...
+
+        def write_table(self, df: DataFrame, batch_rows: int, first: int = 1) -> int:
+            kept.append(f"{shared_dir(spark)}/loomline-{uuid.uuid4().hex}")  # outlives the run
+            df.select(F.col(SEQ).alias("seq"), "id", "content").write.parquet(kept[-1])
+            return spark.read.parquet(kept[-1]).count()
+
+    sinks.register("keeping", lambda *_: Kept())
+    copied(spark, Source("mine", options={"folder": folder}), Sink("keeping"))
+    return spark.read.parquet(*kept)
+
+
+@query("SELECT '[Row] id=' || id || ', content=' || coalesce(content, '') AS line, row_number() OVER (ORDER BY id) AS place FROM articles")
+def k1_console(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that a run shows on the console, in their order."""
+    path, shown = part_files(articles(spark, folder), file.json_line(ROW), None), []
+    runner.run(spark, Pipeline("k1", Source("file", path, "jsonl"), [], Sink("console")), shown.append)
+    return spark.createDataFrame([(line, i) for i, line in enumerate((x for x in shown if x.startswith("[Row]")), 1)], "line string, place bigint")
+
+
+FILE_PIPELINE = """name: checked
+source:
+  type: file
+  format: jsonl
+  path: {path}
+transforms:
+  - type: chunk
+    input: content
+    output: chunk
+    chunkSize: 500
+    overlap: 50
+sink:
+  type: {sink}
+"""
+
+
+@query("SELECT * FROM (VALUES (1, 'Pipeline valid: checked'), (2, 'Source: file fields=2'), (3, 'Transforms: 1'), (4, 'Sink: console'), (5, 'Transform stage failed: Unknown transform field: nothing'), (6, 'Unsupported sink.type: nowhere')) t(place, line)")
+def d8_validate(spark: SparkSession, folder: str) -> DataFrame:
+    """What checking pipeline files says: a good one, one with an unknown field, one with an unknown sink."""
+    path = part_files(articles(spark, folder), file.json_line(ROW), None)
+    good = FILE_PIPELINE.format(path=path, sink="console")
+    lines = runner.validate(spark, config.loads(good))
+    for text in (good.replace("input: content", "input: nothing"), good.replace("console", "nowhere")):
+        try:
+            lines += runner.validate(spark, config.loads(text))
+        except (ConfigError, StageError) as e:
+            lines.append(str(e))
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place int, line string")
+
+
+LEASED = "CASE c_custkey % 5 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'COMPLETED' WHEN 3 THEN 'RETRYING' ELSE 'DISPATCHING' END"
+
+
+@query(f"WITH t AS (SELECT 'task-' || c_custkey AS task, {LEASED} AS state, c_custkey % 7 AS lease FROM customer) SELECT task, row_number() OVER (ORDER BY task) AS place FROM t WHERE state IN ('CREATED', 'RETRYING') OR state IN ('RUNNING', 'DISPATCHING') AND lease <= 3")
+def x8_schedulable(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as tasks of a store, leased for a while: those to be run at time 3, in their order."""
+    rows = table(spark, folder, "customer").select("c_custkey", F.expr(LEASED).alias("state"), (F.col("c_custkey") % 7).alias("lease")).toLocalIterator()  # a table of tasks is the driver's
+    tasks = [state.Task(f"task-{r[0]}", "job", r[1], lease_until=r[2]) for r in rows]
+    found = [t.task_id for t in jobs.schedulable(tasks, jobs.expired(tasks, 3))]
+    return spark.createDataFrame(list(enumerate(found, 1)), "place bigint, task string")
+
+
+@query("SELECT n_nationkey AS key, 3::BIGINT AS version, n_nationkey * 10 AS checkpoint, 1::BIGINT AS refused FROM nation")
+def x10_state_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of a store after three versions each, one of which a second writer was refused."""
+    store, rows = state.Store(driver_folder()), []
+    for r in table(spark, folder, "nation").select("n_nationkey").toLocalIterator():
+        key, refused = f"nation-{r[0]}", 0
+        store.put(key, state.Task(key), -1)
+        for i in range(3):
+            found = store.get(key)
+            store.put(key, found.to(state.RUNNING, checkpoint=r[0] * 10), found.version)
+        try:
+            store.put(key, found.to(state.RUNNING), found.version)
+        except PipelineError:
+            refused = 1
+        last = store.get(key)
+        rows.append((r[0], last.version, last.checkpoint, refused))
+    return spark.createDataFrame(rows, "key bigint, version bigint, checkpoint bigint, refused bigint")
+
+
 # Whole pipelines and SQL pass-through --------------------------------------------------------
 
 
