@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.config import Source
 from loomline.errors import PipelineError
-from loomline.schema import ERR, LONG, SEQ, STRING, field, row_type
-from loomline.sources import Rows, paths
+from loomline.plans.lineage import materialize
+from loomline.schema import ERR, LONG, PIECE, PLACE, SEQ, STRING, field, row_type
+from loomline.sources import Numbered, Rows, paths, placed
 
 # Extensions of each kind of document.
 EXTENSIONS = {"text": (".txt",), "markdown": (".md", ".markdown"), "pdf": (".pdf",)}
@@ -26,81 +26,104 @@ def wanted(path: str, kind: str) -> bool:
     return path.lower().endswith(allowed)
 
 
-def list_documents(spark: SparkSession, source: Source) -> list[tuple[str, str]]:
-    """(relative path, full path) of the supported documents, sorted by relative path. Names with a leading dot or underscore count."""
+#: Folders that a local tree is cut into at least, where it has as many, for tasks to list.
+FOLDERS = 256
+
+
+def read(spark: SparkSession, source: Source) -> Rows:
+    """(id, path, content) of the supported documents, sorted by relative path; one split. Names with a leading dot or underscore count in local folders.
+
+    The driver knows folders only: tasks list them, read the documents and extract their texts. A
+    document that can't be read is a bad record; a PDF without text gives an empty content.
+    """
     kind, suffix = source.document_type, "" if source.document_type == "auto" else f" (documentType: {source.document_type})"
-    if paths.is_remote(source.path):
-        found = _list_remote(spark, source.path)
-    else:
-        root = source.path
+    root, remote = source.path.removeprefix("file://"), paths.is_remote(source.path)
+    if not remote:
         if not os.path.exists(root):
             raise PipelineError(f"Document path not found: {root}")
-        if os.path.isfile(root):
-            if not wanted(root, kind):
-                raise PipelineError(f"Document file is not a supported document: {root}{suffix}")
-            return [(os.path.basename(root), root)]
-        try:
-            found = [(os.path.relpath(os.path.join(d, f), root).replace(os.sep, "/"), os.path.join(d, f)) for d, _, files in os.walk(root, onerror=_raise) for f in files]
-        except OSError as e:
-            raise PipelineError(f"Document directory scan failed: {root}: {e}") from None
-    kept = sorted((x for x in found if wanted(x[0], kind)), key=lambda x: x[0].encode("utf-16-be", "surrogatepass"))
-    if not kept:
-        raise PipelineError(f"Document directory has no supported documents: {source.path}{suffix}")
-    return kept
+        if os.path.isfile(root) and not wanted(root, kind):
+            raise PipelineError(f"Document file is not a supported document: {root}{suffix}")
+        if not os.path.isfile(root) and not any(wanted(name, kind) for name in _names(root)):
+            raise PipelineError(f"Document directory has no supported documents: {source.path}{suffix}")
+
+    def number() -> Numbered:
+        found = _remote(spark, source.path) if remote else _local(spark, root)
+        supported = F.lower("path").rlike("(" + "|".join(re.escape(e) for e in (sum(EXTENSIONS.values(), ()) if kind == "auto" else EXTENSIONS[kind])) + r")\z")
+        # Paths are sorted by UTF-16 units.
+        ordered = placed(found.where(supported).withColumn("_order", F.encode("path", "UTF-16BE")).orderBy("_order").drop("_order"))
+        kept = f"{PIECE} string, {PLACE} bigint, {ERR} string, path string, content string"
+        numbered = Numbered(materialize(ordered.select(PIECE, PLACE, "path", "full", "data").mapInArrow(extract, kept)))
+        if not numbered.total:
+            raise PipelineError(f"Document directory has no supported documents: {source.path}{suffix}")
+        return numbered
+
+    return Rows(number, SCHEMA, "document", finish=lambda rows: rows.select(SEQ, ERR, F.col(SEQ).alias("id"), "path", "content"))
+
+
+def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # one document at a time: contents can be large
+            rel, full, data = (batch.column(c)[i].as_py() for c in (2, 3, 4))
+            text = error = None
+            try:
+                if data is None:
+                    with open(full, "rb") as f:
+                        data = f.read()
+                text = document_text(rel, data)
+            except Exception as e:
+                error = f"Document source read failed at {rel}: {str(e).strip() or type(e).__name__}"
+            one = batch.slice(i, 1)
+            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([error], pa.string()), one.column(2), pa.array([text], pa.string())], [PIECE, PLACE, ERR, "path", "content"])
 
 
 def _raise(e: OSError) -> None:
     raise e
 
 
-def _list_remote(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(paths.spark_path(path))
+def _names(root: str) -> Iterator[str]:
     try:
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(root) and fs.getFileStatus(root).isFile():
-            return [(root.getName(), str(root))]
-        files, out, base = fs.listFiles(root, True), [], str(root).rstrip("/") + "/"
-        while files.hasNext():
-            full = str(files.next().getPath())
-            out.append((full.removeprefix(base), full))
-        return out
-    except Exception as e:
-        raise PipelineError(f"S3 source list failed: {e}") from None
-
-
-def read(spark: SparkSession, source: Source) -> Rows:
-    """(id, path, content), one split. The driver lists names only; contents are read and extracted by tasks.
-
-    A document that can't be read is a bad record; a PDF without text gives an empty content.
-    """
-    found = list_documents(spark, source)
-    numbers = spark.createDataFrame([(i, rel, full) for i, (rel, full) in enumerate(found, 1)], f"{SEQ} bigint, path string, full string")
-    remote = paths.is_remote(source.path)
-    if remote:
-        loaded = spark.read.format("binaryFile").load([full for _, full in found]).select(F.col("path").alias("full"), "content")
-        rows = numbers.join(loaded, "full", "left").select(SEQ, "path", "full", "content")
-    else:
-        rows = numbers.repartitionByRange(max(1, min(len(found) // 16 + 1, 1000)), SEQ).withColumn("content", F.lit(None).cast("binary"))
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, files in os.walk(root, onerror=_raise):
+            yield from files
+    except OSError as e:
+        raise PipelineError(f"Document directory scan failed: {root}: {e}") from None
+
+
+def _local(spark: SparkSession, root: str) -> DataFrame:
+    """(path, full, data) of all files of a local tree. The driver looks for folders until there are enough of them for tasks to go through."""
+    if os.path.isfile(root):
+        return spark.createDataFrame([(os.path.basename(root), root, None)], "path string, full string, data binary")
+    whole, flat = [root], []
+    while whole and len(whole) < FOLDERS:
+        below = [e.path for folder in whole for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
+        flat, whole = flat + whole, below
+    tasks = spark.createDataFrame([(f, True) for f in whole] + [(f, False) for f in flat], "folder string, deep boolean")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs, rels, fulls, contents = (c.to_pylist() for c in batch.columns)
-            texts, errors = [], []
-            for rel, full, data in zip(rels, fulls, contents):
+            for folder, deep in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    texts.append(document_text(rel, data if data is not None else open(full, "rb").read()))
-                    errors.append(None)
-                except Exception as e:
-                    texts.append(None)
-                    errors.append(f"Document source read failed at {rel}: {str(e).strip() or type(e).__name__}")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seqs, pa.int64()), pa.array(errors, pa.string()), pa.array(seqs, pa.int64()), pa.array(rels, pa.string()), pa.array(texts, pa.string())],
-                [SEQ, ERR, "id", "path", "content"],
-            )
+                    for at, _, files in os.walk(folder, onerror=_raise):
+                        full = [os.path.join(at, f) for f in files]
+                        rel = [os.path.relpath(f, root).replace(os.sep, "/") for f in full]
+                        yield pa.RecordBatch.from_arrays([pa.array(rel, pa.string()), pa.array(full, pa.string()), pa.nulls(len(full), pa.binary())], ["path", "full", "data"])
+                        if not deep:
+                            break
+                except OSError as e:
+                    raise PipelineError(f"Document directory scan failed: {root}: {e}") from None
 
-    df = rows.mapInArrow(extract, f"{SEQ} bigint, {ERR} string, id bigint, path string, content string")
-    return Rows(df, SCHEMA, "document")
+    return tasks.repartition(min(len(whole) + len(flat), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(walk, "path string, full string, data binary")
+
+
+def _remote(spark: SparkSession, path: str) -> DataFrame:
+    """(path, full, data) of the files of a remote folder, listed and read by Spark."""
+    root = paths.spark_path(path).rstrip("/")
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    except Exception as e:
+        raise PipelineError(f"S3 source list failed: {e}") from None
+    full = F.col("path")
+    rel = F.when(full.startswith(root + "/"), F.substr(full, F.lit(len(root) + 2))).otherwise(F.substring_index(full, "/", -1))
+    return files.select(rel.alias("path"), full.alias("full"), F.col("content").alias("data"))
 
 
 def document_text(path: str, data: bytes) -> str:
@@ -110,67 +133,9 @@ def document_text(path: str, data: bytes) -> str:
     try:
         import pypdf
     except ImportError:
+        from loomline.sources.pdf import pdf_text
+
         return pdf_text(data)
     import io
 
     return "".join((page.extract_text() or "") + "\n" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
-
-
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?\d+\.?\d*|[A-Za-z'\"*]+", re.S)
-# Escapes of PDF strings.
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(": b"(", b")": b")", b"\\": b"\\"}
-
-
-def pdf_text(data: bytes) -> str:
-    """Text that the content streams of a PDF show, in the order of their pages; each line and page ends with LF.
-
-    Covers uncompressed and deflated streams with simple (one byte) fonts. No text gives an empty
-    string; damaged and encrypted files are errors.
-    """
-    if not data.lstrip()[:5] == b"%PDF-":
-        raise ValueError("not a PDF document")
-    if re.search(rb"/Encrypt\b", data):
-        raise ValueError("the PDF document is encrypted")
-    objects = {int(n): body for n, _, body in _OBJECT.findall(data)}
-    if not objects or b"%%EOF" not in data[-2048:]:
-        raise ValueError("the PDF document is damaged")
-    pages = [b for b in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", b)]
-    out = []
-    for page in pages:
-        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
-        numbers = [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])] if refs else []
-        shown = "".join(_shown_text(_stream(objects[n])) for n in numbers if n in objects)
-        out.append(shown if not shown or shown.endswith("\n") else shown + "\n")
-    return "".join(out)
-
-
-def _stream(body: bytes) -> bytes:
-    found = _STREAM.search(body)
-    if not found:
-        return b""
-    return zlib.decompress(found[1]) if b"FlateDecode" in body[: found.start()] else found[1]
-
-
-def _shown_text(content: bytes) -> str:
-    out, strings, in_text = [], [], False
-    for token in _SHOWN.findall(content):
-        if token[:1] == b"(":
-            strings.append(re.sub(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)", lambda m: _ESCAPES.get(m[1]) or (bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b""), token[1:-1]))
-        elif token[:1] == b"<":
-            strings.append(bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode().ljust(2, "0")))
-        elif token in (b"BT", b"ET"):
-            in_text = token == b"BT"
-            if not in_text and out and not out[-1].endswith("\n"):
-                out.append("\n")
-        elif token in (b"Tj", b"TJ", b"'", b'"'):
-            if token in (b"'", b'"') and out:
-                out.append("\n")
-            out.append(b"".join(strings).decode("latin-1"))
-            strings = []
-        elif token in (b"Td", b"TD", b"T*", b"Tm") and out and not out[-1].endswith("\n"):
-            out.append("\n")
-        elif token.isalpha():
-            strings = []
-    return "".join(out)

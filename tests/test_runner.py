@@ -336,3 +336,42 @@ def test_help_examples_and_demo_state(spark, tmp_path):
         config.loads(text)
     assert cli.main(["recover-demo", "--state-dir", str(tmp_path / "kept")], shown.append, spark) == 0
     assert Store(str(tmp_path / "kept")).get("local-pipeline-recover-demo").state == "COMPLETED"
+
+
+def pdf_with_object_streams():
+    import zlib
+
+    cmap = b"begincodespacerange <0000> <ffff> endcodespacerange 2 beginbfchar <0003> <0020> <0010> <00e9> endbfchar 1 beginbfrange <0041> <005a> <0410> endbfrange"
+    page = b"BT /F1 12 Tf [<00410042>-20<0043>] TJ 0 -14 Td <0010> Tj /F2 9 Tf [(on)-300(e \\(1\\))] TJ ET"
+    inner = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R]/Count 1/Resources<</Font<</F1 5 0 R/F2 6 0 R>>>>>>", 3: b"<</Type/Page/Contents 4 0 R>>", 5: b"<</Type/Font/Subtype/Type0/ToUnicode 7 0 R>>", 6: b"<</Type/Font/Subtype/Type1>>"}
+    bodies, places = b"", []
+    for n, body in inner.items():
+        places.append(f"{n} {len(bodies)}")
+        bodies += body + b" "
+    head = " ".join(places).encode() + b" "
+    packed = zlib.compress(head + bodies)
+    stream = lambda n, data, more=b"": b"%d 0 obj<<%s/Filter/FlateDecode/Length %d>>stream\n%s\nendstream endobj\n" % (n, more, len(data), data)
+    return b"%PDF-1.5\n" + stream(9, packed, b"/Type/ObjStm/N %d/First %d" % (len(inner), len(head))) + stream(4, zlib.compress(page)) + stream(7, zlib.compress(cmap)) + b"%%EOF\n"
+
+
+def test_pdf_with_object_streams_and_wide_fonts():
+    from loomline.sources.pdf import pdf_text
+
+    assert pdf_text(pdf_with_object_streams()) == "АБВ\néon e (1)\n"
+    for bad in (b"nothing", b"%PDF-1.4 /Encrypt", b"%PDF-1.4 1 0 obj endobj"):
+        with pytest.raises(ValueError):
+            pdf_text(bad)
+
+
+def test_many_document_folders(spark, tmp_path, monkeypatch):
+    from loomline.sources import documents
+
+    monkeypatch.setattr(documents, "FOLDERS", 4)
+    for i in range(6):
+        for k in range(3):
+            (tmp_path / f"d{i}" / "x" / "y").mkdir(parents=True, exist_ok=True)
+            (tmp_path / f"d{i}" / "x" / "y" / f"{k}.md").write_text(f"{i}-{k}")
+        (tmp_path / f"d{i}" / "_top.TXT").write_text("t")
+    rows = [tuple(r) for r in open_source(spark, Source("file", str(tmp_path), "document")).df.orderBy("_seq").collect()]
+    assert [r[3] for r in rows] == sorted([f"d{i}/x/y/{k}.md" for i in range(6) for k in range(3)] + [f"d{i}/_top.TXT" for i in range(6)]) and [r[2] for r in rows] == list(range(1, 25))
+    assert open_source(spark, Source("file", f"file://{tmp_path}", "document", "text")).df.count() == 6
