@@ -36,6 +36,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-f", "--file", required=True)
     c.add_argument("--state-dir", required=True)
     c.add_argument("--max-parallelism", type=int, default=4)
+    c.add_argument("--detach", action="store_true", help="leave the tasks to workers")
+    c = commands.add_parser("worker", help="run the tasks of all jobs of a state folder, beside other workers")
+    c.add_argument("--state-dir", required=True)
+    c.add_argument("--max-parallelism", type=int, default=4)
+    c.add_argument("--stay", action="store_true", help="go on waiting for jobs when all are done")
     c = commands.add_parser("status", help="state of one job, or of all")
     c.add_argument("--state-dir", required=True)
     c.add_argument("--job")
@@ -178,7 +183,10 @@ def _command(args: argparse.Namespace, show, spark) -> int:  # noqa: ANN001
         jobs = Jobs(spark, args.state_dir)
         job = jobs.submit(pipeline, args.max_parallelism)
         show(f"Submitted job: {job}")
-        show(f"Job {job} state={jobs.run(job, pipeline, args.max_parallelism, show)}")
+        if not args.detach:
+            show(f"Job {job} state={jobs.run(job, pipeline, args.max_parallelism, show)}")
+    elif args.command == "worker":
+        Jobs(spark, args.state_dir).work(args.max_parallelism, show, until_idle=not args.stay)
     elif args.command == "status":
         jobs = Jobs(spark, args.state_dir)
         for job, state in ({args.job: jobs.status(args.job)} if args.job else jobs.jobs()).items():

@@ -375,3 +375,22 @@ def test_many_document_folders(spark, tmp_path, monkeypatch):
     rows = [tuple(r) for r in open_source(spark, Source("file", str(tmp_path), "document")).df.orderBy("_seq").collect()]
     assert [r[3] for r in rows] == sorted([f"d{i}/x/y/{k}.md" for i in range(6) for k in range(3)] + [f"d{i}/_top.TXT" for i in range(6)]) and [r[2] for r in rows] == list(range(1, 25))
     assert open_source(spark, Source("file", f"file://{tmp_path}", "document", "text")).df.count() == 6
+
+
+def test_workers_share_the_jobs_of_a_folder(spark, tmp_path):
+    from loomline import cli
+
+    write_rows(tmp_path, 100)
+    text = "name: shared\nsource:\n  type: file\n  format: jsonl\n  path: in.jsonl\n  maxRowsPerSplit: 10\ntransforms:\n  - type: trim\n    field: content\nsink:\n  type: file\n  format: jsonl\n  path: out/all.jsonl\n"
+    (tmp_path / "p.yaml").write_text(text)
+    shown, state = [], str(tmp_path / "state")
+    assert cli.main(["submit", "-f", str(tmp_path / "p.yaml"), "--state-dir", state, "--max-parallelism", "6", "--detach"], shown.append, spark) == 0
+    assert len(shown) == 1 and not (tmp_path / "out").exists()
+    workers = [Jobs(spark, state) for _ in range(2)]
+    threads = [threading.Thread(target=w.work, args=(2,), kwargs={"wait_ms": 50}) for w in workers]
+    [t.start() for t in threads]
+    [t.join(120) for t in threads]
+    tasks = Store(state).scan()
+    assert {t.state for t in tasks} == {"COMPLETED"} and sum(t.rows_written for t in tasks) == 100 and numbers(tmp_path / "out/all.jsonl") == list(range(1, 101))
+    assert cli.main(["worker", "--state-dir", state], shown.append, spark) == 0
+    assert workers[0].pipeline_of(next(t.job_id for t in tasks if t.job_id)) == config.load(tmp_path / "p.yaml")
