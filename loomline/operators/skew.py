@@ -20,13 +20,16 @@ def hot_aware_lookup(facts: DataFrame, dim: DataFrame, key: str, weight: str, ro
     one row of ``dim`` by a copy for each salt. Everything moves in one shuffle join, and ``facts``
     is evaluated once. Null keys match nothing. The weight is dropped.
     """
-    salts = F.ceil(F.col(weight) / F.lit(rows_per_salt)).cast("int")
-    heavy = dim.where(F.col(weight) > rows_per_salt)  # one key for each rows_per_salt rows at most
-    heavy = F.broadcast(heavy.select(F.col(key).alias("_hot_key"), salts.alias("_salts")))
-    rest = [c for c in dim.columns if c not in (key, weight)]
+    return _salted(facts, dim.drop(weight), key, dim.select(key, F.col(weight).alias("_weight")), rows_per_salt)
+
+
+def _salted(facts: DataFrame, dim: DataFrame, key: str, weights: DataFrame, rows_per_salt: int) -> DataFrame:
+    heavy = weights.where(F.col("_weight") > rows_per_salt)  # one key for each rows_per_salt rows at most
+    heavy = F.broadcast(heavy.select(F.col(key).alias("_hot_key"), F.ceil(F.col("_weight") / F.lit(rows_per_salt)).cast("int").alias("_salts")))
+    rest = [c for c in dim.columns if c != key]
     row_hash = F.xxhash64(*facts.columns)
     salted = facts.join(heavy, F.col(key) == F.col("_hot_key"), "left").select(
-        *facts.columns, F.coalesce(F.pmod(row_hash, F.col("_salts")).cast("int"), F.lit(0)).alias("_salt")
+        *facts.columns, F.when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")).cast("int")).otherwise(0).alias("_salt")
     )
     copies = dim.join(heavy, F.col(key) == F.col("_hot_key"), "left").select(
         key, *rest, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")
@@ -69,8 +72,7 @@ def counted_lookup(facts: DataFrame, dim: DataFrame, key: str, counted: DataFram
     They are counted in ``counted``, a stored table that has the same rows: the plan of ``facts``,
     which may hold several lookups, then occurs once.
     """
-    weights = counted.groupBy(key).agg(F.count("*").alias("_weight"))
-    return hot_aware_lookup(facts, dim.join(weights, key), key, "_weight", rows_per_salt)
+    return _salted(facts, dim, key, counted.groupBy(key).agg(F.count("*").alias("_weight")), rows_per_salt)
 
 
 def expanded_pairs(pairs: DataFrame, a: str, b: str, members: DataFrame, group: str, item: str, block_rows: int = 1000) -> DataFrame:
