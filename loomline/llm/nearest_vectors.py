@@ -28,7 +28,7 @@ from loomline.plans.lineage import materialize, release
 #: Rows that a cell holds on average, and the most cells (the size of what is broadcast: 16 MB at 64 dimensions).
 CELL_ROWS, MOST_CELLS = 800, 65536
 #: Cells of a region on average.
-REGION_CELLS = 12
+REGION_CELLS = 8
 #: Rows of the sample that centres and code words are fitted on, per cell and at most. Every row is indexed.
 SAMPLE_PER_CELL, MOST_SAMPLE = 48, 400_000
 #: Cells that a query scans at least, and candidates of a region that are ranked exactly.
@@ -38,7 +38,7 @@ TRIAL_QUERIES, TRIAL_RECALL = 512, 0.99
 #: Weight of the parallel error: (d - 1) T² / (1 - T²) for the score threshold T = 0.2 in 64 dimensions.
 ETA = 2.6
 #: Rows of a region that one task scans at a time, and queries that come with them; larger regions are cut.
-ITEM_CHUNK, QUERY_CHUNK = 16384, 32768
+ITEM_CHUNK, QUERY_CHUNK = 65536, 32768
 WORDS, PART = 16, 2
 
 
