@@ -28,7 +28,7 @@ from loomline.plans.lineage import materialize, release
 #: Rows that a cell holds on average, and the most cells (the size of what is broadcast: 16 MB at 64 dimensions).
 CELL_ROWS, MOST_CELLS = 800, 65536
 #: Cells of a region on average.
-REGION_CELLS = 8
+REGION_CELLS = 12
 #: Rows of the sample that centres and code words are fitted on, per cell and at most. Every row is indexed.
 SAMPLE_PER_CELL, MOST_SAMPLE = 48, 400_000
 #: Cells that a query scans at least, and candidates of a region that are ranked exactly.
