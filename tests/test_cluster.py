@@ -36,7 +36,7 @@ def on_a_cluster(tmp_path, name: str, folder: str) -> str:
     return f"{tmp_path}/rows"
 
 
-@pytest.mark.parametrize("name", ["s9_postgres"])
+@pytest.mark.parametrize("name", ["s9_postgres", "s10_mysql"])
 def test_a_database_is_read_by_executors(spark, tmp_path, name):
     tables = tmp_path / "tables"
     contents = ["plain", None, "", ' "a", b ', "two\r\nlines\nand\rmore\n", "Ωμέγα \U0001f600 \\", "x" * 40_000]
