@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,10 @@ def wanted(path: str, kind: str) -> bool:
 
 #: Folders that a local tree is cut into at least, where it has as many, for tasks to list.
 FOLDERS = 256
+#: Folders that the driver lists at most; where there are more of them on one level, tasks list that level.
+MOST_FOLDERS = 10_000
+#: Files, and characters of texts, that are enough for one batch of rows.
+FILES, CHARACTERS = 1000, 1 << 20
 
 
 def read(spark: SparkSession, source: Source) -> Rows:
@@ -62,7 +68,8 @@ def read(spark: SparkSession, source: Source) -> Rows:
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):  # one document at a time: contents can be large
+        first, texts, errors, size = 0, [], [], 0
+        for i in range(batch.num_rows):  # contents can be large: a batch ends where it has enough of them
             rel, full, data = (batch.column(c)[i].as_py() for c in (2, 3, 4))
             text = error = None
             try:
@@ -72,8 +79,13 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = document_text(rel, data)
             except Exception as e:
                 error = f"Document source read failed at {rel}: {str(e).strip() or type(e).__name__}"
-            one = batch.slice(i, 1)
-            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([error], pa.string()), one.column(2), pa.array([text], pa.string())], [PIECE, PLACE, ERR, "path", "content"])
+            texts.append(text)
+            errors.append(error)
+            size += len(text or "")
+            if size >= CHARACTERS or i + 1 == batch.num_rows:
+                done = batch.slice(first, i + 1 - first)
+                yield pa.RecordBatch.from_arrays([done.column(0), done.column(1), pa.array(errors, pa.string()), done.column(2), pa.array(texts, pa.string())], [PIECE, PLACE, ERR, "path", "content"])
+                first, texts, errors, size = i + 1, [], [], 0
 
 
 def _raise(e: OSError) -> None:
@@ -92,26 +104,47 @@ def _local(spark: SparkSession, root: str) -> DataFrame:
     """(path, full, data) of all files of a local tree. The driver looks for folders until there are enough of them for tasks to go through."""
     if os.path.isfile(root):
         return spark.createDataFrame([(os.path.basename(root), root, None)], "path string, full string, data binary")
-    whole, flat = [root], []
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    whole, flat, shares = [root], [], 1
     while whole and len(whole) < FOLDERS:
-        below = [e.path for folder in whole for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
+        below = list(islice((e.path for folder in whole for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)), MOST_FOLDERS + 1))
+        if len(below) > MOST_FOLDERS:
+            shares = min(tasks, FOLDERS)
+            break
         flat, whole = flat + whole, below
-    tasks = spark.createDataFrame([(f, True) for f in whole] + [(f, False) for f in flat], "folder string, deep boolean")
+    listed = spark.createDataFrame([(f, k, shares) for f in whole for k in range(shares)] + [(f, 0, 0) for f in flat], "folder string, share int, shares int")
+
+    def files_of(folder: str, share: int, shares: int) -> Iterator[tuple[str, list[str]]]:
+        """(folder, names of its files): of a folder alone where it has no shares, of all below it where it has one, else of a share of the folders in it."""
+        if shares == 1:
+            yield from ((at, files) for at, _, files in os.walk(folder, onerror=_raise))
+            return
+        at, folders, files = next(os.walk(folder, onerror=_raise))
+        if share == 0:
+            yield at, files
+        for name in folders if shares else []:
+            below = os.path.join(at, name)
+            if crc32(os.fsencode(name)) % shares == share and not os.path.islink(below):
+                yield from ((at, files) for at, _, files in os.walk(below, onerror=_raise))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rel, full = [], []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(rel, pa.string()), pa.array(full, pa.string()), pa.nulls(len(full), pa.binary())], ["path", "full", "data"])
         for batch in batches:
-            for folder, deep in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    for at, _, files in os.walk(folder, onerror=_raise):
-                        full = [os.path.join(at, f) for f in files]
-                        rel = [os.path.relpath(f, root).replace(os.sep, "/") for f in full]
-                        yield pa.RecordBatch.from_arrays([pa.array(rel, pa.string()), pa.array(full, pa.string()), pa.nulls(len(full), pa.binary())], ["path", "full", "data"])
-                        if not deep:
-                            break
+                    for at, files in files_of(*row):
+                        inside = os.path.relpath(at, root).replace(os.sep, "/") if files else ""
+                        full += [os.path.join(at, f) for f in files]
+                        rel += files if inside == "." else [f"{inside}/{f}" for f in files]
+                        if len(full) >= FILES:
+                            yield made()
+                            rel, full = [], []
                 except OSError as e:
                     raise PipelineError(f"Document directory scan failed: {root}: {e}") from None
+        yield made()
 
-    return tasks.repartition(min(len(whole) + len(flat), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(walk, "path string, full string, data binary")
+    return listed.repartition(min(len(whole) * shares + len(flat), tasks)).mapInArrow(walk, "path string, full string, data binary")
 
 
 def _remote(spark: SparkSession, path: str) -> DataFrame:

@@ -394,3 +394,43 @@ def test_workers_share_the_jobs_of_a_folder(spark, tmp_path):
     assert {t.state for t in tasks} == {"COMPLETED"} and sum(t.rows_written for t in tasks) == 100 and numbers(tmp_path / "out/all.jsonl") == list(range(1, 101))
     assert cli.main(["worker", "--state-dir", state], shown.append, spark) == 0
     assert workers[0].pipeline_of(next(t.job_id for t in tasks if t.job_id)) == config.load(tmp_path / "p.yaml")
+
+
+def test_folders_too_many_for_the_driver_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    from loomline.sources import documents
+
+    monkeypatch.setattr(documents, "MOST_FOLDERS", 20)
+    monkeypatch.setattr(documents, "FILES", 7)
+    for i in range(60):
+        (tmp_path / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "e" / "x.txt").write_text(str(i))
+    (tmp_path / "top.txt").write_text("top")
+    (tmp_path / "linked").symlink_to(tmp_path / "d1")
+    found = open_source(spark, Source("file", str(tmp_path), "document")).df.orderBy("_seq").collect()
+    assert [(r["path"], r["content"]) for r in found] == sorted([("top.txt", "top"), *((f"d{i}/e/x.txt", str(i)) for i in range(60))])
+
+
+def test_small_documents_share_batches(tmp_path):
+    import pyarrow as pa
+
+    from loomline.sources import documents
+
+    n, names = 3000, ["_piece", "_place", "path", "full", "data"]
+    data = [b"x" * (documents.CHARACTERS if i == 100 else 5) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["0"] * n), pa.array(range(n)), pa.array([f"{i}.txt" for i in range(n)]), pa.array([None] * n, pa.string()), pa.array(data)], names)
+    made = list(documents.extract([batch]))
+    assert [x.num_rows for x in made] == [101, 2899]
+    assert [c for x in made for c in x.column(1).to_pylist()] == list(range(n)) and [c.encode() for x in made for c in x.column(4).to_pylist()] == data
+
+
+def test_thousands_of_documents_are_written_at_once(spark, tmp_path):
+    from time import time
+
+    from loomline.plans.queries import s3_documents
+
+    spark.range(1, 4001).selectExpr("id AS doc_id", "if(id % 50 = 0, NULL, 'text ' || id) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time()
+    rows = {(r["id"], r["doc_id"], r["content"]) for r in s3_documents(spark, str(tmp_path)).collect()}
+    assert time() - began < 40  # with a process for each file it was minutes
+    order = sorted(range(1, 4001), key=lambda i: f"doc={i}/")
+    assert rows == {(n, i, "\n" if i % 50 == 0 else f"text {i}\n") for n, i in enumerate(order, 1)}
