@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,15 @@ from loomline.plans import splits
 from loomline.plans.lineage import materialize, release, scope, shared_dir
 from loomline.plans.state import COMPLETED, Checkpoint
 from loomline.schema import BATCH, ERR, POSITION, SEQ
+from loomline.sinks.file import commit_of
 from loomline.sources import ROWS_PER_SPLIT, Rows, open_source
 
 ROWS = "_b_rows"
 LAST = 2**63 - 1
 #: Commits of one run at most where a sink writes from tasks; a run of more rows commits more of them at a time.
 MOST_COMMITS = 64
+#: Source rows whose commits are made by the same Spark jobs, at least and where there are as many, and commits of one such round at most.
+ROUND, MOST_OF_ROUND = 1 << 18, 10_000
 
 
 @dataclass
@@ -135,7 +139,12 @@ def _run(spark: SparkSession, pipeline: Pipeline, show: Callable[[str], None], r
             size = rows.rows_per_split or chain.batch_size * -(-ROWS_PER_SPLIT // chain.batch_size)
             least = max(ROWS_PER_SPLIT, -(-(end - after) // MOST_COMMITS)) if rows_per_commit is None else rows_per_commit
             step = size * max(1, -(-least // size)) if checkpoint else max(1, total)
-            _parallel(sink, flushes, chain, checkpoint, after, end, step, summary, show)
+            # Flushes begin anew with each split only where there are splits, and a round that fails must not ask for embeddings again.
+            if checkpoint and rows.rows_per_split and hasattr(sink, "write_steps") and not any(t.type == "embedding" for t in pipeline.transforms):
+                commits = -(-max(ROUND, -(-(end - after) // MOST_COMMITS)) // step)
+                _in_rounds(sink, flushes, chain, checkpoint, after, end, step, step * min(max(1, commits), MOST_OF_ROUND), summary, show)
+            else:
+                _parallel(sink, flushes, chain, checkpoint, after, end, step, summary, show)
         elif end > after:
             _ordered(sink, flushes(after + 1, end), chain, checkpoint, summary, show)
         done = summary.rowsRead
@@ -228,6 +237,50 @@ def _parallel(sink: object, flushes: Callable[[int, int], DataFrame], chain: Cha
         release(out)
 
 
+def _in_rounds(sink: object, flushes: Callable[[int, int], DataFrame], chain: Chain, checkpoint: Checkpoint, after: int, end: int, step: int, most: int, summary: Summary, show: Callable[[str], None]) -> None:
+    """As :func:`_parallel`, but tasks make the rows of many commits at once, ``most`` source rows. Each commit is then made on its own.
+
+    Where a round fails before its first commit, its commits are run one by one, up to the one that fails.
+    """
+    while after < end:
+        first, last = after + 1, min(end, (after // most + 1) * most)
+        window, out = flushes(first, last), None
+        try:
+            counts = {r["k"]: r for r in window.groupBy(commit_of(step).alias("k")).agg(F.count(SEQ).alias("read"), F.count(ERR).alias("failed")).collect()}  # a row a commit
+            out = materialize(chain(window.where(F.col(ERR).isNull())).withColumn(POSITION, F.monotonically_increasing_id()))
+            batches = out.groupBy(commit_of(step).alias("k"), *BATCH).agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("batches"), F.sum("n").alias("rows"))
+            made = {r["k"]: r for r in batches.collect()}
+            written = sink.write_steps(out, step)
+        except Exception:
+            release(*([out] if out is not None else []))
+            _parallel(sink, flushes, chain, checkpoint, after, last, step, summary, show)
+            after = last
+            continue
+        failed = any(r["failed"] for r in counts.values())
+        bad = window.where(F.col(ERR).isNotNull()).select(SEQ, ERR).orderBy(SEQ).toLocalIterator() if failed else iter(())
+        for k in range(after // step, (last - 1) // step + 1):
+            count, here, upto = counts[k], made.get(k), min(last, (k + 1) * step)
+            with stage("Sink"):
+                if here:
+                    found = next(written, None)
+                    if found != (k, here["rows"]):
+                        raise PipelineError(f"{here['rows']} rows of commit {k} were to be written, but {found} were")
+                sink.commit(upto)
+            for r in islice(bad, count["failed"]):
+                show(f"Skipped bad record seq={r[SEQ]} error={r[ERR]}")
+            summary.sinkBatches += here["batches"] if here else 0
+            summary.rowsWritten += here["rows"] if here else 0
+            summary.rowsRead += count["read"]
+            summary.rowsFailed += count["failed"]
+            summary.checkpointSeq = after = upto
+            with stage("Checkpoint"):
+                checkpoint.advance(upto)
+        with stage("Sink"):
+            if next(written, None):
+                raise PipelineError("more rows were written than were made")
+        release(out)
+
+
 def validate(spark: SparkSession, pipeline: Pipeline) -> list[str]:
     """Checks a pipeline without running it: lines to show. Databases and remote stores are not opened."""
     from loomline.sources.paths import is_remote

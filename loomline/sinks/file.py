@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
@@ -71,6 +70,11 @@ def write_lines(df: DataFrame, lines: Column, path: str, header: str | None, ord
     return seen.get["lines"]
 
 
+def commit_of(step: int) -> Column:
+    """The commit that a source row belongs to, where commits end each ``step`` rows, counted from row 1."""
+    return F.floor((F.col(SEQ) - 1) / step).cast("bigint")
+
+
 def line_of(sink: Sink, schema: StructType) -> Column:
     return csv_line(schema) if sink.format == "csv" else json_line(schema)
 
@@ -135,6 +139,27 @@ class FileSink:
         delete(df.sparkSession, folder)
         return lines
 
+    def write_steps(self, df: DataFrame, step: int) -> Iterator[tuple[int, int]]:
+        """Tasks write the lines of many commits at once; then gives (commit, lines) of each that has rows as soon as it is in the file."""
+        spark, line = df.sparkSession, line_of(self.sink, self.schema)
+        sizes = df.groupBy(commit_of(step).alias("k")).agg(F.sum(F.octet_length(line).cast("bigint") + 1), F.count("*")).orderBy("k").collect()  # a row a commit
+        folder = scratch(spark)
+        if write_lines(df, line, folder, None, ordered=True) != sum(lines for _, _, lines in sizes):
+            raise PipelineError("lines were written that are not in the table")
+        return self._steps(spark, folder, sizes)
+
+    def _steps(self, spark: SparkSession, folder: str, sizes: list) -> Iterator[tuple[int, int]]:
+        blocks, rest = part_blocks(spark, [folder]), memoryview(b"")
+        for k, length, lines in sizes:
+            while length:
+                rest = rest or memoryview(next(blocks))
+                self.out.write(rest[:length])
+                length, rest = length - len(rest[:length]), rest[length:]
+            yield k, lines
+        if rest or next(blocks, None):
+            raise PipelineError("part files are longer than their lines")
+        delete(spark, folder)
+
     def commit(self, last_seq: int) -> None:
         self.out.flush()
         os.fsync(self.out.fileno())
@@ -150,24 +175,30 @@ class FileSink:
             os.remove(self.sidecar)
 
 
-def join_parts(spark: SparkSession, folders: list[str], out: BinaryIO, block: int = 1 << 22) -> None:
-    """Appends the part files of folders, in the order of the folders and of their names, to an open file."""
+def part_blocks(spark: SparkSession, folders: list[str], block: int = 1 << 22) -> Iterator[bytes]:
+    """The bytes of the part files of folders, in the order of the folders and of their names."""
     jvm = spark.sparkContext._jvm
-    out.flush()
     for folder in folders:
         fs, path = file_system(spark, folder)
         for name in sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")):
             source = jvm.org.apache.hadoop.fs.Path(path, name)
             if folder.startswith("file:"):
                 with open(source.toUri().getPath(), "rb") as f:
-                    shutil.copyfileobj(f, out, block)
+                    while data := f.read(block):
+                        yield data
                 continue
             stream = fs.open(source)
             try:
                 while data := bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, block))):
-                    out.write(data)
+                    yield data
             finally:
                 stream.close()
+
+
+def join_parts(spark: SparkSession, folders: list[str], out: BinaryIO) -> None:
+    """Appends the part files of folders, in the order of the folders and of their names, to an open file."""
+    for data in part_blocks(spark, folders):
+        out.write(data)
     out.flush()
 
 

@@ -13,7 +13,7 @@ from loomline.errors import PipelineError, StageError
 from loomline.plans import runner
 from loomline.plans.jobs import Jobs
 from loomline.plans.splits import marks_before, with_batches
-from loomline.plans.state import Store, Task
+from loomline.plans.state import Checkpoint, Store, Task
 from loomline.sources import open_source
 
 
@@ -434,3 +434,47 @@ def test_thousands_of_documents_are_written_at_once(spark, tmp_path):
     assert time() - began < 40  # with a process for each file it was minutes
     order = sorted(range(1, 4001), key=lambda i: f"doc={i}/")
     assert rows == {(n, i, "\n" if i % 50 == 0 else f"text {i}\n") for n, i in enumerate(order, 1)}
+
+
+def failing_from(number):
+    """A source type of 100 rows in splits of 5; row 7 is bad, and rows from a number on can't be made."""
+    from pyspark.sql import functions as F
+
+    def make(session, source):
+        bad = F.when(F.col("id") == 7, "bad")
+        content = F.when(F.col("id") >= (number[0] or 1000), F.raise_error(F.lit("no such row"))).otherwise(F.concat(F.lit("x" * 9), F.col("id").cast("string")))
+        rows = session.range(1, 101, numPartitions=4).select(F.col("id").alias("_seq"), bad.cast("string").alias("_err"), "id", content.alias("content"))
+        return sources.Rows(rows, config_row(), "failing", 5)
+
+    sources.register("failing", make)
+
+
+def test_many_commits_are_made_by_one_round_of_jobs(spark, tmp_path, monkeypatch):
+    failing_from([None])
+    made, shown = [], []
+    materialize = runner.materialize
+    monkeypatch.setattr(runner, "materialize", lambda df: made.append(1) or materialize(df))
+    p = config.Pipeline("r", Source("failing"), [], Sink("file", f"{tmp_path}/r.csv", "csv"), f"{tmp_path}/s", True)
+    done = runner.run(spark, p, shown.append, 10)
+    assert (done.rowsRead, done.rowsWritten, done.rowsFailed, done.checkpointSeq, done.sinkBatches, len(made)) == (100, 99, 1, 100, 99, 1)
+    want = ["id,content", *(f"{i},xxxxxxxxx{i}" for i in range(1, 101) if i != 7)]
+    assert (tmp_path / "r.csv").read_text().splitlines() == want and [x for x in shown if "bad" in x] == ["Skipped bad record seq=7 error=bad"]
+    sizes = [tuple(map(int, x.split(","))) for x in open(tmp_path / "r.csv.offsets")]
+    ends = [len("".join(f"{x}\n" for x in want[: 1 + n - (n >= 7)])) for n in range(10, 101, 10)]
+    assert sizes == [*zip(range(10, 101, 10), ends)]
+    Store(f"{tmp_path}/s").put("local-pipeline-r", Task("local-pipeline-r", state="RUNNING", attempt=1, checkpoint=37))
+    done = quiet(spark, p, rows_per_commit=10)
+    assert (done.rowsWritten, done.rowsSkipped, len(made)) == (70, 30, 2) and (tmp_path / "r.csv").read_text().splitlines() == want
+
+
+def test_a_round_that_fails_keeps_the_commits_before(spark, tmp_path):
+    number = [44]
+    failing_from(number)
+    p = config.Pipeline("f", Source("failing"), [], Sink("file", f"{tmp_path}/f.jsonl", "jsonl"), f"{tmp_path}/s", True)
+    with pytest.raises(StageError, match="no such row"):
+        quiet(spark, p, rows_per_commit=10)
+    assert Checkpoint(f"{tmp_path}/s", "f").task.checkpoint == 40
+    assert [x.split(",")[0] for x in open(tmp_path / "f.jsonl.offsets")] == ["10", "20", "30", "40"]
+    number[0] = None
+    assert quiet(spark, p, rows_per_commit=10).rowsSkipped == 40
+    assert numbers(f"{tmp_path}/f.jsonl") == [i for i in range(1, 101) if i != 7]
