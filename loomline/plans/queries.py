@@ -29,7 +29,7 @@ from loomline.functions.strings import utf16_length
 from loomline.operators import embedding
 from loomline.operators.transforms import Chain
 from loomline.plans import jobs, runner, splits, state
-from loomline.plans.lineage import delete, materialize, scratch, shared_dir
+from loomline.plans.lineage import delete, file_system, materialize, scratch, shared_dir
 from loomline.schema import BATCH, ERR, LONG, PIECE, PLACE, POSITION, SEQ, STRING, VECTOR, field, row_type
 from loomline.sinks import console, file, vector
 from loomline.sources import Numbered, Rows, demo, open_source, placed, strict_records
@@ -549,23 +549,32 @@ def s2_bad_lines(spark: SparkSession, folder: str) -> DataFrame:
     return open_source(spark, Source("file", path, "jsonl")).df.select(F.col(SEQ).alias("seq"), F.col(ERR).alias("error"))
 
 
-def database(spark: SparkSession, rows: DataFrame, out: str) -> str:
-    """URL of a read-only Derby database with the table ``articles`` of these rows, in one file of a folder of this box.
+def database(spark: SparkSession, rows: DataFrame) -> str:
+    """URL of a read-only Derby database with the table ``articles`` of these rows, in one file of the shared folder.
 
     A database in memory, or in a folder, belongs to the one JVM that opened it. One in an archive
     can be opened by the driver and by all executors at once. It holds pages as they are on disk,
-    so that no process needs memory for the table, and the key gives the rows in order.
+    so that no process needs memory for the table, and the index gives the rows in order. Ids may
+    be missing or there more than once. A shared folder that is no local path can't hold it: it is
+    then in a folder of the driver's machine.
     """
+    out = driver_folder()
+    fs, shared = file_system(spark, scratch(spark))
+    to = shared.toUri().getPath() if fs.getScheme() == "file" else f"{out}/packed"
+    os.makedirs(to)
+    atexit.register(shutil.rmtree, to, True)
     content = F.concat(F.lit('"'), F.replace("content", F.lit('"'), F.lit('""')), F.lit('"'))  # without quotes an empty text would be null
-    parts, driver = part_files(rows, F.concat_ws(",", "id", content), None), spark.sparkContext._jvm.org.apache.derby.jdbc.EmbeddedDriver()
+    line = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(","), content)
+    parts, driver = part_files(rows, line, None), spark.sparkContext._jvm.org.apache.derby.jdbc.EmbeddedDriver()
     with open(f"{out}/rows.csv", "wb") as f:
         file.join_parts(spark, [parts], f)
     delete(spark, parts)
     connect = lambda url: driver.connect(f"jdbc:derby:{url}", spark.sparkContext._jvm.java.util.Properties())
     connection = connect(f"{out}/made;create=true")
     for text in (
-        'CREATE TABLE articles ("id" BIGINT NOT NULL CONSTRAINT by_id PRIMARY KEY, "content" CLOB)',
+        'CREATE TABLE articles ("id" BIGINT, "content" CLOB)',
         f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'ARTICLES', '{out}/rows.csv', ',', '\"', 'UTF-8', 1)",
+        'CREATE INDEX by_id ON articles ("id")',
     ):
         connection.createStatement().execute(text)
     connection.close()
@@ -575,22 +584,22 @@ def database(spark: SparkSession, rows: DataFrame, out: str) -> str:
         if e.java_exception.getSQLState() != "08006":  # what Derby says of a database that it has closed
             raise
     os.remove(f"{out}/rows.csv")
-    with zipfile.ZipFile(f"{out}/made.jar", "w", zipfile.ZIP_STORED) as packed:  # not compressed: pages are read at their places
+    with zipfile.ZipFile(f"{to}/made.jar", "w", zipfile.ZIP_STORED) as packed:  # not compressed: pages are read at their places
         for at, _, names in os.walk(f"{out}/made"):
             for name in names:
                 packed.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), out))
     shutil.rmtree(f"{out}/made")
-    return f"jdbc:derby:jar:({out}/made.jar)made"
+    return f"jdbc:derby:jar:({to}/made.jar)made"
 
 
 def jdbc_articles(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """Articles in a database that all processes of this box can open, read by the source for databases of this kind."""
-    out = driver_folder()
-    url = database(spark, articles(spark, folder), out)
+    """Articles in a database that all processes can open, read by the source for databases of this kind."""
+    url = database(spark, articles(spark, folder))
     os.environ.setdefault("LOOMLINE_JDBC", "APP")
-    query = 'SELECT "id", "content", CAST("id" AS DECIMAL(20, 2)) AS "wide" FROM articles --DERBY-PROPERTIES constraint=by_id\n ORDER BY "id"'
+    query = 'SELECT "id", "content", CAST("id" AS DECIMAL(21, 2)) AS "wide" FROM articles --DERBY-PROPERTIES index=by_id\n ORDER BY "id"'
     source = Source(kind, url=url, query=query, user_env="LOOMLINE_JDBC", password_env="LOOMLINE_JDBC", options={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
-    return open_source(spark, source).df.select(F.col(SEQ).alias("seq"), "id", "content", "wide")
+    wide = F.when(F.col(ERR).isNull(), F.col("wide")).alias("wide")  # a row without an id is a bad record
+    return open_source(spark, source).df.select(F.col(SEQ).alias("seq"), "id", "content", wide)
 
 
 JDBC = "SELECT row_number() OVER (ORDER BY id) AS seq, id, coalesce(content, '') AS content, id || '.00' AS wide FROM articles"

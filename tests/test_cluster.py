@@ -43,3 +43,23 @@ def test_a_database_is_read_by_executors(spark, tmp_path, name):
     spark.createDataFrame([*enumerate(contents, 1)], "id bigint, content string").repartition(3).write.parquet(f"{tables}/articles.parquet")
     rows = spark.read.parquet(on_a_cluster(tmp_path, name, str(tables))).orderBy("seq")
     assert [tuple(r) for r in rows.collect()] == [(i, i, c or "", f"{i}.00") for i, c in enumerate(contents, 1)]
+
+
+@pytest.mark.parametrize("name", ["s9_postgres", "s10_mysql"])
+def test_a_database_takes_any_ids(spark, tmp_path, name):
+    from __spark_entry__ import queries
+
+    ids = [-(2**63), -7, 0, 7, 7, 10**18, 2**63 - 1, None]
+    rows = [(i, f"of {i}") for i in ids]
+    spark.createDataFrame(rows, "id bigint, content string").repartition(3).write.parquet(f"{tmp_path}/articles.parquet")
+    found = queries()[name](spark, str(tmp_path)).orderBy("seq").collect()
+    assert [tuple(r) for r in found] == [(n, i, text, None if i is None else f"{i}.00") for n, (i, text) in enumerate(rows, 1)]
+
+
+def test_a_database_lies_in_the_shared_folder(spark):
+    from loomline.plans.lineage import shared_dir
+    from loomline.plans.queries import database
+
+    url = database(spark, spark.createDataFrame([(1, "a")], "id bigint, content string"))
+    path = url.removeprefix("jdbc:derby:jar:(").removesuffix(")made")
+    assert Path(path).is_file() and path.startswith(shared_dir(spark).removeprefix("file://"))
